@@ -8,10 +8,12 @@ at the end of the partitions are merged across partitions, as wholes, by best fi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,27 +38,71 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Text whose runs of Latin letters can be encoded apart: no apostrophe (the tokenizer cuts 's and
+#: the like) and no letter but these. Lower-casing is all that the normaliser changes in it.
+APART = re.compile(r"[\x00-&(-\xa9\xab-\xb4\xb6-\xb9\xbb-\xff]*")
+LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff \n]+")
+
+
+def parts_of(text: str) -> list[str]:
+    """Parts that the tokenizer encodes alike alone and in the text."""
+    if APART.fullmatch(text) and "<|" not in text:
+        return RUNS.findall(text.lower())
+    return [x for p in text.replace("\n", " ").split(" ") for x in (RUNS.findall(p.lower()) if APART.fullmatch(p) and "<|" not in p else (p,))]
+
+
 class Encoder:
     """Texts to token ids as little-endian unsigned 32-bit integers, the end id last.
 
-    The tokenizer never joins across a space or a newline, so parts between them are encoded
-    once and kept; the store is emptied when it is full.
+    Distinct parts (parts_of) are encoded once and kept; the store is emptied when it is full.
+    For words of small Latin letters the tokenizer's normaliser and pattern change nothing, so
+    they go to a copy without those.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.bare, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {i: spelt.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
+
+    def _whole(self, parts: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
+
+    def _spelt(self, words: str) -> str:
+        """As the vocabulary spells the bytes of the letters beyond ASCII."""
+        return words if words.isascii() else words.translate(self.spelling)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of words of small Latin letters."""
+        out, blocks = [], [words[k : k + 1000] for k in range(0, len(words), 1000)]
+        for some, e in zip(blocks, self.bare.encode_batch_fast([self._spelt(" ".join(x)) for x in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(some) else self._whole(some)
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        words = [p for p in parts if LETTERS.fullmatch(p)]
+        for some in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
+            self.known.update(zip(some, self._words(some), strict=True))
+        other = list(parts.difference(words))
+        self.known.update(zip(other, self._whole(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
+        parts = [parts_of(t) for t in texts]
+        distinct = set().union(*parts)
+        if len(self.known) + len(distinct) > CACHE:
             self.known = {}
-            new = list(set().union(*parts))
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self._learn(distinct.difference(self.known))
         end, known = END_ID.to_bytes(4, "little"), self.known
         return [b"".join([known[p] for p in doc]) + end for doc in parts]
 

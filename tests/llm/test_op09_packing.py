@@ -45,7 +45,7 @@ def test_whole_table_is_packed_with_little_padding(spark):
 
 
 def test_nulls_long_texts_special_strings_and_clashing_columns(spark):
-    texts = {1: None, 2: "", 3: "Word, word! " * 4000, 4: "a <|endoftext|>b\tİstanbul\x1cΣΑΣ café ́x", 5: "it's  we'll\n\n3.14", 6: "x" * 9000}
+    texts = {1: None, 2: "", 3: "Word, word! " * 4000, 4: "a <|endoftext|>b\tİstanbul\x1cΣΑΣ café ́x", 5: "it's  we'll\n\n3.14", 6: "x" * 9000, 7: "Жук ªb Été it's l'eau ² ½ab µ 日本語 İ"}
     rows = [Row(doc_id=k, text=v, window=1, start="s", open=2.0) for k, v in texts.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string, window int, start string, open double")
     verified(pack(df, length=64, most_open=3).collect(), texts, 64)
