@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ohlspark.llm import op01_decontaminate, op04_url_filter, op06_sharding, op09_packing
+from ohlspark.llm import op01_decontaminate, op04_url_filter, op06_sharding, op08_perplexity, op09_packing
 
 QUERIES = {
     "op1_decontaminate": op01_decontaminate.op1_decontaminate,
     "op4_url_filter": op04_url_filter.op4_url_filter,
     "op6_sharding": op06_sharding.op6_sharding,
+    "op8_perplexity": op08_perplexity.op8_perplexity,
     "op9_packing": op09_packing.op9_packing,
 }
 SQL = {"op1_decontaminate": op01_decontaminate.SQL, "op4_url_filter": op04_url_filter.SQL}
