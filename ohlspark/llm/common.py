@@ -34,3 +34,11 @@ def settled(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, size: int, limit: int = 16 << 20) -> DataFrame:
     """df with a broadcast hint if its known size in bytes is within the limit, else df for a shuffled join."""
     return F.broadcast(df) if size <= limit else df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
