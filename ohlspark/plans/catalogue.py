@@ -1,4 +1,497 @@
-"""Registered queries over the driver's tables and the SQL they are held against."""
+"""Registered queries over the driver's tables and the SQL they are held against.
+
+Computed doubles are rounded to six digits on both sides, as sums differ in their last bits by order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ohlspark.functions.scalars import direction, eq_tolerance, tick_quantise
+from ohlspark.functions.scale import Scale, atr_scale, price_scale
+from ohlspark.operators import extensions as X
+from ohlspark.operators import marks as M
+from ohlspark.operators import view as V
+from ohlspark.operators.indicators import REGISTRY, true_range, wilder_atr, with_repeated_last
+from ohlspark.operators.ranges import atr_range, price_range
+from ohlspark.operators.resample import merge_deltas, resample, resample_runs
+from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
+from ohlspark.schema import ANCHOR_TYPES
+from ohlspark.sources.bars import event_bars, lineitem_bars, order_bars
 
 QUERIES = {}
 SQL = {}
+
+OHLCV = ["time", "open", "high", "low", "close", "volume"]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles, and no minus zero."""
+    return df.select(*(F.round(F.col(c), digits).alias(c) + F.lit(0.0) if t == "double" else F.col(c) for c, t in df.dtypes)).toDF(*df.columns)
+
+
+def bars_1m(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(event_bars(spark, d))
+
+
+def with_day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.to_date("time"))
+
+
+def with_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("time_text", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+
+
+def count(bars: DataFrame) -> int:
+    return bars.count()
+
+
+def view(bars: DataFrame, visible: float, offset: float) -> tuple[DataFrame, float, float]:
+    """The window of a view, and its bounds."""
+    start, end = window_bounds(count(bars), visible, offset)
+    return bar_slice(bars, start, end), start, end
+
+
+def _ends(df: DataFrame) -> tuple[float, float]:
+    return tuple(df.first())  # one row
+
+
+# --- SQL parts
+
+_agg = "arg_min({p}, {o}) AS open, max({p}) AS high, min({p}) AS low, arg_max({p}, {o}) AS close, {v} AS volume"
+
+
+def _bars(minutes: int = 1, keys: str = "") -> str:
+    return f"SELECT {keys}time_bucket(INTERVAL '{minutes} minutes', ts) AS time, {_agg.format(p='value', o='(ts, event_id)', v='count(*)::DOUBLE')} FROM events GROUP BY ALL"
+
+
+def _idx(source: str = "b", by: str = "") -> str:
+    return f"SELECT *, row_number() OVER ({by} ORDER BY time) - 1 AS idx, lag(close) OVER ({by} ORDER BY time) AS pc FROM {source}"
+
+
+BASE = f"b AS ({_bars()}), x AS ({_idx()})"
+TR = "greatest(high - low, abs(high - {pc}), abs(low - {pc}))"
+FRESH = TR.format(pc="coalesce(pc, 0)")
+ATR = """s AS (SELECT sum(tr) / 14 AS v FROM t WHERE idx < 14),
+r AS (SELECT 13::BIGINT AS idx, v AS atr FROM s UNION ALL SELECT r.idx + 1, (r.atr * 13 + t.tr) / 14 FROM r JOIN t ON t.idx = r.idx + 1),
+a AS (SELECT idx, atr FROM r UNION ALL SELECT t.idx, s.v FROM t, s WHERE t.idx < 13)"""
+WITH_ATR = f"WITH RECURSIVE {BASE}, t AS (SELECT *, {FRESH} AS tr FROM x), {ATR}"
+COUNT = "n AS (SELECT count(*) AS n FROM x)"
+
+
+# --- bars
+
+for _tf, _m in (("1m", 1), ("5m", 5), ("15m", 15)):
+    query(f"SELECT * FROM ({_bars(_m)})", f"bars_{_tf}")(lambda spark, d, m=_m: event_bars(spark, d, m).select(OHLCV))
+
+
+@query(f"SELECT * FROM ({_bars(15)})")
+def bars_15m_cascade(spark, d):
+    return resample(event_bars(spark, d, 5), "15m").select(OHLCV)
+
+
+@query(f"WITH RECURSIVE {BASE} SELECT time_bucket(INTERVAL '5 minutes', time) AS time, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, sum(volume) AS volume FROM b GROUP BY 1")
+def bars_5m_from_1m(spark, d):
+    return resample(event_bars(spark, d), "5m").select(OHLCV)
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS tx FROM events),
+k AS (SELECT *, left(tx, 14) || printf('%02d', (substr(tx, 15, 2)::INT // 5) * 5) || substr(tx, 17) AS key FROM e),
+m AS (SELECT *, CASE WHEN lag(key) OVER (ORDER BY seq) = key THEN 0 ELSE 1 END AS brk FROM k),
+g AS (SELECT *, sum(brk) OVER (ORDER BY seq) - 1 AS run FROM m)
+SELECT run::BIGINT AS run, key AS time, arg_min(value, seq) AS open, max(value) AS high, min(value) AS low, arg_max(value, seq) AS close, count(*)::DOUBLE AS volume FROM g GROUP BY 1, 2""")
+def bars_5m_islands(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("series"), F.col("ts").alias("time"), "event_id", "value", F.col("value").alias("close"))
+    e = indexed_by_event(e)
+    one = e.select("series", "seq", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit(1.0).alias("volume"))
+    return resample_runs(one, "5m").select("run", *OHLCV)
+
+
+def indexed_by_event(e: DataFrame) -> DataFrame:
+    """seq in order of (time, event_id)."""
+    cells = e.withColumn("time", F.struct("time", "event_id")).withColumn("day", F.to_date("time.time"))
+    n = cells.groupBy("series", "day").agg(F.count("*").alias("n"))
+    first = n.select("series", "day", F.coalesce(F.sum("n").over(Window.partitionBy("series").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("series", "day").orderBy("time")) - 1
+    return cells.withColumn("nth", nth).join(first, ["series", "day"]).select("series", F.col("time.time").alias("time"), "value", (F.col("first") + F.col("nth")).cast("long").alias("seq"))
+
+
+@query(f"SELECT l_shipdate AS time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM (SELECT l_shipdate, {_agg.format(p='l_extendedprice / l_quantity', o='(l_orderkey, l_linenumber, l_partkey, l_suppkey)', v='sum(l_quantity)')} FROM lineitem GROUP BY 1)")
+def bars_daily_lineitem(spark, d):
+    return rounded(lineitem_bars(spark, d).select(OHLCV))
+
+
+@query(f"SELECT o_orderdate AS time, {_agg.format(p='o_totalprice', o='o_orderkey', v='count(*)::DOUBLE')} FROM orders GROUP BY 1")
+def bars_daily_orders(spark, d):
+    return order_bars(spark, d).select(OHLCV)
+
+
+# --- accessors and windows
+
+@query(f"WITH {BASE} SELECT count(*) AS n, count(*) - 1 AS last_idx, max(time) AS time, arg_max(close, idx) AS close FROM x")
+def bar_count_last(spark, d):
+    return size(bars_1m(spark, d)).select("n", "last_idx", "last.time", "last.close")
+
+
+@query(f"WITH {BASE} SELECT idx, time, open, high, low, close, volume FROM x WHERE idx = 17")
+def bar_at_17(spark, d):
+    return bar_at(bars_1m(spark, d), 17.9).select("idx", *OHLCV)
+
+
+@query(f"WITH {BASE} SELECT idx, time, open, high, low, close, volume FROM x WHERE idx BETWEEN 0 AND 40")
+def bar_slice_inclusive(spark, d):
+    return bar_slice(bars_1m(spark, d), -3, 40.7).select("idx", *OHLCV)
+
+
+@query(f"WITH {BASE}, {COUNT} SELECT idx, time FROM x, n WHERE idx BETWEEN n - 100 AND n - 1")
+def bar_timestamps(spark, d):
+    return timestamps(view(bars_1m(spark, d), 100, 0)[0])
+
+
+_anchors = "SELECT idx AS index, strftime(time, '%H:%M') AS label, minute(time)::INT AS minute FROM x"
+
+
+@query(f"WITH {BASE} {_anchors}", "time_anchors")
+def _time_anchors(spark, d):
+    return time_anchors(bars_1m(spark, d).withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")))
+
+
+@query(f"WITH {BASE} {_anchors} WHERE false")
+def time_anchors_space(spark, d):
+    """Times without a T have no anchor."""
+    return time_anchors(with_text(bars_1m(spark, d)).withColumn("time", F.col("time_text")))
+
+
+def _window(name: str, visible: float, offset: float, lo: str, hi: str) -> None:
+    def run(spark, d):
+        return view(bars_1m(spark, d), visible, offset)[0].select("idx", "time", "close")
+
+    query(f"WITH {BASE}, {COUNT} SELECT idx, time, close FROM x, n WHERE idx BETWEEN {lo} AND {hi}", name)(run)
+
+
+_window("window_default", 100, 0, "n - 100", "n - 1")
+_window("window_reset", 150, 0, "n - 150", "n - 1")
+_window("window_overscroll", 100, -5, "n - 95", "n - 1")
+_window("window_fractional", 133.1, 0, "trunc(n - 133.1)", "n - 1")
+
+
+# --- indicators
+
+@query(f"WITH {BASE} SELECT idx, round({FRESH}, 6) AS tr FROM x", "true_range")
+def _true_range(spark, d):
+    return rounded(bars_1m(spark, d).select("idx", true_range().alias("tr")))
+
+
+@query(f"WITH {BASE} SELECT idx, round(CASE WHEN pc IS NULL THEN high - close ELSE {TR.format(pc='pc')} END, 6) AS tr FROM x")
+def true_range_reset(spark, d):
+    return rounded(bars_1m(spark, d).select("idx", true_range("reset").alias("tr")))
+
+
+@query(f"{WITH_ATR} SELECT idx, round(atr, 6) AS atr FROM a")
+def atr14(spark, d):
+    return rounded(REGISTRY.values("ATR", bars_1m(spark, d)).select("idx", "atr"))
+
+
+@query(f"WITH RECURSIVE {BASE}, t AS (SELECT *, CASE WHEN pc IS NULL THEN high - close ELSE {TR.format(pc='pc')} END AS tr FROM x), {ATR} SELECT idx, round(atr, 6) AS atr FROM a")
+def atr14_reset(spark, d):
+    return rounded(wilder_atr(bars_1m(spark, d), first="reset").select("idx", "atr"))
+
+
+@query(f"""WITH RECURSIVE {BASE}, y AS (SELECT idx, high, low, pc FROM x UNION ALL SELECT idx + 1, high, low, close FROM x WHERE idx = (SELECT max(idx) FROM x)),
+t AS (SELECT *, {FRESH} AS tr FROM y), {ATR} SELECT idx, round(atr, 6) AS atr FROM a""")
+def atr14_dup_tail(spark, d):
+    return rounded(wilder_atr(with_repeated_last(bars_1m(spark, d))).select("idx", "atr"))
+
+
+@query(f"""WITH RECURSIVE b AS ({_bars(1, 'event_type, ')}), x AS ({_idx(by='PARTITION BY event_type')}), t AS (SELECT *, {FRESH} AS tr FROM x),
+s AS (SELECT event_type, sum(tr) / 14 AS v FROM t WHERE idx < 14 GROUP BY 1),
+r AS (SELECT event_type, 13::BIGINT AS idx, v AS atr FROM s UNION ALL SELECT r.event_type, r.idx + 1, (r.atr * 13 + t.tr) / 14 FROM r JOIN t ON t.idx = r.idx + 1 AND t.event_type = r.event_type)
+SELECT event_type AS series, idx, round(atr, 6) AS atr FROM r UNION ALL SELECT t.event_type, t.idx, round(s.v, 6) FROM t JOIN s USING (event_type) WHERE t.idx < 13""")
+def atr14_by_event_type(spark, d):
+    return rounded(wilder_atr(indexed(event_bars(spark, d, by_type=True))).select("series", "idx", "atr"))
+
+
+@query(f"""{WITH_ATR}, f AS ({_bars(5)}), fx AS ({_idx('f')}) SELECT fx.idx, fx.time, round(a.atr, 6) AS atr FROM fx LEFT JOIN a ON a.idx = fx.idx""")
+def atr_on_5m_reference(spark, d):
+    """Values of one-minute bars at the positions of five-minute bars, as after a switch of timeframe."""
+    values = wilder_atr(bars_1m(spark, d)).select("series", "idx", "atr")
+    return rounded(indexed(event_bars(spark, d, 5)).join(values, ["series", "idx"], "left").select("idx", "time", "atr"))
+
+
+@query(f"""WITH RECURSIVE b AS ({_bars(5)}), x AS ({_idx()}), t AS (SELECT *, {FRESH} AS tr FROM x), {ATR} SELECT x.idx, x.time, round(a.atr, 6) AS atr FROM x LEFT JOIN a ON a.idx = x.idx""")
+def atr_on_5m_corrected(spark, d):
+    return rounded(wilder_atr(indexed(event_bars(spark, d, 5))).select("idx", "time", "atr"))
+
+
+@query(f"{WITH_ATR} SELECT idx, round(atr, 6) AS atr FROM a WHERE idx >= 0 AND idx < 20")
+def atr_slice_half_open(spark, d):
+    return rounded(half_open_slice(wilder_atr(bars_1m(spark, d)).select("idx", "atr"), -4, 20))
+
+
+# --- ranges, scales and marks
+
+_W = "w AS (SELECT x.* FROM x, n WHERE idx BETWEEN n - 100 AND n - 1)"
+_P = "p0 AS (SELECT min(low) AS a0, max(high) AS b0 FROM w), p AS (SELECT a0 - (b0 - a0) * 0.05 AS y_min, b0 + (b0 - a0) * 0.05 AS y_max FROM p0)"
+_PRICE = f"WITH {BASE}, {COUNT}, {_W}, {_P}"
+_VW = "w AS (SELECT a.* FROM a, n WHERE idx BETWEEN n - 100 AND n - 1)"
+_VP = "p0 AS (SELECT greatest(min(atr), 0) AS a0, max(atr) AS b0 FROM w), p AS (SELECT greatest(a0 - (b0 - a0) * 0.05, 0) AS y_min, b0 + (b0 - a0) * 0.05 AS y_max FROM p0)"
+_ATR = f"{WITH_ATR}, {COUNT}, {_VW}, {_VP}"
+
+
+@query(f"{_PRICE} SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM p")
+def price_range_auto(spark, d):
+    return rounded(price_range(view(bars_1m(spark, d), 100, 0)[0]))
+
+
+@query(f"{_ATR} SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM p")
+def atr_range_auto(spark, d):
+    return rounded(atr_range(view(wilder_atr(bars_1m(spark, d)), 100, 0)[0]))
+
+
+@query(f"WITH {BASE} SELECT idx, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM x")
+def bar_direction(spark, d):
+    return bars_1m(spark, d).select("idx", direction(F.col("open"), F.col("close")).alias("direction"))
+
+
+def price_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale]:
+    window, _, end = view(bars_1m(spark, d), 100, 0)
+    return window, price_scale(end, 100, *_ends(price_range(window)))
+
+
+def atr_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale, float]:
+    window, _, end = view(wilder_atr(bars_1m(spark, d)), 100, 0)
+    return window, atr_scale(end, 100, *_ends(atr_range(window))), end
+
+
+_Y = "(385 - ({} - y_min) / (y_max - y_min) * 370)"
+_X = "((idx - (n - 100)) * 8.0 + 4.0)"
+
+
+@query(f"""{_PRICE} SELECT idx, round({_X}, 4) AS x, round({_Y.format('high')}, 4) AS y_high, round({_Y.format('low')}, 4) AS y_low, round({_X} - 3.2, 4) AS x1, round({_X} + 3.2, 4) AS x2,
+round(least({_Y.format('open')}, {_Y.format('close')}), 4) AS y_top, round(greatest({_Y.format('open')}, {_Y.format('close')}), 4) AS y_bottom, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM w, p, n""")
+def candle_marks(spark, d):
+    return rounded(M.candle_marks(*price_view(spark, d)), 4)
+
+
+_AY = "(160 - (atr - y_min) / (y_max - y_min) * 160)"
+
+
+@query(f"""{_ATR}, q AS (SELECT idx, {_X} AS x2, {_AY} AS y2 FROM w, p, n), l AS (SELECT idx, lag(x2) OVER (ORDER BY idx) AS x1, lag(y2) OVER (ORDER BY idx) AS y1, x2, y2 FROM q)
+SELECT idx, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM l WHERE x1 IS NOT NULL""")
+def atr_polyline(spark, d):
+    window, scale, _ = atr_view(spark, d)
+    return rounded(M.polyline(window, scale, "atr"), 4)
+
+
+@query(f"{_PRICE} SELECT idx, round({_Y.format('close')}, 6) AS y, printf('%.2f', close) AS label, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM w, p, n WHERE idx = n - 1")
+def last_price_mark(spark, d):
+    return rounded(M.last_price_mark(*price_view(spark, d)))
+
+
+@query(f"{_ATR} SELECT idx, round({_AY}, 6) AS y, printf('%.4f', atr) AS label FROM w, p, n WHERE idx = n - 1")
+def last_atr_mark(spark, d):
+    return rounded(M.last_atr_mark(*atr_view(spark, d)))
+
+
+def _grid_sql(height: int) -> str:
+    return f"""g1 AS (SELECT *, (y_max - y_min) / greatest(2, {height} / 50.0) AS raw FROM p), g2 AS (SELECT *, pow(10.0, floor(log10(raw))) AS mag FROM g1),
+g3 AS (SELECT *, CASE WHEN raw / mag < 1.5 THEN 1 WHEN raw / mag < 3 THEN 2 WHEN raw / mag < 7 THEN 5 ELSE 10 END * mag AS step FROM g2),
+g4 AS (SELECT *, CASE WHEN trunc(y_min / step) * step < y_min THEN trunc(y_min / step) * step + step ELSE trunc(y_min / step) * step END AS first FROM g3),
+g5 AS (SELECT step, first, unnest(generate_series(0, floor((y_max - first) / step + 1e-9)::BIGINT)) AS n FROM g4)
+SELECT n, round(first + n * step, 9) AS value, CASE WHEN step >= 0.01 THEN printf('%.2f', round(first + n * step, 9)) ELSE printf('%.4f', round(first + n * step, 9)) END AS label FROM g5"""
+
+
+@query(f"{_PRICE}, {_grid_sql(400)}")
+def price_grid(spark, d):
+    return M.grid(price_range(view(bars_1m(spark, d), 100, 0)[0]), 400)
+
+
+@query(f"{_ATR}, {_grid_sql(160)}")
+def atr_grid(spark, d):
+    return M.grid(atr_range(view(wilder_atr(bars_1m(spark, d)), 100, 0)[0]), 160)
+
+
+def _labels(visible: int) -> None:
+    step = M.label_step(visible)
+    near = max(1, step // 4)
+
+    def run(spark, d):
+        window, start, _ = view(with_text(bars_1m(spark, d)), visible, 0)
+        return M.axis_labels(window, start, visible)
+
+    query(f"""WITH {BASE}, {COUNT}, w AS (SELECT idx, n, strftime(time, '%Y-%m-%d %H:%M:%S') AS tx FROM x, n WHERE idx BETWEEN n - {visible} AND n - 1),
+c AS (SELECT *, coalesce(left(tx, 10) <> lag(left(tx, 10)) OVER (ORDER BY idx), false) AS ch FROM w),
+k AS (SELECT *, max(ch::INT) OVER (ORDER BY idx ROWS BETWEEN {near} PRECEDING AND {near} FOLLOWING) AS crowded FROM c)
+SELECT (idx - (n - {visible}))::DOUBLE AS rel_index, tx AS timestamp, ch AS is_day_change, CASE WHEN ch THEN (substr(tx, 9, 2)::INT)::VARCHAR ELSE substr(tx, 12, 5) END AS label
+FROM k WHERE ch OR (idx % {step} = 0 AND crowded = 0)""", f"axis_labels_{visible}")(run)
+
+
+_labels(100)
+_labels(600)
+
+
+def cursors(spark: SparkSession) -> DataFrame:
+    return spark.range(40).select(F.col("id").alias("cursor_id"), (F.col("id") * 20.5).alias("x"), (F.col("id") * 9.75 + 10).alias("y"))
+
+
+_CURSOR = "c AS (SELECT i AS cursor_id, i * 20.5 AS x, i * 9.75 + 10 AS y FROM range(40) t(i)), k AS (SELECT cursor_id, y, (trunc(x / 8.0 + 0.5) + n - 100)::BIGINT AS idx FROM c, n)"
+
+
+@query(f"""{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx, strftime(time, '%d %b %Y %H:%M') AS time_label, printf('%.2f', trunc((y_min + (385 - y) / 370 * (y_max - y_min)) / 0.25 + 0.5) * 0.25) AS price_label FROM k JOIN x ON x.idx = k.idx, p""")
+def crosshair_pick(spark, d):
+    bars = with_text(bars_1m(spark, d))
+    window, _, end = view(bars, 100, 0)
+    return M.crosshair(bars, cursors(spark), price_scale(end, 100, *_ends(price_range(window))))
+
+
+@query(f"{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx FROM k JOIN w ON w.idx = k.idx, p WHERE y BETWEEN least({_Y.format('high')}, {_Y.format('low')}) - 5 AND greatest({_Y.format('high')}, {_Y.format('low')}) + 5")
+def hover_hits(spark, d):
+    window, scale = price_view(spark, d)
+    return M.hover_hits(window, cursors(spark), scale)
+
+
+@query(f"WITH {BASE} SELECT idx, trunc(close / 0.25 + 0.5) * 0.25 AS price FROM x", "tick_quantise")
+def _tick_quantise(spark, d):
+    return bars_1m(spark, d).select("idx", tick_quantise(F.col("close")).alias("price"))
+
+
+@query(f"{WITH_ATR} SELECT idx, round(atr * 0.10, 6) AS tolerance FROM a", "eq_tolerance")
+def _eq_tolerance(spark, d):
+    return rounded(wilder_atr(bars_1m(spark, d)).select("idx", eq_tolerance(F.col("atr")).alias("tolerance")))
+
+
+@query("SELECT t AS type, t IN ('SESSION', 'BOS', 'CHOCH', 'POC') AS known FROM (VALUES ('SESSION'), ('BOS'), ('CHOCH'), ('POC'), ('bos'), ('FVG')) v(t)")
+def anchor_whitelist(spark, d):
+    return spark.createDataFrame([(t,) for t in [*ANCHOR_TYPES, "bos", "FVG"]], "type string").select("type", F.col("type").isin(ANCHOR_TYPES).alias("known"))
+
+
+@query()
+def view_reducer_trace(spark, d):
+    """The states of a view under one action of each kind."""
+    n = count(bars_1m(spark, d))
+    events = [("zoom", 1, 400, True), ("zoom", -1), ("pan", 120), ("press", "Left"), ("press", "Right"), ("drag_time_axis", 20), ("set_auto", False, (0.0, 5.0), (10.0, 20.0)), ("vertical_zoom", 1.0), ("vertical_pan", 40.0), ("drag_value_axis", -10.0), ("set_timeframe", "5m")]
+    rows = [(k, e[0], float(v.visible), float(v.offset), v.auto, *(v.y or (None, None)), *(v.atr_y or (None, None)), v.tf) for k, (e, v) in enumerate(zip(events, V.replay(V.View(), n, events), strict=True))]
+    return spark.createDataFrame(rows, "step int, action string, visible double, offset double, auto boolean, y_min double, y_max double, atr_min double, atr_max double, tf string")
+
+
+@query(f"""WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, value, date_trunc('minute', ts) AS time FROM events),
+m AS (SELECT *, CASE WHEN lag(time) OVER (ORDER BY seq) = time THEN 0 ELSE 1 END AS brk FROM e), g AS (SELECT *, sum(brk) OVER (ORDER BY seq) - 1 AS run FROM m)
+SELECT run::BIGINT AS run, time, arg_min(value, seq) AS open, max(value) AS high, min(value) AS low, arg_max(value, seq) AS close, arg_max(value, seq) AS volume FROM g GROUP BY 1, 2""")
+def merge_delta_fold(spark, d):
+    """Each event as a live row of its minute."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("series"), F.col("ts").alias("time"), "event_id", "value")
+    rows = indexed_by_event(e).select("series", "seq", F.window("time", "1 minute")["start"].alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:]))
+    return merge_deltas(rows).select("run", *OHLCV)
+
+
+# --- extensions
+
+_SWING = """sw0 AS (SELECT idx, high, low, count(*) OVER b4 AS nb, count(*) OVER af AS na, max(high) OVER b4 AS hb, max(high) OVER af AS ha, min(low) OVER b4 AS lb, min(low) OVER af AS la FROM x
+WINDOW b4 AS (ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), af AS (ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+sw AS (SELECT idx, 'HIGH' AS type, high AS price, idx + 3 AS confirmed FROM sw0 WHERE nb = 3 AND na = 3 AND high > hb AND high > ha
+UNION ALL SELECT idx, 'LOW', low, idx + 3 FROM sw0 WHERE nb = 3 AND na = 3 AND low < lb AND low < la)"""
+_GAP = """f0 AS (SELECT idx, high, low, lag(high, 2) OVER (ORDER BY idx) AS h2, lag(low, 2) OVER (ORDER BY idx) AS l2 FROM x),
+fv AS (SELECT idx, CASE WHEN low > h2 THEN 'BULLISH' ELSE 'BEARISH' END AS type, CASE WHEN low > h2 THEN h2 ELSE high END AS bottom, CASE WHEN low > h2 THEN low ELSE l2 END AS top FROM f0 WHERE low > h2 OR high < l2)"""
+_BREAK = """st0 AS (SELECT confirmed AS idx, max(CASE WHEN type = 'HIGH' THEN price END) AS h, max(CASE WHEN type = 'LOW' THEN price END) AS l FROM sw GROUP BY 1),
+st1 AS (SELECT x.idx, close, lag(close) OVER (ORDER BY x.idx) AS pc0, last_value(h IGNORE NULLS) OVER (ORDER BY x.idx) AS lh, last_value(l IGNORE NULLS) OVER (ORDER BY x.idx) AS ll FROM x LEFT JOIN st0 ON st0.idx = x.idx),
+st2 AS (SELECT *, CASE WHEN close > lh AND pc0 <= lh THEN 1 WHEN close < ll AND pc0 >= ll THEN -1 END AS side FROM st1),
+st AS (SELECT idx, side, lag(side) OVER (ORDER BY idx) AS prev, CASE side WHEN 1 THEN lh ELSE ll END AS price FROM st2 WHERE side IS NOT NULL),
+br AS (SELECT idx, CASE WHEN prev IS NULL OR prev = side THEN 'BOS' ELSE 'CHOCH' END AS type, side, price FROM st)"""
+
+
+@query(f"WITH {BASE}, {_SWING} SELECT * FROM sw")
+def swing_points(spark, d):
+    return X.swing_points(bars_1m(spark, d)).drop("series")
+
+
+@query(f"WITH {BASE}, {_GAP} SELECT * FROM fv")
+def fvg(spark, d):
+    return X.fair_value_gaps(bars_1m(spark, d)).drop("series")
+
+
+@query(f"WITH {BASE}, {_SWING}, {_BREAK} SELECT * FROM br")
+def structure_breaks(spark, d):
+    return X.structure_breaks(bars_1m(spark, d)).drop("series")
+
+
+_TP = "((high + low + close) / 3)"
+
+
+@query(f"WITH {BASE} SELECT idx, round(sum({_TP} * volume) OVER w / sum(volume) OVER w, 6) AS vwap FROM x WINDOW w AS (PARTITION BY time::DATE ORDER BY idx)")
+def vwap_session(spark, d):
+    return rounded(X.session_vwap(with_day(bars_1m(spark, d))).drop("series"))
+
+
+@query(f"""WITH {BASE}, {_SWING}, {_BREAK}, m AS (SELECT x.*, count(br.idx) OVER (ORDER BY x.idx) AS anchor_id FROM x LEFT JOIN br ON br.idx = x.idx)
+SELECT idx, anchor_id, CASE WHEN anchor_id > 0 THEN round(sum({_TP} * volume) OVER w / sum(volume) OVER w, 6) END AS vwap FROM m WINDOW w AS (PARTITION BY anchor_id ORDER BY idx)""")
+def vwap_anchored(spark, d):
+    bars = bars_1m(spark, d)
+    return rounded(X.anchored_vwap(bars, X.structure_breaks(bars)).drop("series"))
+
+
+_PROFILE = f"vp AS (SELECT strftime(time, '%Y-%m-%d') AS day, floor({_TP} / 10)::BIGINT AS bin, sum(volume) AS volume FROM x GROUP BY 1, 2)"
+
+
+@query(f"WITH {BASE}, {_PROFILE} SELECT * FROM vp")
+def volume_profile(spark, d):
+    return X.volume_profile(with_day(bars_1m(spark, d))).drop("series").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH {BASE}, {_PROFILE}, v1 AS (SELECT *, coalesce(sum(volume) OVER (PARTITION BY day ORDER BY volume DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef,
+sum(volume) OVER (PARTITION BY day) AS total, row_number() OVER (PARTITION BY day ORDER BY volume DESC, bin) AS nth FROM vp)
+SELECT day, max(CASE WHEN nth = 1 THEN bin END) AS poc, min(bin) AS val, max(bin) AS vah, max(total) AS volume FROM v1 WHERE bef < 0.7::DOUBLE * total GROUP BY 1""")
+def poc_value_area(spark, d):
+    return X.value_area(X.volume_profile(with_day(bars_1m(spark, d)))).drop("series").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH {BASE}, {_SWING}, hl AS (SELECT idx AS level_idx, price, confirmed FROM sw WHERE type = 'HIGH'),
+s1 AS (SELECT level_idx, min(x.idx) AS swept_idx FROM hl JOIN x ON x.idx BETWEEN confirmed + 1 AND confirmed + 20 AND x.high > price GROUP BY 1),
+s2 AS (SELECT s1.level_idx, min((close > price)::INT) AS held, arg_min((close > price)::INT, x.idx) AS one, count(*) AS k FROM s1 JOIN hl USING (level_idx) JOIN x ON x.idx BETWEEN swept_idx AND swept_idx + 2 GROUP BY 1)
+SELECT level_idx, price, swept_idx, CASE WHEN swept_idx IS NULL THEN 'DETECTED' WHEN held = 1 AND k = 3 THEN 'ACCEPTANCE' WHEN one = 0 THEN 'RECLAIMED' ELSE 'SWEPT' END AS state
+FROM hl LEFT JOIN s1 USING (level_idx) LEFT JOIN s2 USING (level_idx)""")
+def liquidity_states(spark, d):
+    return X.liquidity_states(bars_1m(spark, d)).drop("series")
+
+
+@query(f"WITH {BASE}, {COUNT}, {_GAP} SELECT idx, CASE type WHEN 'BULLISH' THEN 'DEMAND' ELSE 'SUPPLY' END AS zone, bottom, top, round(greatest(0.0, 1 - 0.05::DOUBLE * (n - 1 - idx)), 6) AS alpha FROM fv, n")
+def zones(spark, d):
+    return rounded(X.zones(bars_1m(spark, d)).drop("series"))
+
+
+@query(f"WITH {BASE}, {_SWING}, {_GAP}, {_BREAK} SELECT br.idx, CASE side WHEN 1 THEN 'BUY' ELSE 'SELL' END AS signal, br.type AS reason FROM br JOIN fv ON fv.idx = br.idx AND (fv.type = 'BULLISH') = (side = 1)")
+def signals(spark, d):
+    return X.signals(bars_1m(spark, d)).drop("series")
+
+
+_FOLD = f"{WITH_ATR}, d AS (SELECT x.idx, x.time::DATE AS day, high, low, close, atr, row_number() OVER (PARTITION BY x.time::DATE ORDER BY x.idx) AS k, lag(close) OVER (PARTITION BY x.time::DATE ORDER BY x.idx) AS pc FROM x JOIN a ON a.idx = x.idx)"
+
+
+@query(f"""{_FOLD}, u AS (SELECT *, (high + low) / 2 + 3 * atr AS u, (high + low) / 2 - 3 * atr AS d FROM d),
+z AS (SELECT day, k, idx, u AS up, d AS down, 1 AS side FROM u WHERE k = 1
+UNION ALL SELECT day, k, idx, up, down, CASE WHEN side < 0 AND close > up THEN 1 WHEN side > 0 AND close < down THEN -1 ELSE side END FROM (
+SELECT u.day, u.k, u.idx, u.close, z.side, CASE WHEN u.u < z.up OR u.pc > z.up THEN u.u ELSE z.up END AS up, CASE WHEN u.d > z.down OR u.pc < z.down THEN u.d ELSE z.down END AS down FROM z JOIN u ON u.day = z.day AND u.k = z.k + 1))
+SELECT idx, side::BIGINT AS trend, round(CASE WHEN side > 0 THEN down ELSE up END, 6) AS line FROM z""")
+def supertrend(spark, d):
+    return rounded(X.supertrend(with_day(wilder_atr(bars_1m(spark, d)))).drop("series"))
+
+
+@query(f"""{_FOLD}, z AS (SELECT day, k, idx, least(close, close + 1.5::DOUBLE * atr) AS v FROM d WHERE k = 1
+UNION ALL SELECT d.day, d.k, d.idx, CASE WHEN close > v THEN greatest(v, close - 1.5::DOUBLE * atr) ELSE least(v, close + 1.5::DOUBLE * atr) END FROM z JOIN d ON d.day = z.day AND d.k = z.k + 1) SELECT idx, round(v, 6) AS line FROM z""")
+def range_filter(spark, d):
+    return rounded(X.range_filter(with_day(wilder_atr(bars_1m(spark, d)))).drop("series"))
+
+
+@query()
+def halftrend(spark, d):
+    return X.halftrend(with_day(wilder_atr(bars_1m(spark, d)))).drop("series")
