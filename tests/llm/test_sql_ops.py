@@ -1,0 +1,110 @@
+"""Operators whose registered queries have SQL, and the sharding, secret and language operators on odd rows."""
+
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from ohlspark.llm.op02_revisits import resolve_revisits
+from ohlspark.llm.op06_sharding import op6_sharding, shard_documents
+from ohlspark.llm.op07_secrets import FEATURES, coverage, featured, find_secrets, forest, labelled_findings, redacted
+from ohlspark.llm.op10_language import identify
+from ohlspark.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = QUERIES[name](spark, SF)
+    cur = con.execute(SQL[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str(tuple(r)) for r in df.select(names).collect()) == sorted(map(str, cur.fetchall()))
+
+
+def test_revisits_of_a_hot_url_equal_brute_force(spark):
+    rows = []
+    for i in range(300):
+        kind = ("response", 200) if i % 7 == 0 else ("response", 404) if i % 11 == 0 else ("revisit", 304)
+        rows.append((i, f"http://h.org/{'a' if i % 3 else 'b'}", *kind, 1000 + i // 2 * 700, {"ETag": f'"{i // 20}"', "X": str(i), "Date": str(i)} if i % 5 else None, "z"))
+    rows += [(900, None, "revisit", 304, 5, None, "z"), (901, "http://h.org/a", "revisit", 304, None, None, "z"), (902, "no url", "response", 200, 5, {}, "z")]
+    df = spark.createDataFrame(rows, "record_id long, url string, type string, status int, captured_at long, headers map<string,string>, cell string")
+    got = {r.record_id: r for r in resolve_revisits(df).collect()}
+    assert len(got) == len(rows)
+    for i, url, kind, _, at, h, _ in rows:
+        want = (None, None)
+        if kind == "revisit":
+            full = [(a, j, g) for j, u, k, s, a, g, _ in rows if u == url and k == "response" and s == 200 and at is not None and a is not None and a < at] if url and "://" in url else []
+            best = max(full, key=lambda x: x[:2], default=None)
+            if best is None:
+                want = (None, "orphan")
+            else:
+                a, b = (h or {}).get("ETag"), (best[2] or {}).get("ETag")
+                want = (best[1], "unchecked") if a is None or b is None else (best[1], "matched") if a == b else (None, "mismatch")
+        assert (got[i].source_id, got[i].outcome) == want, i
+        if want[0] is not None and h and rows[want[0]][5]:
+            assert got[i].headers == {"etag": h["ETag"], "x": str(want[0]), "date": h["Date"]}
+    assert resolve_revisits(df.where("record_id < 0")).count() == 0
+
+
+def test_sharding_law_and_slots(spark):
+    rows = op6_sharding(spark, SF).collect()
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    assert Counter(r.doc_id for r in rows) == Counter(texts.keys())
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data)) and 0 <= r.shard < 16
+        assert r.grown_shard in (r.shard, 16)
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "", 1), (1, "x", 2)], "doc_id long, text string, shard int")
+    assert len({(r.shard, r.slot) for r in shard_documents(odd).collect()}) == 4
+    assert shard_documents(odd.where("doc_id > 5")).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = labelled_findings(spark, 3000)
+    covered = coverage(rows, spark.read.parquet(f"{SF}/documents.parquet").select("text"))
+    ready = featured(rows, covered)
+    held = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    model = forest(ready.where(~held))
+    from pyspark.ml.feature import VectorAssembler
+
+    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready.where(held))).select("label", "prediction").collect()
+    assert sum(r.label == r.prediction for r in judged) / len(judged) > 0.97
+
+
+def test_secrets_on_odd_rows(spark):
+    key = "ffc3105535f423f352535e4ac53b5fefe076ac6d"
+    rows = [(1, None, 0), (2, "", 0), (3, f'é token = "{key}" and {key}x', 99), (3, f'é token = "{key}" and {key}x', 99), (None, f'{"word " * 9000}api_key="{key}"', 1), (5, "plain text", 10)]
+    df = spark.createDataFrame([(*r, "k", True) for r in rows], "doc_id long, text string, n_chars long, text_key string, flags boolean")
+    found = find_secrets(df).collect()
+    assert sum(r.secret for r in found if r.doc_id == 3) >= 2 and any(r.secret for r in found if r.doc_id is None)
+    for r in found:
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        assert text[r.start : r.end].startswith(key)
+    out = redacted(df).collect()
+    assert len(out) == 6 and [r.text for r in out if r.doc_id == 5] == ["plain text"]
+    for r in out:
+        assert f'"{key}"' not in (r.text or "") and (r.doc_id not in (3, None) or r.n_chars == len(r.text))
+    assert redacted(df.where("doc_id = 77")).columns == df.columns and find_secrets(df.where("doc_id = 77")).count() == 0
+
+
+def test_languages(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog " * 9, "en") for i in range(30)] + [(i, "der hund und die katze " * 9, "de") for i in range(30, 60)] + [(99, None, "fr")], "doc_id long, text string, lang string")
+    pages = [(i, f"http://h.net/{i}", '<html lang="de"><p>der hund und die katze</p>', 1) for i in range(20)]
+    pages += [(100, "http://h.net/x", None, 1), (101, None, "", 1), (102, "http://o.org/", '<html lang="en"><script>der hund</script>the dog and cat', 1), (102, "http://o.org/", '<html lang="en">the dog', 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, own int")
+    got = identify(df, docs).collect()
+    assert len(got) == len(pages)
+    lang = {r.page_id: (r.lang, r.text_lang) for r in got}
+    assert all(lang[i] == ("de", "de") for i in range(20)) and lang[100] == ("de", None) and lang[102] == ("en", "en")
+    assert all(r.lang is None for r in identify(df, docs.where("doc_id = 99")).collect())
+    assert identify(df.where("page_id < 0"), docs).count() == 0
