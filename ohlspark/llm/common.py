@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +21,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that
+    is unset (tests, a laptop)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the cluster shares.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests, a laptop)
-    a temporary one is taken.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df with its lineage cut by a table written to the shared folder; smaller there than a checkpoint."""
+    out = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 def broadcast_if(df: DataFrame, size: int, limit: int = 16 << 20) -> DataFrame:
