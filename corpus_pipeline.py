@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ohlspark.llm.common import table
+from ohlspark.llm.common import shared_folder, table
 from ohlspark.llm.op01_decontaminate import decontaminated
 from ohlspark.llm.op03_bagminhash import deduplicated
 from ohlspark.llm.op07_secrets import redacted
@@ -51,9 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the stages keep of documents. Each stage's result is written to the
     folder that the cluster shares (spark.checkpoint.dir) and read again; a local folder only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
     docs = table(spark, sf_dir, "documents")
-    out = f"{shared}/pipeline-{uuid4().hex}"
+    out = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
