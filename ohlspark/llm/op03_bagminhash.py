@@ -12,7 +12,11 @@ Signatures are cut into bands. In a band's bucket texts are compared with its mo
 the one whose buckets are largest, and in a bucket of a few (SMALL) with each other, but only
 where they are still in different groups. A larger bucket that then still holds several groups is split by
 a second band: similar texts share about ten of the bands, so they meet again in smaller
-buckets. Pairs whose signatures differ too much are left out, and every other link is verified on the exact bags. Pairs grow with rows, not with the square of a group.
+buckets. Pairs whose signatures differ too much are left out, and every other link is verified on the exact bags.
+What a large bucket's texts have not been compared in this way is compared at the end: its members are dealt out
+in blocks, and two blocks at a time meet with their bags, so that every bucket ends with one group or with all
+pairs across its groups compared. Only that work grows with the square of a bucket that holds many groups; its
+rows grow with the square over BLOCK.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +46,8 @@ LEVELS = [3]
 #: Pairs whose signatures agree in fewer of the 96 components are not verified: at a similarity of 0.8 that
 #: is 3.8 standard deviations below the mean, so of such pairs about one in 10,000 is missed.
 LEAST_AGREE = 62
+#: Texts of a large bucket, and their shingles, that meet another block's in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 500_000
 CACHE = 400_000
 
 _ONE, _GOLD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +191,12 @@ def _merged(groups: DataFrame, pairs: DataFrame, nodes: DataFrame, docs: DataFra
     if not found.limit(1).count():
         return groups
     a, b = (broadcast_if(groups.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")), 64 * n) for c in "ab")
-    new = components(found.join(a, "a").join(b, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    return _joined(groups, found.join(a, "a").join(b, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+
+
+def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups(node, comp) with the components that edges(a, b) link made one."""
+    new = components(edges)
     return settled(groups.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
@@ -193,6 +205,70 @@ def _open(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.max(F.struct("score", "node", "comp")).alias("top")).where("low < high")
 
 
+def _across(group: pd.DataFrame) -> pd.DataFrame:
+    """One block (side 0 alone) or two: the links between components that similar bags give, as a forest."""
+    bags = [bag_of(t) for t in group["text"]]
+    size = np.array([len(b[0]) for b in bags])
+    start = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)[1]
+    counts = np.concatenate([b[1] for b in bags]).astype(float)
+    total = np.array([b[1].sum() for b in bags])
+    code, comps = pd.factorize(group["comp"])
+    side = group["side"].to_numpy()
+    target = side == side.max()
+    there = np.repeat(target, size)
+    place, ids_there, counts_there = np.repeat(np.arange(len(bags)), size)[there], ids[there], counts[there]
+    weight = np.zeros(ids.max() + 1)
+    root = list(range(len(comps)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for i in np.flatnonzero(side == 0):
+        mine = slice(start[i], start[i + 1])
+        weight[ids[mine]] = counts[mine]
+        both = np.bincount(place, np.minimum(weight[ids_there], counts_there), len(bags)).astype(np.int64)
+        weight[ids[mine]] = 0
+        for j in np.unique(code[target & (SIMILAR[1] * both >= SIMILAR[0] * (total[i] + total - both))]):
+            x, y = find(code[i]), find(j)
+            if x != y:
+                root[y] = x
+                out.append((comps[code[i]], comps[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _finished(groups: DataFrame, large: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """groups(node, comp), n rows, after all pairs across groups in the buckets large(key, node) have been compared."""
+    now = large.join(broadcast_if(groups, 64 * n), "node")
+    members = now.join(_open(now.withColumn("score", F.lit(0))).select("key"), "key", "left_semi").join(broadcast_if(nodes.select("node", "n_shingles"), 64 * n), "node")
+    members = settled(members.select("key", "node", "comp", "n_shingles"))
+    if not members.limit(1).count():
+        return groups
+    # a group that fills several blocks has blocks of its own, which needn't meet each other; others lie together in a block
+    filled = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES))
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    by = settled(by.withColumn("parts", filled(F.col("n"), F.col("shingles"))))
+    rest = by.where("parts = 1").groupBy("key").agg(filled(F.sum("n"), F.sum("shingles")).alias("others"))
+    own = F.col("parts") > 1
+    k = F.when(own, F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("comp"), "others"))
+    dealt = members.join(by.select("key", "comp", "parts"), ["key", "comp"]).join(rest, "key", "left")
+    dealt = settled(dealt.select("key", "node", "comp", F.when(own, F.hex("comp")).otherwise("").alias("own"), k.alias("k")))
+    blocks = dealt.select("key", F.struct("own", "k").alias("block")).distinct()
+    meet = (F.col("x.key") == F.col("y.key")) & ((F.col("x.block.own") != F.col("y.block.own")) | (F.col("x.block.own") == "")) & (F.col("x.block") <= F.col("y.block"))
+    meets = settled(blocks.alias("x").join(blocks.alias("y"), meet).select("x.key", F.col("x.block").alias("p"), F.col("y.block").alias("q")))
+    dealt = dealt.select("key", "node", "comp", F.struct("own", "k").alias("block"))
+    sides = [meets.withColumn("block", F.col("p")).withColumn("side", F.lit(0)), meets.where("p != q").withColumn("block", F.col("q")).withColumn("side", F.lit(1))]
+    rows = dealt.join(sides[0].unionByName(sides[1]), ["key", "block"]).select("key", "p", "q", "side", "node", "comp")
+    ends = members.select("node").distinct()
+    ends = broadcast_if(ends, 64 * ends.count())
+    texts = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("node"), "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    edges = settled(rows.join(texts, "node").select("key", "p", "q", "side", "comp", "text").groupBy("key", "p", "q").applyInPandas(_across, "a binary, b binary"))
+    return _joined(groups, edges) if edges.limit(1).count() else groups
+
+
 def _grouped(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """nodes(node, bands) -> node, comp for the nodes that share a band with another."""
     flat = nodes.select("node", F.posexplode("bands").alias("i", "key"))
@@ -203,6 +279,7 @@ def _grouped(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = nodes.join(broadcast_if(scores.select("node"), 48 * n), "node", "left_semi")
     groups = scores.select("node", F.col("node").alias("comp"))
     buckets = settled(buckets.select("key", F.array("i").alias("at"), "node").join(broadcast_if(scores, 64 * n), "node"))
+    whole = None  # the large buckets that the first level leaves with several groups
     for reach in [*LEVELS, 0]:
         now = buckets.join(broadcast_if(groups, 64 * n), "node")
         tops = _open(now).select("key", "top")
@@ -215,8 +292,10 @@ def _grouped(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         apart = (F.col("m.key") == F.col("t.key")) & (F.col("m.comp") != F.col("t.comp")) & (F.col("m.node") < F.col("t.node"))
         groups = _merged(groups, few.alias("m").join(few.alias("t"), apart).select(F.col("m.node").alias("a"), F.col("t.node").alias("b")), nodes, docs, n)
         large = left.where(F.col("n") > SMALL)
+        if whole is None:
+            whole = buckets.join(large.select("key"), "key", "left_semi").select("key", "node")
         if not reach or not large.limit(1).count():
-            return groups
+            break
         # the members of large buckets, once for each band that stands at most `reach` after the last one, round the end
         again = buckets.join(large.select("key"), "key", "left_semi").join(nodes.select("node", "bands"), "node")
         step = again.select("*", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step")).withColumn("next", F.pmod(F.element_at("at", -1) + F.col("step"), F.lit(BANDS)))
@@ -225,7 +304,7 @@ def _grouped(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         )
         more = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         buckets = settled(split.join(more, "key", "left_semi"))
-    return groups
+    return _finished(groups, whole, nodes, docs, n)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("node"))
     rows = settled(rows.mapInArrow(_banded, "doc_id long, node binary, n_shingles long, bands array<long>, low binary"))
-    nodes = rows.where("node IS NOT NULL AND bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
+    nodes = rows.where("node IS NOT NULL AND bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
     groups = _grouped(settled(nodes), docs)
     return rows.select("doc_id", "node", "n_shingles").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from ohlspark.llm import op03_bagminhash
 from ohlspark.llm.op01_decontaminate import WORD, lowered
 from ohlspark.llm.op03_bagminhash import bag_of, deduplicated, near_duplicates, op3_bagminhash, overlap, signatures
 
@@ -82,3 +83,25 @@ def test_chains_of_near_copies_and_odd_rows(spark):
     assert deduplicated(df.where("doc_id < 0")).columns == df.columns and deduplicated(df.where("doc_id < 0")).count() == 0
     some = deduplicated(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a, b")], "doc_id long, text string")).collect()
     assert [tuple(r) for r in some] == [(1, "a, b")]
+
+
+def test_form_letters_whose_families_meet_only_in_large_buckets(spark, monkeypatch):
+    """Letters of one form: four fields are a letter's own, one is its family's. Within a family of three the
+    similarity is 176 / 216, across families 171 / 221, so every band's bucket is large and holds many groups."""
+    monkeypatch.setattr(op03_bagminhash, "BLOCK", 40)  # several blocks a bucket
+    form = [f"w{k}" for k in range(200)]
+    rows = []
+    for family in range(150):
+        for letter in range(3):
+            words = list(form)
+            for field in (20, 60, 100, 140):
+                words[field] = f"x{field}y{family}z{letter}"
+            words[180] = f"f{family}"
+            rows.append((3 * family + letter, " ".join(words)))
+    want = {i: i - i % 3 for i, _ in rows}
+    assert brute_classes(rows[:60]) == {i: want[i] for i in range(60)}
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(bytes(r.comp), []).append(r.doc_id)
+    assert {i: min(g) for g in groups.values() for i in g} == want
