@@ -43,9 +43,9 @@ TOGETHER = 256
 SMALL = 32
 #: For each further level, how far on the next band may stand.
 LEVELS = [3]
-#: Pairs whose signatures agree in fewer of the 96 components are not verified: at a similarity of 0.8 that
-#: is 3.8 standard deviations below the mean, so of such pairs about one in 10,000 is missed.
-LEAST_AGREE = 62
+#: Pairs whose signatures agree in fewer of the 96 components are not verified: of pairs at a similarity of 0.8
+#: that misses 3.0 in 1,000,000, no more than the bands themselves (3.2).
+LEAST_AGREE = 58
 #: Texts of a large bucket, and their shingles, that meet another block's in one task.
 BLOCK, BLOCK_SHINGLES = 1000, 500_000
 CACHE = 400_000

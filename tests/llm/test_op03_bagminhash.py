@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -105,3 +106,9 @@ def test_form_letters_whose_families_meet_only_in_large_buckets(spark, monkeypat
     for r in found:
         groups.setdefault(bytes(r.comp), []).append(r.doc_id)
     assert {i: min(g) for g in groups.values() for i in g} == want
+
+
+def test_the_agreement_filter_misses_no_more_than_the_bands():
+    m, s = op03_bagminhash.M, 0.8
+    filtered = sum(math.comb(m, k) * s**k * (1 - s) ** (m - k) for k in range(op03_bagminhash.LEAST_AGREE))
+    assert filtered <= (1 - s**op03_bagminhash.ROWS) ** op03_bagminhash.BANDS
