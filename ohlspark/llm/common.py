@@ -27,11 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the application ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a table written to the shared folder; smaller there than a checkpoint."""
-    out = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    """df with its lineage cut by a table written to the shared folder; smaller there than a checkpoint.
+    The table is deleted when the application ends."""
+    spark = df.sparkSession
+    out = f"{shared_folder(spark)}/table-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema).parquet(passing(spark, out))
 
 
 def broadcast_if(df: DataFrame, size: int, limit: int = 16 << 20) -> DataFrame:

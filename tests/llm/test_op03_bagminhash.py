@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ohlspark.llm import op03_bagminhash
 from ohlspark.llm.op01_decontaminate import WORD, lowered
@@ -108,6 +109,52 @@ def test_form_letters_whose_families_meet_only_in_large_buckets(spark, monkeypat
     assert {i: min(g) for g in groups.values() for i in g} == want
 
 
+def families(number, members, fields, seed):
+    """Letters of 400 words of one form; a family has 8 words of its own, a letter `fields` more."""
+    rng = random.Random(seed)
+    form, rows = [f"w{k}" for k in range(400)], []
+    for family in range(number):
+        base = list(form)
+        for at in rng.sample(range(400), 8):
+            base[at] = f"f{family}a{at}"
+        for letter in range(members):
+            words = list(base)
+            for at in rng.sample(range(400), fields):
+                words[at] = f"x{family}y{letter}z{at}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("number", "members", "fields"), [(600, 2, 4), (300, 3, 3)])
+def test_families_of_one_form_equal_brute_force(spark, number, members, fields):
+    """All texts share most buckets, and only links tell the families apart; no link may be lost."""
+    rows = families(number, members, fields, 11)
+    want = brute_classes_of_sets(rows)
+    got = {}
+    for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(bytes(r.comp), []).append(r.doc_id)
+    assert {i: min(g) for g in got.values() for i in g} == want
+    assert 1 < len(got) < len(rows)
+
+
+def brute_classes_of_sets(rows):
+    """As brute_classes, for texts none of whose shingles repeats: all pairs at once by a product of 0/1 rows."""
+    bags = [brute_bag(t) for _, t in rows]
+    assert all(max(b.values()) == 1 for b in bags)
+    at = {s: k for k, s in enumerate({s for b in bags for s in b})}
+    x = np.zeros((len(bags), len(at)), np.float32)
+    for i, b in enumerate(bags):
+        x[i, [at[s] for s in b]] = 1
+    both, n = x @ x.T, x.sum(1)
+    link = 5 * both >= 4 * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(bags))
+    while True:
+        new = np.where(link, label[None, :], len(bags)).min(1)
+        if (new == label).all():
+            return {rows[i][0]: rows[k][0] for i, k in enumerate(label.tolist())}
+        label = new
+
+
 def test_the_agreement_filter_misses_no_more_than_the_bands():
     m, s = op03_bagminhash.M, 0.8
     filtered = sum(math.comb(m, k) * s**k * (1 - s) ** (m - k) for k in range(op03_bagminhash.LEAST_AGREE))
