@@ -1,12 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney trigram model over UTF-8 bytes,
-trained on trusted documents; joins with the sharded counts give each document's perplexity,
-and quantiles of its language set the threshold.
-
-Bytes are the symbols, so no text has unknown symbols and the tables are bounded by 256 ** 3
-whatever the corpus. A trigram abc lives in the shard of its middle byte b, as do the contexts
-ab and b and the bigram bc, so one join on the shard has all that its probability needs.
-Each block of documents sends a shard its distinct trigrams with counts, packed, instead of a
-row for every occurrence. Log-probabilities are whole micro-bits, so sums are the same in any order.
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte five-grams, trained on all
+trusted documents; joins with the sharded counts give each document's perplexity, and quantiles of
+its language set the threshold.
+
+UTF-8 bytes are the symbols, so no text has unknown symbols, while the table of five-grams grows with the
+trusted text. A gram lives in the shard of its two bytes before the last, as do all its suffixes of three
+bytes or more and their contexts; shorter grams, at most 65,536, are in every shard. So one join
+on the shard has all that a probability needs.
+
+Documents are gathered in blocks. A block sends each shard the distinct five-grams of its texts, packed, gets
+their probabilities back, and is scored with them; grams are asked for once a block, not once a document.
+Blocks meet a shard in groups of bounded size, each with one copy of the shard.
+Log-probabilities are whole micro-bits, so sums are the same in any order.
 """
 
 from __future__ import annotations
@@ -17,185 +21,234 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohlspark.llm.common import broadcast_if, settled, table
+from ohlspark.llm.common import broadcast_if, fresh, settled, table
 
-SHARDS = 4
-DOCS_PER_GROUP = 20_000  # documents whose requests meet one copy of a shard
-BLOCK_BYTES = 2 << 20  # text of a block of documents
+ORDER = 5
+#: Rows of the model that a shard may hold.
+SHARD_ROWS = 1 << 20
+SHARDS = 8  # at least
+#: Text of a block, of the chunks that it is worked on in, and of the blocks that meet one copy of a shard; bytes.
+BLOCK_BYTES, CHUNK_BYTES, GROUP_BYTES = 32 << 20, 1 << 20, 4 << 30
 #: Of the trusted documents, one in so many is held out to set the thresholds.
 HELD_OUT = 5
-QUANTILE = 0.99
-#: The threshold is the median plus so many times the way from there to the quantile: clean text that
-#: quotes another language or a licence lies a little beyond the quantile, junk far beyond.
-FENCE = 3.0
+QUANTILE = 0.995
+#: A language's quantile is drawn towards that of all languages as if by so many held-out documents.
+PRIOR_DOCUMENTS = 100
 #: A score is drawn towards the median of its language as if by so many bytes, as short texts vary more.
 PRIOR_BYTES = 128
-#: Fewer held-out documents of a language than this: all languages together set its threshold.
-LEAST_HELD_OUT = 20
 BINS = 1000  # of a bit
 
 
-def trigrams(text: str) -> np.ndarray:
-    """a << 16 | b << 8 | c for all consecutive bytes, from two line ends before to one after the text."""
-    b = np.frombuffer(f"\n\n{text}\n".encode(), np.uint8).astype(np.int32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all bytes of the texts, each text after ORDER - 1 line ends and before one, and where each text's begin."""
+    pad = b"\n" * (ORDER - 1)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    b = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\n")), np.uint8).astype(np.int64)
+    whole = b[: len(b) - ORDER + 1].copy()
+    for k in range(1, ORDER):
+        whole <<= 8
+        whole |= b[k : len(b) - ORDER + 1 + k]
+    inside = np.ones(len(whole), bool)
+    ends = np.cumsum(sizes + ORDER - 1)
+    for k in range(ORDER - 1):  # windows that reach into the next text
+        at = ends[:-1] - 1 - k
+        inside[at] = False
+    return whole[inside], np.cumsum(sizes) - sizes
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
+    """Rows of about `limit` bytes of text; the text comes last in a row, as bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch[c] for c in batch.schema.names), strict=True):
+            *own, text = (x.as_py() for x in row)
+            data = (text or "").encode()
+            held.append((*own, data))
+            size += len(data)
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 24, np.uint32)
-    for batch in batches:
-        held, size = [], 0
-        for text in [*batch["text"].to_pylist(), None]:
-            if text is not None:
-                held.append(trigrams(text))
-                size += len(held[-1])
-            if held and (text is None or size > 1 << 23):
-                total += np.bincount(np.concatenate(held), minlength=1 << 24).astype(np.uint32)
-                held, size = [], 0
-    keys = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int64), "n": total[keys].astype(np.int64)})
+    for rows in _chunks(batches, 8 * CHUNK_BYTES):
+        keys, n = np.unique(grams_of([r[-1] for r in rows])[0], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"gram": keys, "n": n.astype(np.int64)})
 
 
 def _discounted(grams: DataFrame, context: Column) -> DataFrame:
-    """grams(gram, n) -> gram, n, context, alpha (discounted share in its context), gamma (what the context leaves)."""
+    """grams(gram, n) -> gram, context, alpha (discounted share in its context), gamma (what the context leaves)."""
     ones = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in range(1, 5)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
     take = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)) for k in (1, 2, 3)]
-    d = grams.agg(*ones).select(*(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), t)).alias(f"d{k}") for k, t in enumerate(take, 1)))
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    by = grams.withColumn("context", context).join(F.broadcast(d)).withColumn("cut", cut)  # d is one row
-    totals = by.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-    return by.join(totals, "context").select(
-        "gram", "n", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")
-    )
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """counts(gram, n) of trigrams -> kind, shard, gram, value: what a shard's join needs.
-
-    Kinds: 3 alpha of abc, 2 gamma of the context ab, 1 the interpolated P(c | b) of bc,
-    0 gamma of the context b; -1 P(c), in every shard, and as gram -1
-    that of a byte that was never seen. All tables are bounded by 256 ** 3 rows.
-    """
-    g = F.col("gram")
-    pairs = counts.groupBy(g.bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("n"))
-    single = pairs.groupBy(g.bitwiseAND(0xFF).alias("gram")).agg(F.count("*").alias("n"))
-    three = _discounted(counts, F.shiftright(g, 8))
-    two = _discounted(pairs, F.shiftright(g, 8))
-    root = _discounted(single, F.lit(0)).withColumn("unseen", F.col("gamma") / 256)
-    one = root.select("gram", (F.col("alpha") + F.col("unseen")).alias("p"))
-    shard = lambda b: F.pmod(b, F.lit(SHARDS)).cast("int").alias("shard")
-    low = lambda c: c.bitwiseAND(0xFF)
-    interpolated = two.join(one.select(g.alias("last"), "p"), low(g) == F.col("last")).select("gram", (F.col("alpha") + F.col("gamma") * F.col("p")).alias("value"))
-    row = lambda df, kind, b, gram, value: df.select(F.lit(kind).alias("kind"), shard(b), gram.alias("gram"), value.alias("value"))
-    rare = root.groupBy().agg(F.max("unseen").alias("p")).select(F.lit(-1).cast("long").alias("gram"), "p")
-    every = one.unionByName(rare).select("*", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("at"))
-    return (
-        row(three, 3, low(F.shiftright(g, 8)), g, F.col("alpha"))
-        .unionByName(row(three.select("context", "gamma").distinct(), 2, low(F.col("context")), F.col("context"), F.col("gamma")))
-        .unionByName(row(interpolated, 1, F.shiftright(g, 8), g, F.col("value")))
-        .unionByName(row(two.select("context", "gamma").distinct(), 0, F.col("context"), F.col("context"), F.col("gamma")))
-        .unionByName(row(every, -1, F.col("at"), g, F.col("p")))
-    )
-
-
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a row for each shard, with the distinct trigrams of each document, packed."""
+    d = grams.agg(*ones).select(*(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), F.coalesce(t, F.lit(0.0)))).alias(f"d{k}") for k, t in enumerate(take, 1)))
+    d1, d2, d3 = d.first()  # one row
+    n = F.col("n")
+    cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+    by = grams.withColumn("context", context)
+    totals = by.groupBy("context").agg(F.sum("n").alias("total"), F.sum((n == 1).cast("long")).alias("k1"), F.sum((n == 2).cast("long")).alias("k2"), F.sum((n > 2).cast("long")).alias("k3"))
+    left = (F.col("k1") * d1 + F.col("k2") * d2 + F.col("k3") * d3) / F.col("total")
+    return by.join(totals, "context").select("gram", "context", ((n - cut) / F.col("total")).alias("alpha"), left.alias("gamma"))
+
+
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, int]:
+    """counts(gram, n) of five-grams, settled -> the model and its number of shards: shard (-1 for every shard),
+    kind, gram, value. Kind k > 0 is alpha of the grams of order k, -k gamma of their contexts; for order 1
+    the alpha is the whole probability, and as gram -1 that of a byte never seen."""
+    shards = max(SHARDS, -(-2 * counts.count() // SHARD_ROWS))
+    at = lambda g: shard_of(g.bitwiseAND(0xFFFF), shards).cast("int")
+    g, out = F.col("gram"), []
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            counts = settled(counts.groupBy(g.bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count("*").alias("n")))
+        table_ = settled(_discounted(counts, F.shiftright(g, 8)))
+        every = F.lit(-1)
+        if order == 1:
+            unseen = F.col("gamma") / 256
+            out.append(table_.select(every.alias("shard"), F.lit(1).alias("kind"), "gram", (F.col("alpha") + unseen).alias("value")))
+            out.append(table_.groupBy().agg(F.max(unseen).alias("value")).where("value IS NOT NULL").select(every.alias("shard"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("gram"), "value"))
+            break
+        shard = every if order == 2 else at(F.shiftright(g, 8))
+        out.append(table_.select(shard.alias("shard"), F.lit(order).alias("kind"), "gram", F.col("alpha").alias("value")))
+        contexts = table_.groupBy("context").agg(F.first("gamma").alias("value"))
+        out.append(contexts.select((every if order == 2 else at(F.col("context"))).alias("shard"), F.lit(-order).alias("kind"), F.col("context").alias("gram"), "value"))
+    model = out[0]
+    for part in out[1:]:
+        model = model.unionByName(part)
+    return settled(model), shards
+
+
+def shard_of(pair: Column | np.ndarray, shards: int) -> Column | np.ndarray:
+    """Of the two bytes before a gram's last."""
+    return pair * 40503 % 65536 % shards
+
+
+class Shard:
+    """The rows of a shard, for looking up the probabilities of its grams."""
+
+    def __init__(self, rows: pd.DataFrame):
+        kind, gram, value = (rows[c].to_numpy() for c in ("kind", "gram", "value"))
+        self.tables = {}
+        for k in np.unique(kind).tolist():
+            names, values = gram[kind == k], value[kind == k]
+            order = np.argsort(names)
+            self.tables[k] = names[order], values[order]
+        names, values = self.tables.get(1, (np.empty(0), np.empty(0)))
+        self.rare = float(values[0]) if len(names) and names[0] == -1 else 1 / 256
+
+    def _held(self, k: int, keys: np.ndarray, otherwise: float) -> np.ndarray:
+        if k not in self.tables:
+            return np.full(len(keys), otherwise)
+        names, values = self.tables[k]
+        i = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        return np.where(names[i] == keys, values[i], otherwise)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        p = self._held(1, grams & 0xFF, self.rare)
+        for k in range(2, ORDER + 1):
+            x = grams & ((1 << 8 * k) - 1)
+            p = self._held(k, x, 0.0) + self._held(-k, x >> 8, 1.0) * p
+        return p
+
+
+_DOCS = pa.list_(pa.struct([("doc", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64())]))
+BLOCKS = "block long, shard int, bytes long, docs array<struct<doc: string, doc_id: long, lang: string, n_bytes: long>>, payload binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows(doc, doc_id, lang, text) -> for each block a row of shard -1 with its documents and packed texts, and one
+    for each shard with the distinct grams that the texts have in it."""
     task, made = TaskContext.get().partitionId(), 0
-
-    def block(docs: list[tuple], start: int) -> pa.RecordBatch:
-        rows = {k: [] for k in ("shard", "block", "docs", "payload")}
-        at, keys = [], []
-        for k, (_, _, text) in enumerate(docs):
-            t = trigrams(text)
-            keys.append(t)
-            at.append(np.full(len(t), k, np.int64))
-        both, n = np.unique((np.concatenate(at) << 24) | np.concatenate(keys), return_counts=True)
-        middle = (both >> 8) & 0xFF
-        ids = [{"uid": task << 36 | start + k, "doc_id": i, "lang": lang, "n_bytes": len(keys[k])} for k, (i, lang, _) in enumerate(docs)]
-        for shard in range(SHARDS):
-            mine = middle % SHARDS == shard
-            data = both[mine].astype("<i8").tobytes() + n[mine].astype("<u4").tobytes()
-            for name, v in zip(rows, (shard, task << 36 | start, ids, zlib.compress(data, 1)), strict=True):
-                rows[name].append(v)
-        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("docs", _DOCS), ("payload", pa.binary())]))
-
-    for batch in batches:
-        held, size = [], 0
-        for row in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            held.append((row[0], row[1], row[2] or ""))
-            size += len(held[-1][2])
-            if size > BLOCK_BYTES:
-                yield block(held, made)
-                made, held, size = made + len(held), [], 0
-        if held:
-            yield block(held, made)
-            made += len(held)
-
-
-_DOCS = pa.list_(pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64())]))
-REQUESTS = "shard int, block long, docs array<struct<uid: long, doc_id: long, lang: string, n_bytes: long>>, payload binary"
-
-
-def _scored(requests: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    """One group: the requests of some blocks and the shard they meet."""
-    out = {k: [] for k in ("uid", "doc_id", "lang", "n_bytes", "micro_bits")}
-    if len(requests):
-        kind, gram, value = (model[c].to_numpy() for c in ("kind", "gram", "value"))
-        slot = lambda g: (g >> 8) // SHARDS  # noqa: E731  of a two-byte gram, whose first byte is the middle one
-        wide = 256 // SHARDS
-        first, g = np.full(256, 1 / 256), gram[kind == -1]
-        v = value[kind == -1]
-        first[:] = v[g < 0][0] if (g < 0).any() and not np.isnan(v[g < 0][0]) else 1 / 256
-        first[g[g >= 0]] = v[g >= 0]
-        left1 = np.ones(wide)
-        left1[gram[kind == 0] // SHARDS] = value[kind == 0]
-        pair = left1[:, None] * first[None, :]
-        g = gram[kind == 1]
-        pair[slot(g), g & 0xFF] = value[kind == 1]
-        left2, alpha = np.ones((256, wide)), np.zeros((256, wide, 256), np.float32)
-        g = gram[kind == 2]
-        left2[g >> 8, (g & 0xFF) // SHARDS] = value[kind == 2]
-        g = gram[kind == 3]
-        alpha[g >> 16, slot(g & 0xFFFF), g & 0xFF] = value[kind == 3]
-        for docs, payload in zip(requests["docs"], requests["payload"], strict=True):
-            data = zlib.decompress(payload)
-            size = len(data) // 12
-            both, n = np.frombuffer(data, "<i8", size), np.frombuffer(data, "<u4", size, 8 * size)
-            g = both & 0xFFFFFF
-            a, b, c = g >> 16, slot(g & 0xFFFF), g & 0xFF
-            bits = np.rint(-1e6 * np.log2(alpha[a, b, c] + left2[a, b] * pair[b, c])).astype(np.int64) * n
-            last = np.zeros(len(docs), np.int64)
-            np.add.at(last, both >> 24, bits)
-            for d, v in zip(docs, last.tolist(), strict=True):
-                for k in ("uid", "doc_id", "lang", "n_bytes"):
-                    out[k].append(d[k])
-                out["micro_bits"].append(v)
-    return pd.DataFrame({k: pd.Series(v, dtype="object" if k == "lang" else "Int64") for k, v in out.items()})
-
-
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) -> a row for each: doc_id, lang, n_bytes, micro_bits (minus log2 of its probability)."""
-    salts = max(1, -(-docs.count() // DOCS_PER_GROUP))
-    requests = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-        .mapInArrow(_requests, REQUESTS).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts).cast("long")))
-    )
-    copies = model.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    parts = requests.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(
-        _scored, "uid long, doc_id long, lang string, n_bytes long, micro_bits long"
-    )
-    whole = parts.groupBy("uid").agg(*(F.first(c).alias(c) for c in ("doc_id", "lang", "n_bytes")), F.sum("micro_bits").alias("micro_bits"))
-    return whole.drop("uid")
-
-
-def _quantile(scored: DataFrame, by: list[str], q: float, name: str) -> DataFrame:
-    """The upper edge of the bin in which a share q of the values lies at or below, for each group; bounded memory, exact counts."""
-    bins = scored.groupBy(*by, F.ceil(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("bytes", pa.int64()), ("docs", _DOCS), ("payload", pa.binary())])
+    pack = zstandard.ZstdCompressor(level=3)
+
+    def block() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(grams))
+        at = shard_of(keys >> 8 & 0xFFFF, shards)
+        rows = [(task << 32 | made, -1, size, ids, b"".join(texts))]
+        for s in range(shards):
+            mine = keys[at == s]
+            if len(mine):
+                rows.append((task << 32 | made, s, size, None, zlib.compress(np.diff(mine, prepend=0).tobytes(), 1)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    ids, texts, grams, size = [], [], [], 0
+    for rows in _chunks(batches, CHUNK_BYTES):
+        ids += [{"doc": doc, "doc_id": i, "lang": lang, "n_bytes": len(t) + 1} for doc, i, lang, t in rows]
+        data = pack.compress(b"".join(r[-1] for r in rows))
+        texts.append(len(rows).to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
+        grams.append(np.unique(grams_of([r[-1] for r in rows])[0]))
+        if len(grams) == 8:
+            grams = [np.unique(np.concatenate(grams))]
+        size += sum(len(r[-1]) for r in rows)
+        if size >= BLOCK_BYTES:
+            yield block()
+            made, ids, texts, grams, size = made + 1, [], [], [], 0
+    if ids:
+        yield block()
+
+
+def _unpacked(payload: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(payload), np.int64))
+
+
+def _answered(requests: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """One group of blocks and the shard that they meet: each block's grams with their micro-bits."""
+    shard, out = Shard(model), []
+    for block, payload in zip(requests["block"], requests["payload"], strict=True):
+        bits = np.rint(-1e6 * np.log2(shard(_unpacked(payload)))).astype(np.uint32)
+        out.append((block, payload, zlib.compress(bits.tobytes(), 1)))
+    return pd.DataFrame(out, columns=["block", "grams", "bits"])
+
+
+def _scored(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """One block: its documents with the micro-bits of their texts."""
+    grams = np.concatenate([_unpacked(x) for x in answers["grams"]])
+    bits = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in answers["bits"]]).astype(np.int64)
+    order = np.argsort(grams)
+    grams, bits = grams[order], bits[order]
+    docs, payload = blocks["docs"].iat[0], blocks["payload"].iat[0]
+    done, k, unpack, total = 0, 0, zstandard.ZstdDecompressor(), np.zeros(len(docs), np.int64)
+    while done < len(payload):
+        n, size = (int.from_bytes(payload[done + x : done + x + 4], "little") for x in (0, 4))
+        data = unpack.decompress(payload[done + 8 : done + 8 + size])
+        cuts = np.cumsum([0, *(d["n_bytes"] - 1 for d in docs[k : k + n])]).tolist()
+        own, starts = grams_of([data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+        total[k : k + n] = np.add.reduceat(bits[np.searchsorted(grams, own)], starts)
+        done, k = done + 8 + size, k + n
+    return pd.DataFrame({"doc": [d["doc"] for d in docs], "doc_id": pd.array([d["doc_id"] for d in docs], "Int64"), "lang": [d["lang"] for d in docs], "n_bytes": [d["n_bytes"] for d in docs], "micro_bits": total})
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """What a row is known by: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """docs(doc_id, text, lang), model of kneser_ney -> a row for each: doc (its key), doc_id, lang, n_bytes, micro_bits (minus log2 of its probability)."""
+    rows = docs.select(document_key(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    blocks = settled(rows.mapInArrow(lambda batches: _blocks(batches, shards), BLOCKS))
+    size = blocks.where("shard = -1").agg(F.sum("bytes")).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    asked = blocks.where("shard >= 0").select("shard", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("part"), "block", "payload")
+    every = F.when(F.col("shard") < 0, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array("shard"))
+    copies = model.withColumn("at", F.explode(every)).select("at", "kind", "gram", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("copy"))
+    answers = asked.groupBy("shard", "part").cogroup(copies.groupBy("at", "copy")).applyInPandas(_answered, "block long, grams binary, bits binary")
+    texts = blocks.where("shard = -1").select(F.col("block").alias("own"), "docs", "payload")
+    return texts.groupBy("own").cogroup(answers.groupBy("block")).applyInPandas(_scored, "doc string, doc_id long, lang string, n_bytes long, micro_bits long")
+
+
+def _quantile(values: DataFrame, by: list[str], q: float, name: str) -> DataFrame:
+    """values(by, value) -> by, name: the upper edge of the bin in which a share q of the values lies at or below, and their
+    number name_n; bounded memory, exact counts."""
+    bins = values.groupBy(*by, F.ceil(F.col("value") * BINS).alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = bins.select(*by, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
     return upto.where(F.col("upto") >= q * F.col("total")).groupBy(*by).agg((F.min("bin") / BINS).alias(name), F.first("total").alias(f"{name}_n"))
@@ -203,54 +256,56 @@ def _quantile(scored: DataFrame, by: list[str], q: float, name: str) -> DataFram
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """labels(doc_id, quality, toxic) -> doc_id, held_out: ids that all their labels call good and not toxic."""
-    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
+    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).cast("int")).alias("good"))
     return good.where("good = 1").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, fence: float = FENCE, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """docs(doc_id, text, lang), labels(doc_id, quality, toxic) -> doc_id, lang, n_bytes, bits_per_byte,
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """docs(doc_id, text, lang), labels(doc_id, quality, toxic) -> doc, doc_id, lang, n_bytes, bits_per_byte,
     perplexity (per byte), score, threshold, kept: one row for each row of docs.
 
-    The model counts all trusted documents but the held-out ones; score is bits_per_byte drawn
-    towards its language's median; a document is kept if its score is at most the threshold, set from
-    the median and the quantile of the scores of the held-out trusted documents of its language. A null text is empty, a null language is ''.
-    Repeated rows are scored each. Without any trusted text every document is kept, with null
-    threshold. Columns other than those named are ignored.
+    The model counts all trusted documents but the held-out ones. score is bits_per_byte drawn
+    towards the median of its language, as if by PRIOR_BYTES bytes. A document is kept if its score is at most the threshold: its
+    language's median plus the quantile of how far the scores of the held-out trusted documents of its language lie
+    above it; that quantile is a mean of the language's, weighted by its held-out documents, and that of
+    all languages, weighted by PRIOR_DOCUMENTS. A null text is empty, a null language is ''; a row without an
+    id is known by its text, `doc` says by what. Repeated rows are scored each. Without any held-out trusted text every document is
+    kept, with null threshold. Columns other than those named are ignored.
     """
     docs = docs.select("doc_id", "text", "lang")
     trusted = settled(trusted_ids(labels))
     small = broadcast_if(trusted, 16 * trusted.count(), broadcast_bytes)
     train = docs.join(small.where("NOT held_out"), "doc_id", "left_semi").select("text")
     counts = train.mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = kneser_ney(settled(counts))  # at most 256 ** 3 rows
-    scored = settled(score(docs, settled(model)).withColumn("bits", F.col("micro_bits") / 1e6 / F.col("n_bytes")))
-    held = scored.join(small.where("held_out"), "doc_id", "left_semi")
-    middles = _quantile(scored, ["lang"], 0.5, "middle")
-    drawn = (F.col("bits") * F.col("n_bytes") + F.col("middle") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
-    shrink = lambda df: df.join(middles.select("lang", "middle"), "lang").withColumn("score", drawn)
-    trial = shrink(held).select("lang", F.col("score").alias("bits"))
-    def limit(by: list[str], name: str) -> DataFrame:
-        """Median + fence * (quantile - median) of the held-out scores."""
-        both = _quantile(trial, by, 0.5, "mid").join(_quantile(trial, by, quantile, "high"), by or None)
-        return both.select(*by, (F.col("mid") + fence * (F.col("high") - F.col("mid"))).alias(name), F.col("high_n").alias("n"))
-
-    own = limit(["lang"], "own").where(F.col("n") >= LEAST_HELD_OUT).drop("n")
-    judged = shrink(scored).join(own, "lang", "left").join(F.broadcast(limit([], "common")), how="left")  # one row
-    threshold = F.coalesce("own", "common")
-    return judged.select(
-        "doc_id", "lang", "n_bytes", F.col("bits").alias("bits_per_byte"), F.pow(F.lit(2.0), "bits").alias("perplexity"), "score",
-        threshold.alias("threshold"), F.coalesce(F.col("score") <= threshold, F.lit(True)).alias("kept"),
+    scored = settled(score(docs, *kneser_ney(settled(counts))).withColumn("value", F.col("micro_bits") / 1e6 / F.col("n_bytes")))
+    middles = settled(_quantile(scored, ["lang"], 0.5, "middle").select("lang", "middle"))
+    above = (F.col("value") - F.col("middle")) * F.col("n_bytes") / (F.col("n_bytes") + PRIOR_BYTES)
+    judged = scored.join(broadcast_if(middles, 64 * middles.count(), broadcast_bytes), "lang").withColumn("above", above)
+    trial = settled(judged.join(small.where("held_out"), "doc_id", "left_semi").select("lang", F.col("above").alias("value")))
+    common = _quantile(trial, [], quantile, "common").first()["common"]  # one row
+    if common is None:
+        limit = F.lit(None).cast("double")
+    else:
+        own = settled(_quantile(trial, ["lang"], quantile, "own"))
+        judged = judged.join(broadcast_if(own, 64 * own.count(), broadcast_bytes), "lang", "left")
+        n = F.coalesce("own_n", F.lit(0))
+        limit = (F.coalesce("own", F.lit(0.0)) * n + common * PRIOR_DOCUMENTS) / (n + PRIOR_DOCUMENTS)
+    return judged.withColumn("limit", limit).select(
+        "doc", "doc_id", "lang", "n_bytes", F.col("value").alias("bits_per_byte"), F.pow(F.lit(2.0), "value").alias("perplexity"), (F.col("middle") + F.col("above")).alias("score"),
+        (F.col("middle") + F.col("limit")).alias("threshold"), F.coalesce(F.col("above") <= F.col("limit"), F.lit(True)).alias("kept"),
     )
 
 
 def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("doc")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with.
 
-    Rows that share an id stand or fall together; a row without an id stays.
+    Rows that share an id stand or fall together, and so do rows without an id that share a text.
     """
-    out = settled(classify(docs, labels).where("NOT kept").select("doc_id").distinct())
-    return docs.join(broadcast_if(out, 16 * out.count(), broadcast_bytes), "doc_id", "left_anti").select(docs.columns)
+    doc = fresh("doc", docs)
+    out = settled(classify(docs, labels).where("NOT kept").select(F.col("doc").alias(doc)).distinct())
+    keyed = docs.withColumn(doc, document_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(broadcast_if(out, 64 * out.count(), broadcast_bytes), doc, "left_anti").select(docs.columns)
