@@ -2,21 +2,24 @@
 
 Viterbi decoding marks each line as content or boilerplate; a document whose content share, by
 code points of its lines, is below a half is not kept. The field is trained by gradient ascent on
-a bounded sample of labelled documents (SAMPLE); a line's label in training is its document's
-quality. The rule counts (words, symbols, repeated lines and words) come from the same pass.
+a bounded sample of labelled documents (SAMPLE). Labels are by document, so lines that change from one kind
+to the other are made: besides the documents themselves, whose lines all have the document's label, the field
+learns from spliced texts, where some lines of a document of the other kind stand within a document's lines. The
+rule counts (words, symbols, repeated lines and words) come from the same pass.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohlspark.llm.common import table
+from ohlspark.llm.common import settled, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -110,25 +113,23 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def train(sequences: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of the lines, label) -> weights (features, 2) and moves (2, 2) that maximise the
+def train(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of the lines, a label for each line) -> weights (features, 2) and moves (2, 2) that maximise the
     penalised likelihood; by forward and backward sums over all sequences at once."""
     k = len(FEATURES)
     weights, moves = np.zeros((k, 2)), np.zeros((2, 2))
     sequences = sorted((s for s in sequences if len(s[0])), key=lambda s: -len(s[0]))
-    if len({y for _, y in sequences}) < 2:
+    if len({int(y) for _, ys in sequences for y in ys}) < 2:
         weights[0, 1] = 1.0  # nothing to tell apart: all is content
         return weights, moves
     n, length = len(sequences), len(sequences[0][0])
-    x, there = np.zeros((length, n, k)), np.zeros((length, n), bool)
-    for j, (f, _) in enumerate(sequences):
-        x[: len(f), j], there[: len(f), j] = f, True
-    y = np.array([s[1] for s in sequences])
-    alive = there.sum(1)  # sequences stand longest first
-    flat, gold = x[there], np.broadcast_to(np.eye(2)[y], (length, n, 2))[there]
+    x, there, y = np.zeros((length, n, k)), np.zeros((length, n), bool), np.zeros((length, n), np.int64)
     steps = np.zeros((2, 2))
-    for label in (0, 1):
-        steps[label, label] = sum(len(f) - 1 for f, v in sequences if v == label)
+    for j, (f, ys) in enumerate(sequences):
+        x[: len(f), j], there[: len(f), j], y[: len(f), j] = f, True, ys
+        np.add.at(steps, (ys[:-1], ys[1:]), 1)
+    alive = there.sum(1)  # sequences stand longest first
+    flat, gold = x[there], np.eye(2)[y[there]]
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
     lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
     for t in range(1, STEPS + 1):
@@ -151,20 +152,48 @@ def train(sequences: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarr
     return weights, moves
 
 
+def spliced(text: str, other: str, seed: int) -> tuple[str, list[int]]:
+    """Some lines of `other` within those of `text`, where the seed says; 1 for each line of the latter, 0 of the former. Lines
+    without words are left out."""
+    mine, theirs = ([x for x in t.split("\n") if WORD.search(x)] for t in (text, other))
+    at, first = seed % (len(mine) + 1), seed // 7 % max(len(theirs), 1)
+    some = theirs[first : first + 1 + seed // 11 % 12]
+    return "\n".join([*mine[:at], *some, *mine[at:]]), [*[1] * at, *[0] * len(some), *[1] * (len(mine) - at)]
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The field trained on the `sample` labelled documents whose ids hash least; ids with labels of both kinds are left out."""
+    """The field trained on the `sample` labelled documents whose ids hash least, and on as many spliced texts; ids with
+    labels of both kinds are left out, and of rows that share an id the one of the least text counts."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2")
-    some = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = known.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("y") > 0).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    texts = settled(texts.groupBy("doc_id", "good").agg(F.min("text").alias("text")))  # at most `sample` rows
+    nth = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    placed = settled(texts.withColumn("nth", nth))
+    n = dict(placed.groupBy("good").count().collect())
+    pairs = placed.select("doc_id", "good", "text", "nth", F.lit(None).cast("string").alias("other"))
+    if len(n) == 2:  # each text also with one of the other kind
+        others = placed.select((~F.col("good")).alias("good"), F.col("nth").alias("place"), F.col("text").alias("other"))
+        place = F.pmod(F.col("nth"), F.when(F.col("good"), n[False]).otherwise(n[True]))
+        mixed = placed.withColumn("place", place).join(others, ["good", "place"])
+        pairs = pairs.unionByName(mixed.select(*pairs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [Parsed(t).features for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"].cast(pa.int32()), "f": pa.array([x.astype("<f4").tobytes() for x in f], pa.binary())})
-
-    rows = texts.mapInArrow(run, "doc_id long, y int, f binary").collect()  # at most `sample` rows
+            f, y = [], []
+            for doc_id, good, text, other in zip(*(b[c].to_pylist() for c in ("doc_id", "good", "text", "other")), strict=True):
+                marks = None
+                if other is not None:
+                    text, marks = spliced(text, other, zlib.crc32(str(doc_id).encode()))
+                x = Parsed(text).features
+                f.append(x.astype("<f4").tobytes())
+                marks = [1] * len(x) if marks is None else marks
+                y.append(bytes(marks if good else [1 - v for v in marks]))
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "f": pa.array(f, pa.binary()), "y": pa.array(y, pa.binary())})
+
+    rows = pairs.mapInArrow(run, "doc_id long, f binary, y binary").collect()  # at most twice `sample` rows
     rows.sort(key=lambda r: (r.doc_id, r.f))
-    return train([(np.frombuffer(r.f, "<f4").reshape(-1, len(FEATURES)).astype(float), int(r.y > 0)) for r in rows if len(r.f) <= 4 * len(FEATURES) * SAMPLE_LINES])
+    return train([(np.frombuffer(r.f, "<f4").reshape(-1, len(FEATURES)).astype(float), np.frombuffer(r.y, np.uint8).astype(np.int64)) for r in rows if len(r.y) <= SAMPLE_LINES])
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"

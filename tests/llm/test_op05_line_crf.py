@@ -1,8 +1,9 @@
 import re
+from collections import Counter
 
 import numpy as np
 
-from ohlspark.llm.op05_line_crf import Parsed, fitted, judge, op5_line_crf, train, viterbi
+from ohlspark.llm.op05_line_crf import WORD, Parsed, fitted, judge, op5_line_crf, spliced, train, viterbi
 
 SF = "/root/testdata/sf0.01"
 
@@ -11,19 +12,19 @@ def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    times = Counter(windows)
+    hit = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
 
 
 def test_counts_equal_brute_force_and_kept_follows(spark):
-    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 6000").select("doc_id", "text").collect())
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     rows = op5_line_crf(spark, SF).collect()
     assert len(rows) == 1000
     for r in rows:
-        if r.doc_id in texts:
-            assert tuple(r)[1:7] == brute(texts[r.doc_id])
+        assert tuple(r)[1:7] == brute(texts[r.doc_id])
         assert not (r.base_failed and r.kept)
 
 
@@ -36,14 +37,30 @@ def test_viterbi_is_the_best_path():
 
 
 def test_held_out_accuracy(spark):
+    """On documents that training never saw, whole and with lines of the other kind spliced in."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    rows = {r.doc_id: r for r in judge(docs, fitted(docs, labels.where("doc_id % 2 = 0"))).collect()}
+    weights, moves = field = fitted(docs, labels.where("doc_id % 2 = 0"))
+    rows = {r.doc_id: r for r in judge(docs, field).collect()}
     judged = [(rows[x.doc_id], x.quality) for x in labels.where("doc_id % 2 = 1").collect()]
     good = [r.content_share >= 0.5 for r, q in judged if q == 1]
     junk = [not r.kept for r, q in judged if q == 0]
-    print(np.mean(good), np.mean(junk))
     assert np.mean(good) > 0.99 and np.mean(junk) > 0.8
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    prose, other = ([x for r in held if r.quality == q for x in r.text.split("\n") if WORD.search(x)] for q in (1, 0))
+    right = whole = mixed = 0
+    for k in range(150):
+        parts = [(prose[k * 20 : k * 20 + 10], 1), (other[k * 10 : k * 10 + 10], 0), (prose[k * 20 + 10 : k * 20 + 20], 1)]
+        text, want = "\n".join(x for part, _ in parts for x in part), [y for part, y in parts for _ in part]
+        got = viterbi(Parsed(text).features @ weights, moves)
+        right, whole, mixed = right + sum(a == b for a, b in zip(got, want, strict=True)), whole + len(want), mixed + (0 < sum(got) < len(got))
+    print(np.mean(good), np.mean(junk), right / whole, mixed, moves)
+    assert right / whole >= 0.9 and mixed >= 110  # some junk is prose told again and again, and its lines alone are prose
+
+
+def test_spliced_lines_keep_their_labels():
+    text, marks = spliced("a a\n\nb b\nc c", "x x\ny y", 30)
+    assert [m for m, line in zip(marks, text.split("\n"), strict=True) if line[0] in "xy"] == [0] * marks.count(0) and marks.count(1) == 3 and marks.count(0) > 0
 
 
 def test_odd_rows(spark):

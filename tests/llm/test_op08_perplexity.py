@@ -109,6 +109,6 @@ def test_odd_rows(spark):
     assert [r.kept for r in classify(docs, none).collect()] == [True] * 6
     assert classify(docs.where("doc_id = 77"), labels).count() == 0
     # repeated documents tie: all or none of them are kept
-    same = docs.where("doc_id = 4").withColumn("doc_id", F.explode(F.sequence(F.lit(10), F.lit(29))).cast("long"))
+    same = docs.where("doc_id = 4").withColumn("doc_id", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(29).cast("long"))))
     many = labels.unionByName(spark.range(10, 30).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
     assert {r.kept for r in classify(same, many).collect()} == {True}
