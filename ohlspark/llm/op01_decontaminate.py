@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -25,7 +26,7 @@ WINDOW = 10
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_automata: dict[int, ahocorasick.Automaton] = {}  # of this worker, by the broadcast's id
+_automata: dict[str, ahocorasick.Automaton] = {}  # of this worker: the last one that was used, by its name
 
 
 def lowered(text: str) -> str:
@@ -81,26 +82,25 @@ def _joined(ranges: list[tuple[int, int]], ids: set[int], old_ranges: list[dict]
     return merged([*ranges, *((x["start"], x["end"]) for x in old_ranges)]), ids | set(old_ids)
 
 
-def _pass(docs: DataFrame, items: Broadcast, size: int, carry: list[str]) -> DataFrame:
+def _pass(docs: DataFrame, items: Broadcast, size: int, carry: list[str], again: bool) -> DataFrame:
     """Adds n_words, word_ranges and item_ids, or what this block of items adds to them."""
     more = {"n_words": T.LongType(), "word_ranges": SPANS, "item_ids": T.ArrayType(T.LongType()), "spans": SPANS}
     schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(k, t) for k, t in more.items())])
-    again = "word_ranges" in docs.columns
+    name = uuid4().hex
     docs = docs.select(*dict.fromkeys([*carry, "text", *(["word_ranges", "item_ids"] if again else [])]))
 
     kinds = pa.schema([("n_words", pa.int64()), ("word_ranges", _RANGES), ("item_ids", pa.list_(pa.int64())), ("spans", _RANGES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(items.value)
-        if key not in _automata:
+        if name not in _automata:
             _automata.clear()
-            _automata[key] = automaton_of(items.value, size)
+            _automata[name] = automaton_of(items.value, size)
         for b in batches:
             rows = {k: [] for k in kinds.names}
             before = zip(b["word_ranges"].to_pylist(), b["item_ids"].to_pylist(), strict=True) if again else None
             for text in b["text"].to_pylist():
                 text = text or ""
-                n, ranges, ids = scan(text, _automata[key])
+                n, ranges, ids = scan(text, _automata[name])
                 if before:
                     ranges, ids = _joined(ranges, ids, *next(before))
                 spans = []
@@ -121,9 +121,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep:
 
     A document word is hit if it lies in any occurrence of a window of `size` consecutive item
     words; an item of fewer words is one window. Null texts have no words; items without words or
-    without an id are left out; no items, no hits. Repeated rows each get their result.
+    without an id are left out; no items, no hits. Repeated rows each get their result. Other columns are
+    dropped; `keep` names none that the result adds.
     """
     carry = keep or ["doc_id"]
+    docs = docs.select(*dict.fromkeys([*carry, "text"]))
     items = benchmark.select("item_id", "text").dropna()
     sizes = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-sizes // block_bytes))
@@ -132,15 +134,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         block = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # a block is bounded
         last = k == blocks - 1
-        out = _pass(out, block, size, carry if last else list(dict.fromkeys([*carry, "text"])))
+        out = _pass(out, block, size, carry if last else list(dict.fromkeys([*carry, "text"])), k > 0)
         if not last:
             out = settled(out)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents without a hit, with the columns they came with."""
-    return find_leaks(docs, benchmark, size, keep=docs.columns).where(F.size("word_ranges") == 0).select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents without a hit, with the columns they came with, whatever their names."""
+    found = find_leaks(docs.select(F.struct("*").alias("row"), "text"), benchmark, size, keep=["row"], block_bytes=block_bytes)
+    return found.where(F.size("word_ranges") == 0).select("row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,12 @@ def _draw(doc_id: Column, path: str, weight: float) -> Column:
 
 
 def _descend(doc_id: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """children: (path, weight, what it gives). The child with the least draw; ties go to the first."""
+    """children: (path, weight, what it gives). The child with the least draw; ties go to the first, without weight none goes."""
+    children = [c for c in children if c[1] > 0] or children[:1]
     if len(children) == 1:
         return children[0][2]
-    draws = [_draw(doc_id, path, weight) for path, weight, _ in children if weight > 0]
-    gives = [give for _, weight, give in children if weight > 0]
+    draws = [_draw(doc_id, path, weight) for path, weight, _ in children]
+    gives = [give for *_, give in children]
     least, out = F.least(*draws), gives[-1]
     for d, g in list(zip(draws, gives, strict=True))[-2::-1]:
         out = F.when(d == least, g).otherwise(out)

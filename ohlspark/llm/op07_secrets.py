@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ohlspark.llm.common import LOWER, UPPER, ascii_lower, broadcast_if, fresh, settled, table
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: A run of 16 key characters or more, or one of 8 or more, other marks too, that a key's name and a quote introduce.
+CANDIDATE = r"""[A-Za-z0-9+/_=-]{16,}|(?<=(?i:token|secret|passwd|password|pwd|key)["']?\s{0,2}[:=]{1,2}\s{0,2}["'])[A-Za-z0-9+/_=!@#$%^&*?.-]{8,64}(?=["'])"""
 #: Characters on either side that the features look at.
 AROUND = 48
 #: A run of letters is a dictionary word if the documents hold it so many times.
@@ -99,45 +100,55 @@ def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
     return found.join(covered, "candidate", "left").select(*found.columns, *(v.cast("double").alias(k) for k, v in made.items()))
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """A made table of labelled findings: candidate, before, after, label. Used where none is given.
+def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """A made table of labelled findings: candidate, before, after, kind, label. Used where none is given.
 
-    Secrets: digests, mixed and prefixed keys next to words that name a key. Others: the same kinds of
-    strings next to words that name a digest or an id, plain long words and numbers, paths, host
-    names, placeholders, and rules of dashes.
+    The label says what the string is, not where it stands: keys, passwords and prefixed keys are secrets; digests,
+    identifiers, long words, numbers, paths, placeholders and rules are not. Where it stands is drawn apart, from shares that
+    differ by kind: most keys stand next to a key's name, but one in eight stands in prose or next to another name; most
+    digests stand next to a digest's name or in prose, but one in twenty next to a key's name.
     """
     i = F.col("id")
     draw = lambda k, n: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)).cast("int")
-    pick = lambda k, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), draw(k, len(xs)) + 1)
+    pick = lambda k, *xs: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs)), draw(k, len(xs)) + 1)
     hexa = F.concat(F.md5(F.concat(F.lit("h"), i.cast("string")).cast("binary")), F.sha1(i.cast("string").cast("binary")))
+    hexa = F.when(draw("upper", 5) == 0, F.upper(hexa)).otherwise(hexa)
     mixed = F.regexp_replace(F.base64(F.unhex(F.concat(hexa, hexa))), "[^A-Za-z0-9+/=]", "")
     plain = F.regexp_replace(mixed, "[+/=]", "")
     cut = lambda s, a, b, k: F.left(s, F.lit(a) + draw(k, b - a + 1))
     syllables = [pick(f"s{k}", "an", "ing", "the", "er", "tion", "re", "st", "un", "ver", "gen", "ado", "que", "eau", "able", "or") for k in range(9)]
     word = F.concat(*syllables)
     number = F.concat(*(draw(f"n{k}", 10).cast("string") for k in range(16)))
-    secret = F.element_at(F.array(
-        F.left(hexa, F.lit(32)), F.substring(hexa, 20, 40), hexa, cut(mixed, 24, 64, "a"), cut(plain, 20, 44, "b"), F.concat(F.lit("AKIA"), F.upper(F.left(plain, F.lit(16)))),
-        F.concat(F.lit("ghp_"), F.left(plain, F.lit(36))), F.concat(F.lit("sk_live_"), F.left(plain, F.lit(24))), F.concat(F.left(word, F.lit(8)), F.lit("_"), F.left(hexa, F.lit(24))),
-    ), draw("kind", 9) + 1)
-    other = F.element_at(F.array(
-        word, F.concat_ws("_", *syllables[:4]), F.concat_ws("/", F.lit("usr"), *syllables[:5]), number, F.concat_ws("-", *(F.substring(hexa, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
-        F.repeat(pick("rule", "-", "=", "_"), 20 + draw("r", 40)), pick("ph", "your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLE_TOKEN_000000", "changeme_changeme_1"), F.concat(F.initcap(word), F.initcap(syllables[2]), number.substr(1, 2)),
-    ), draw("kind", 8) + 1)
-    name = pick("name", "token", "api_key", "secret", "password", "auth_token", "access key", "private_key", "credentials", "Authorization: Bearer", "client secret", "passwd", "API-KEY")
+    random = pick("random", F.left(hexa, F.lit(32)), F.substring(hexa, 20, 40), hexa)
+    kinds = {
+        "key": (pick("key", random, cut(mixed, 24, 64, "a"), cut(plain, 20, 44, "b")), 1),
+        "prefixed": (pick("prefixed", F.concat(F.lit("AKIA"), F.upper(F.left(plain, F.lit(16)))), F.concat(F.lit("ghp_"), F.left(plain, F.lit(36))), F.concat(F.lit("sk_live_"), F.left(plain, F.lit(24)))), 1),
+        "password": (F.concat(cut(plain, 6, 11, "p"), pick("pm", "!", "#7", "_x9", "@1", "2024", "$")), 1),
+        "digest": (random, 0),
+        "identifier": (pick("id", F.concat_ws("-", *(F.substring(hexa, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), number, F.concat(F.initcap(word), number.substr(1, 2))), 0),
+        "words": (pick("words", word, F.concat_ws("_", *syllables[:4]), F.concat_ws("-", *syllables[:5])), 0),
+        "path": (F.concat_ws("/", F.lit("usr"), *syllables[:5]), 0),
+        "placeholder": (pick("ph", "your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLE_TOKEN_000000", "changeme_changeme_1", "required", "optional_value", F.repeat(pick("rule", "-", "=", "_"), F.lit(20) + draw("r", 40))), 0),
+    }
+    name = pick("name", "token", "api_key", "secret", "password", "auth_token", "access key", "private_key", "credentials", "Authorization: Bearer", "client secret", "passwd", "API-KEY", "TOKEN")
     to = pick("to", " = ", "=", ": ", ":", " := ", " ")
-    quote = pick("quote", '"', "'", "")
-    thing = pick("thing", "commit", "sha1", "sha256", "md5", "checksum", "uuid", "digest", "build", "version", "revision")
+    quote = pick("quote", '"', "'", '"', "")
     prose = F.concat(pick("p1", "of the ", "and ", "que la ", "und ", "see "), pick("p2", "inner ", "casa ", "werk ", "other ", ""))
-    label = F.pmod(i, F.lit(10)) < 5
-    digest = F.pmod(i, F.lit(10)) >= 8
-    odd = draw("odd", 12)  # some of the other kinds stand next to a key's name
-    return spark.range(n).select(
-        F.when(label | digest, secret).otherwise(other).alias("candidate"),
-        F.when(label, F.concat(prose, name, to, quote)).when(digest, F.concat(prose, thing, to, quote)).when(odd == 0, F.concat(prose, name, to, quote)).otherwise(prose).alias("before"),
-        F.when(label | digest | (odd == 0), F.concat(quote, F.lit(" and the"))).otherwise(pick("end", " and", ", the", ".", "/x", ".html", "\n")).alias("after"),
-        label.cast("double").alias("label"),
-    )
+    thing = pick("thing", "commit", "sha1", "sha256", "md5", "checksum", "uuid", "digest", "build", "version", "revision")
+    at = draw("place", 40)
+    # of forty: so many next to a key's name, then so many in prose; the rest next to a digest's name
+    shares = {"key": (35, 3), "prefixed": (24, 12), "password": (40, 0), "digest": (2, 14), "identifier": (1, 30), "words": (2, 38), "path": (1, 37), "placeholder": (20, 20)}
+    kind = pick("kind", "key", "key", "key", *kinds)
+    by = lambda what: F.coalesce(*(F.when(F.col("kind") == k, F.lit(v) if isinstance(v, int) else v) for k, v in what.items()))
+    named, plainly = by({k: v[0] for k, v in shares.items()}), by({k: v[0] + v[1] for k, v in shares.items()})
+    mark = F.when(F.col("kind") == "password", '"').otherwise(quote)
+    key = F.concat(prose, F.when(F.col("kind") == "password", pick("pw", "password", "passwd", "pwd", "secret", "token")).otherwise(name), F.when(F.col("kind") == "password", pick("pt", " = ", "=", ": ")).otherwise(to), mark)
+    return spark.range(n).withColumn("kind", kind).select(
+        by({k: v[0] for k, v in kinds.items()}).alias("candidate"),
+        F.when(at < named, key).when(at < plainly, prose).otherwise(F.concat(prose, thing, to, quote)).alias("before"),
+        F.when(at < named, F.concat(mark, F.lit(" and the"))).when(at < plainly, pick("end", " and", ", the", ".", " of", "\n")).otherwise(F.concat(quote, F.lit(" and the"))).alias("after"),
+        "kind", by({k: v[1] for k, v in kinds.items()}).cast("double").alias("label"),
+    )
 
 
 def forest(findings: DataFrame) -> RandomForestClassificationModel:

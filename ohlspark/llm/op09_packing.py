@@ -26,7 +26,7 @@ from ohlspark.llm.common import settled, table
 LENGTH, OPEN, END_ID = 2048, 64, 1
 #: A piece is cut to fill the window that is emitted if its gap has this many tokens or more.
 FILL = 128
-CACHE, AT_ONCE = 400_000, 1_000_000  # words a worker keeps; characters tokenized together
+CACHE, AT_ONCE = 200_000, 1_000_000  # words a worker keeps; characters tokenized together
 
 KINDS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset")), ("open", pa.bool_())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"

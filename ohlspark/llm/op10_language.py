@@ -23,6 +23,8 @@ from ohlspark.llm.urls import url_host, url_path
 
 #: At most so many labelled texts train the model of each language, those whose ids hash least.
 SAMPLE = 2000
+#: The table of log-probabilities goes to every task: at most so many languages (128 MB).
+LANGUAGES = 256
 SLOTS = 1 << 16
 #: Text counts as so many independent trigrams at most: neighbouring trigrams tell much the same.
 EVIDENCE = 60.0
@@ -43,10 +45,12 @@ def slots(text: str) -> np.ndarray:
 
 
 def text_model(texts: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """texts(doc_id, text, lang) -> the languages, sorted, and log-probabilities (SLOTS, languages)."""
+    """texts(doc_id, text, lang) -> the languages, sorted, and log-probabilities (SLOTS, languages). More than LANGUAGES languages are refused."""
     known = texts.where("text IS NOT NULL AND lang IS NOT NULL")
     order = F.xxhash64("doc_id", "lang")
-    cut = known.groupBy("lang").agg(F.count("*").alias("n"))
+    cut = settled(known.groupBy("lang").agg(F.count("*").alias("n")))
+    if (found := cut.count()) > LANGUAGES:
+        raise ValueError(f"{found} languages; at most {LANGUAGES}")
     # of n texts those in the first sample / n of the hash's range: about `sample`, without sorting a language in one task
     share = (order.cast("double") / 2.0**64 + 0.5) < F.col("share")
     some = known.select("doc_id", "lang", "text").join(F.broadcast(cut.select("lang", (sample / F.col("n")).alias("share"))), "lang").where(share)
