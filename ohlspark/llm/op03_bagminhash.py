@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlspark.llm.common import broadcast_if, settled, table
+from ohlspark.llm.common import broadcast_if, fresh, settled, table
 from ohlspark.llm.graph import components
 from ohlspark.llm.op01_decontaminate import WORD, lowered
 
@@ -412,9 +412,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = found.groupBy("comp", "doc_id", "node").agg(F.count("*").alias("n")).groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node", "n")).alias("best")
     )
-    best = settled(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.node").alias("best_node"), F.col("best.n").alias("best_n")))
+    own_id, own_node, times = (fresh(c, docs) for c in ("best_id", "best_node", "best_n"))
+    best = settled(best.select(F.col("best.doc_id").alias(own_id), F.col("best.node").alias(own_node), F.col("best.n").alias(times)))
     d = docs.alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("best_id")) & (text_key(F.col("d.text")) == F.col("best_node"))
-    once = d.join(best.where("best_n = 1"), same, "left_semi")
-    again = d.join(best.where("best_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col("d.text")) == F.col(own_node))
+    once = d.join(best.where(F.col(times) == 1), same, "left_semi")
+    again = d.join(best.where(F.col(times) > 1), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).unionByName(docs.where(F.col("text").isNull()))
