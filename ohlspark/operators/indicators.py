@@ -23,6 +23,9 @@ class Registry(dict[str, Indicator]):
     def register(self, name: str, indicator: Indicator) -> None:
         self[name] = indicator
 
+    def reset_all(self) -> None:
+        """Series are functions of their bars and keep no state, so there is nothing to put back; names stay registered."""
+
     def values(self, name: str, bars: DataFrame) -> DataFrame | None:
         return self[name](bars) if name in self else None
 

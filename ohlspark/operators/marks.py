@@ -74,10 +74,17 @@ def axis_labels(window: DataFrame, start: float, visible: float, time: str = "ti
 
 
 def crosshair(bars: DataFrame, cursors: DataFrame, scale: Scale, time: str = "time_text") -> DataFrame:
-    """cursors(cursor_id, x, y), a few -> the bar that each picks, its time label and the price under it. Hidden without a bar."""
+    """cursors(cursor_id, x, y), a few -> the position that each picks, its time label, null where no bar
+    stands there, and the price under the cursor."""
     picks = cursors.select("cursor_id", scale.index(F.col("x")).cast("long").alias("idx"), tick_quantise(scale.value(F.col("y"))).alias("price"))
-    found = bars.join(F.broadcast(picks), "idx")
-    return found.select("cursor_id", "idx", crosshair_label(F.col(time)).alias("time_label"), format_fixed(F.col("price"), 2).alias("price_label"))
+    found = bars.select("idx", F.col(time).alias("text")).join(F.broadcast(picks.select("idx").distinct()), "idx", "left_semi")
+    label = F.when(F.col("text").isNotNull(), crosshair_label(F.col("text")))
+    return picks.join(F.broadcast(found), "idx", "left").select("cursor_id", "idx", label.alias("time_label"), format_fixed(F.col("price"), 2).alias("price_label"))
+
+
+def atr_crosshair(cursors: DataFrame, scale: Scale) -> DataFrame:
+    """cursors(cursor_id, x, y) over the ATR panel -> the value under each, not sent to a tick."""
+    return cursors.select("cursor_id", "x", "y", format_fixed(scale.value(F.col("y")), 4).alias("atr_label"))
 
 
 def hover_hits(bars: DataFrame, cursors: DataFrame, scale: Scale, slack: float = 5) -> DataFrame:
@@ -85,3 +92,47 @@ def hover_hits(bars: DataFrame, cursors: DataFrame, scale: Scale, slack: float =
     picks = cursors.select("cursor_id", "y", scale.index(F.col("x")).cast("long").alias("idx"))
     a, b = scale.y(F.col("high")), scale.y(F.col("low"))
     return bars.join(F.broadcast(picks), "idx").where(F.col("y").between(F.least(a, b) - slack, F.greatest(a, b) + slack)).select("cursor_id", "idx")
+
+
+# Fixed colours of marks.
+UP, DOWN, ATR_LINE, GRID, GRID_TEXT, TIME_TEXT, DAY_TEXT = "#26a69a", "#ef5350", "#75bbfd", "#1f2933", "#787b86", "#4b4b4c", "#000000"
+#: Where the texts of the value axis and of the time axis are centred.
+AXIS_X, AXIS_Y = 37.0, 12.0
+MARK = ["panel", "kind", "x1", "y1", "x2", "y2", "color", "text"]
+
+
+def marks_of(rows: DataFrame, panel: str, kind: str, x1: Column, y1: Column, x2: Column | None, y2: Column | None, color: Column, text: Column | None = None) -> DataFrame:
+    """One kind of mark as rows of the common mark table."""
+    number = lambda c: (F.lit(None) if c is None else c).cast("double")
+    shown = (F.lit(None) if text is None else text).cast("string")
+    return rows.select(F.lit(panel).alias("panel"), F.lit(kind).alias("kind"), number(x1).alias("x1"), number(y1).alias("y1"), number(x2).alias("x2"), number(y2).alias("y2"), color.alias("color"), shown.alias("text"))
+
+
+def panel_grid(ends: DataFrame, scale: Scale, panel: str) -> DataFrame:
+    """Grid lines across the plot and their labels on the value axis."""
+    lines = grid(ends, scale.height)
+    y = scale.y(F.col("value"))
+    line = marks_of(lines, panel, "grid", F.lit(0), y, F.lit(scale.width), y, F.lit(GRID))
+    return line.unionByName(marks_of(lines, panel, "grid_label", F.lit(AXIS_X), y, None, None, F.lit(GRID_TEXT), F.col("label")))
+
+
+def time_axis(labels: DataFrame, start: float, scale: Scale) -> DataFrame:
+    """axis_labels -> their texts, centred on their bars."""
+    x = scale.x_centre(F.col("rel_index") + start)
+    return marks_of(labels, "time", "time_label", x, F.lit(AXIS_Y), None, None, F.when(F.col("is_day_change"), DAY_TEXT).otherwise(TIME_TEXT), F.col("label"))
+
+
+def frame(window: DataFrame, prices: Scale, price_ends: DataFrame, values: DataFrame, atrs: Scale, atr_ends: DataFrame, labels: DataFrame, start: float) -> DataFrame:
+    """All marks of a view as one table (MARK): grids, wicks and bodies, the ATR line and the time axis. An empty window gives no rows."""
+    candles = candle_marks(window, prices)
+    color = F.when(F.col("direction") == "up", UP).otherwise(DOWN)
+    parts = [
+        panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atrs, "atr"),
+        marks_of(candles, "price", "wick", F.col("x"), F.col("y_high"), F.col("x"), F.col("y_low"), color), marks_of(candles, "price", "body", F.col("x1"), F.col("y_top"), F.col("x2"), F.col("y_bottom"), color),
+        marks_of(polyline(values, atrs, "atr"), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, start, prices),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    some = window.select(F.lit(1).alias("some")).limit(1)
+    return out.join(F.broadcast(some), how="left_semi")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohlspark.functions.scalars import bucket_key
-from ohlspark.schema import timeframe_minutes
+from ohlspark.operators.series import indexed
+from ohlspark.schema import TIMEFRAMES, timeframe_minutes
+
+#: Rows of a cell of seq.
+CELL = 100_000
 
 _ohlcv = lambda order: [F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume")]
 
@@ -18,39 +24,62 @@ def resample(bars: DataFrame, tf: str) -> DataFrame:
     return bars.select("series", slot.alias("slot"), "time", "open", "high", "low", "close", "volume").groupBy("series", "slot").agg(*_ohlcv("time")).withColumnRenamed("slot", "time")
 
 
-def resample_runs(bars: DataFrame, tf: str) -> DataFrame:
+def numbered_runs(rows: DataFrame, key: str, order: list[str], cell: Column) -> DataFrame:
+    """rows(series, key, ...) with run: runs of equal keys in the order of `order`, from 0 in each series. cell never falls along
+    that order; a series is dealt out over its cells, and of each only its ends and number of runs meet the others."""
+    rows = rows.withColumn("cell", cell)
+    w = Window.partitionBy("series", "cell").orderBy(*order)
+    at = F.struct(*order)
+    inner = rows.withColumn("inner", F.coalesce((F.lag(key).over(w) != F.col(key)).cast("long"), F.lit(0).cast("long")))
+    cells = inner.groupBy("series", "cell").agg(F.min_by(key, at).alias("first_key"), F.max_by(key, at).alias("last_key"), F.sum("inner").alias("n"))
+    c = Window.partitionBy("series").orderBy("cell")
+    starts = (~F.lag("last_key").over(c).eqNullSafe(F.col("first_key"))).cast("long")
+    cells = cells.withColumn("starts", starts)
+    before = F.coalesce(F.sum(F.col("n") + F.col("starts")).over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = cells.select("series", "cell", (before + F.col("starts") - 1).alias("base"))
+    inside = F.sum("inner").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return inner.withColumn("inside", inside).join(base, ["series", "cell"]).withColumn("run", (F.col("base") + F.col("inside")).cast("long")).drop("inner", "inside", "base", "cell")
+
+
+def resample_runs(bars: DataFrame, tf: str, order: list[str] | None = None, cell: Column | None = None) -> DataFrame:
     """bars(series, seq, time text, ...) in order of arrival -> runs of equal bucket keys, numbered by run.
 
     A key that returns later gives a second bar; rows whose time can't be read are passed over without
-    ending a run; seconds and zone stay part of the key. Runs are numbered by cells of seq, so
-    a series is dealt out over its cells.
+    ending a run; seconds and zone stay part of the key. Order and cells are those of seq where none are given.
     """
-    minutes = timeframe_minutes(tf)
-    cell = F.floor(F.col("seq") / 100_000)
+    order, minutes = order or ["seq"], timeframe_minutes(tf)
     # explode keeps the regular expressions from being run again for every use of the key
-    rows = bars.select("*", F.explode(F.array(bucket_key(F.col("time"), minutes))).alias("key")).where("key IS NOT NULL").withColumn("cell", cell)
-    w = Window.partitionBy("series", "cell").orderBy("seq")
-    cells = rows.groupBy("series", "cell").agg(F.max_by("key", "seq").alias("last_key"))
-    carried = cells.select("series", "cell", F.lag("last_key").over(Window.partitionBy("series").orderBy("cell")).alias("carried"))
-    first = F.row_number().over(w) == 1
-    marked = rows.withColumn("lagged", F.lag("key").over(w)).withColumn("first", first).join(carried, ["series", "cell"])
-    before = F.when(F.col("first"), F.col("carried")).otherwise(F.col("lagged"))
-    marked = marked.withColumn("starts", (~before.eqNullSafe(F.col("key"))).cast("long"))
-    starts = marked.groupBy("series", "cell").agg(F.sum("starts").alias("n"))
-    upto = Window.partitionBy("series").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = starts.select("series", "cell", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    return marked.withColumn("in_cell", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(base, ["series", "cell"]).withColumn(
-        "run", (F.col("base") + F.col("in_cell") - 1).cast("long")
-    ).groupBy("series", "run", "key").agg(*_ohlcv("seq")).withColumnRenamed("key", "time")
-
-
-def merge_deltas(rows: DataFrame) -> DataFrame:
+    rows = bars.select("*", F.explode(F.array(bucket_key(F.col("time"), minutes))).alias("key")).where("key IS NOT NULL")
+    runs = numbered_runs(rows, "key", order, F.floor(F.col("seq") / CELL) if cell is None else cell)
+    return runs.groupBy("series", "run", "key").agg(*_ohlcv(F.struct(*order))).withColumnRenamed("key", "time")
+
+
+def merge_deltas(rows: DataFrame, order: list[str] | None = None, cell: Column | None = None, compat: str = "reference") -> DataFrame:
     """rows(series, seq, time, ...) of live updates -> bars: consecutive rows of a time are one bar, that
     keeps the first open, takes the extremes, the last close and the last volume. A row of another time
-    starts a new last bar, earlier or not."""
-    w = Window.partitionBy("series").orderBy("seq")
-    starts = (~F.lag("time").over(w).eqNullSafe(F.col("time")) | (F.row_number().over(w) == 1)).cast("long")
-    runs = rows.where("time IS NOT NULL").withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    starts a new last bar, earlier or not. With compat `reference` a row without a low takes the bar's low away (prices not below
+    zero); with `corrected` it is passed over. Rows without a time are no updates."""
+    order = order or ["seq"]
+    at = F.struct(*order)
+    runs = numbered_runs(rows.where("time IS NOT NULL"), "time", order, F.floor(F.col("seq") / CELL) if cell is None else cell)
+    low = F.min("low") if compat == "corrected" else F.when(F.count("low") == F.count("*"), F.min("low"))
     return runs.groupBy("series", "run", "time").agg(
-        F.min_by("open", "seq").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "seq").alias("close"), F.max_by("volume", "seq").alias("volume")
+        F.min_by("open", at).alias("open"), F.max("high").alias("high"), low.alias("low"), F.max_by("close", at).alias("close"), F.max_by("volume", at).alias("volume")
     )
+
+
+def build_timeframes(bars: DataFrame) -> DataFrame:
+    """One-minute bars -> the bars of every timeframe, with tf and idx (from 0 in each series and timeframe)."""
+    out = None
+    for tf in TIMEFRAMES:
+        one = indexed(bars if tf == "1m" else resample(bars, tf)).withColumn("tf", F.lit(tf))
+        out = one if out is None else out.unionByName(one)
+    return out.select("series", "tf", "idx", "time", "open", "high", "low", "close", "volume")
+
+
+def active(bars: DataFrame, tf: str) -> DataFrame:
+    """The bars of a timeframe in a table of build_timeframes. A timeframe without bars, where the base has some, is told of in the log."""
+    out = bars.where(F.col("tf") == tf)
+    if out.isEmpty() and not bars.where("tf = '1m'").isEmpty():
+        logging.getLogger(__name__).warning("timeframe %s has no bars; build_timeframes makes them", tf)
+    return out

@@ -1,10 +1,14 @@
-"""The state of a view and how actions change it; plain values, no data."""
+"""The state of a view and how actions change it: plain values, and a fold over a table of sessions."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from ohlspark.schema import TIMEFRAMES, VISIBLE_AFTER_RESET, VISIBLE_AT_START
 
 
@@ -24,8 +28,8 @@ def _half_away(v: float) -> int:
 
 
 def clamped(offset: float, visible: float, n: int) -> float:
-    """At most n - 2; that bound comes last among the lower one, -(visible - 2), and wins."""
-    return max(-(visible - 2), min(offset, n - 2))
+    """At least -(visible - 2) and at most n - 2; the upper bound comes last and wins."""
+    return min(max(offset, -(visible - 2)), n - 2)
 
 
 def zoom(v: View, n: int, delta: float, x: float = 0, ctrl: bool = False, width: float | None = 800, left: float = 0, right: float = 0) -> View:
@@ -37,6 +41,7 @@ def zoom(v: View, n: int, delta: float, x: float = 0, ctrl: bool = False, width:
     offset = v.offset
     if ctrl:
         plot = width - left - right
+        plot = plot if plot > 0 else 1
         exact = (x - left) / (plot / v.visible) + (n - v.visible - v.offset)
         offset = n - new - (exact - (x - left) / (plot / new))
     return replace(v, visible=new, offset=clamped(offset, new, n))
@@ -64,7 +69,9 @@ def vertical_pan(v: View, dy: float, height: float = 400, atr: bool = False) ->
 
 
 def drag_time_axis(v: View, dx: float) -> View:
-    """Rounded; the offset is not held within bounds again."""
+    """Rounded; the offset is not held within bounds again. No move changes nothing."""
+    if not dx:
+        return v
     return replace(v, visible=_half_away(max(2, v.visible * (1 - 0.005 * dx))))
 
 
@@ -97,7 +104,13 @@ def set_auto(v: View, auto: bool, atr_ends: tuple[float, float] | None = None, e
 
 
 def set_timeframe(v: View, tf: str) -> View:
-    return replace(reset(v), tf=tf) if tf in TIMEFRAMES else v
+    """An unknown timeframe leaves the old one; the view is reset all the same."""
+    return replace(reset(v), tf=tf if tf in TIMEFRAMES else v.tf)
+
+
+def active_panel(y: float, price_height: float = 400, atr_height: float = 160) -> str | None:
+    """The panel under a cursor, where the ATR panel lies below the price panel."""
+    return "price" if 0 <= y < price_height else "atr" if price_height <= y < price_height + atr_height else None
 
 
 ACTIONS = {f.__name__: f for f in (zoom, vertical_zoom, pan, vertical_pan, drag_time_axis, drag_value_axis, press, reset, set_auto, set_timeframe)}
@@ -108,3 +121,21 @@ def replay(v: View, n: int, events: list[tuple]) -> list[View]:
     """The states after each (action, *arguments)."""
     step = lambda states, e: [*states, ACTIONS[e[0]](states[-1], *([n] if e[0] in _SIZED else []), *e[1:])]
     return reduce(step, events, [v])[1:]
+
+
+STATES = "session string, step long, action string, visible double, offset double, auto boolean, y_min double, y_max double, atr_min double, atr_max double, tf string"
+
+
+def traces(actions: DataFrame) -> DataFrame:
+    """actions(session, step, n: bars of the series, action, args: json list) -> the states of each session's view after each of its
+    actions, in order of step; sessions are independent and each starts with a new view."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, v, out = rows.sort_values("step"), View(), []
+        for r in rows.itertuples():
+            args = [tuple(a) if isinstance(a, list) else a for a in json.loads(r.args)]
+            v = replay(v, int(r.n), [(r.action, *args)])[0]
+            out.append((r.session, r.step, r.action, float(v.visible), float(v.offset), v.auto, *(v.y or (None, None)), *(v.atr_y or (None, None)), v.tf))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+
+    return actions.groupBy("session").applyInPandas(fold, STATES)

@@ -5,20 +5,25 @@ Computed doubles are rounded to six digits on both sides, as sums differ in thei
 
 from __future__ import annotations
 
+import json
+import tempfile
+from pathlib import Path
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohlspark.functions.scalars import direction, eq_tolerance, tick_quantise
+from ohlspark.functions.scalars import direction, eq_tolerance, number, round_half_away, tick_quantise
 from ohlspark.functions.scale import Scale, atr_scale, price_scale
 from ohlspark.operators import extensions as X
 from ohlspark.operators import marks as M
 from ohlspark.operators import view as V
 from ohlspark.operators.indicators import REGISTRY, true_range, wilder_atr, with_repeated_last
 from ohlspark.operators.ranges import atr_range, price_range
-from ohlspark.operators.resample import merge_deltas, resample, resample_runs
+from ohlspark.operators.resample import active, build_timeframes, merge_deltas, resample, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
 from ohlspark.schema import ANCHOR_TYPES
-from ohlspark.sources.bars import event_bars, lineitem_bars, order_bars
+from ohlspark.sources.bars import complete, event_bars, lineitem_bars, order_bars, read_csv, typed_bars
 
 QUERIES = {}
 SQL = {}
@@ -112,19 +117,9 @@ m AS (SELECT *, CASE WHEN lag(key) OVER (ORDER BY seq) = key THEN 0 ELSE 1 END A
 g AS (SELECT *, sum(brk) OVER (ORDER BY seq) - 1 AS run FROM m)
 SELECT run::BIGINT AS run, key AS time, arg_min(value, seq) AS open, max(value) AS high, min(value) AS low, arg_max(value, seq) AS close, count(*)::DOUBLE AS volume FROM g GROUP BY 1, 2""")
 def bars_5m_islands(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("series"), F.col("ts").alias("time"), "event_id", "value", F.col("value").alias("close"))
-    e = indexed_by_event(e)
-    one = e.select("series", "seq", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit(1.0).alias("volume"))
-    return resample_runs(one, "5m").select("run", *OHLCV)
-
-
-def indexed_by_event(e: DataFrame) -> DataFrame:
-    """seq in order of (time, event_id)."""
-    cells = e.withColumn("time", F.struct("time", "event_id")).withColumn("day", F.to_date("time.time"))
-    n = cells.groupBy("series", "day").agg(F.count("*").alias("n"))
-    first = n.select("series", "day", F.coalesce(F.sum("n").over(Window.partitionBy("series").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    nth = F.row_number().over(Window.partitionBy("series", "day").orderBy("time")) - 1
-    return cells.withColumn("nth", nth).join(first, ["series", "day"]).select("series", F.col("time.time").alias("time"), "value", (F.col("first") + F.col("nth")).cast("long").alias("seq"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    one = e.select(F.lit("all").alias("series"), "ts", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit(1.0).alias("volume"))
+    return resample_runs(one, "5m", ["ts", "event_id"], F.date_trunc("hour", "ts")).select("run", *OHLCV)
 
 
 @query(f"SELECT l_shipdate AS time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM (SELECT l_shipdate, {_agg.format(p='l_extendedprice / l_quantity', o='(l_orderkey, l_linenumber, l_partkey, l_suppkey)', v='sum(l_quantity)')} FROM lineitem GROUP BY 1)")
@@ -275,10 +270,10 @@ def atr_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale, float]:
 
 
 _Y = "(385 - ({} - y_min) / (y_max - y_min) * 370)"
-_X = "((idx - (n - 100)) * 8.0 + 4.0)"
+_X = "((idx - (n - 100)) * 8.0::DOUBLE + 4.0::DOUBLE)"
 
 
-@query(f"""{_PRICE} SELECT idx, round({_X}, 4) AS x, round({_Y.format('high')}, 4) AS y_high, round({_Y.format('low')}, 4) AS y_low, round({_X} - 3.2, 4) AS x1, round({_X} + 3.2, 4) AS x2,
+@query(f"""{_PRICE} SELECT idx, round({_X}, 4) AS x, round({_Y.format('high')}, 4) AS y_high, round({_Y.format('low')}, 4) AS y_low, round({_X} - 3.2::DOUBLE, 4) AS x1, round({_X} + 3.2::DOUBLE, 4) AS x2,
 round(least({_Y.format('open')}, {_Y.format('close')}), 4) AS y_top, round(greatest({_Y.format('open')}, {_Y.format('close')}), 4) AS y_bottom, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM w, p, n""")
 def candle_marks(spark, d):
     return rounded(M.candle_marks(*price_view(spark, d)), 4)
@@ -348,19 +343,57 @@ def cursors(spark: SparkSession) -> DataFrame:
 _CURSOR = "c AS (SELECT i AS cursor_id, i * 20.5 AS x, i * 9.75 + 10 AS y FROM range(40) t(i)), k AS (SELECT cursor_id, y, (trunc(x / 8.0 + 0.5) + n - 100)::BIGINT AS idx FROM c, n)"
 
 
-@query(f"""{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx, strftime(time, '%d %b %Y %H:%M') AS time_label, printf('%.2f', trunc((y_min + (385 - y) / 370 * (y_max - y_min)) / 0.25 + 0.5) * 0.25) AS price_label FROM k JOIN x ON x.idx = k.idx, p""")
+@query(f"""{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx, CASE WHEN time IS NOT NULL THEN strftime(time, '%d %b %Y %H:%M') END AS time_label, printf('%.2f', trunc((y_min + (385 - y) / 370 * (y_max - y_min)) / 0.25 + 0.5) * 0.25) AS price_label FROM k LEFT JOIN x ON x.idx = k.idx CROSS JOIN p""")
 def crosshair_pick(spark, d):
     bars = with_text(bars_1m(spark, d))
     window, _, end = view(bars, 100, 0)
     return M.crosshair(bars, cursors(spark), price_scale(end, 100, *_ends(price_range(window))))
 
 
+@query(f"{_ATR}, c AS (SELECT i AS cursor_id, i * 20.5::DOUBLE AS x, i * 4.0::DOUBLE AS y FROM range(40) t(i)) SELECT cursor_id, x, y, printf('%.4f', y_min + (160 - y) / 160 * (y_max - y_min)) AS atr_label FROM c, p")
+def atr_crosshair(spark, d):
+    _, scale, _ = atr_view(spark, d)
+    return M.atr_crosshair(cursors(spark).select("cursor_id", "x", (F.col("cursor_id") * 4.0).alias("y")), scale)
+
+
+@query("SELECT i AS cursor_id, CASE WHEN i * 20.5 < 400 THEN 'price' WHEN i * 20.5 < 560 THEN 'atr' END AS panel FROM range(40) t(i)")
+def active_panel(spark, d):
+    rows = [(k, V.active_panel(k * 20.5)) for k in range(40)]
+    return spark.createDataFrame(rows, "cursor_id long, panel string")
+
+
 @query(f"{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx FROM k JOIN w ON w.idx = k.idx, p WHERE y BETWEEN least({_Y.format('high')}, {_Y.format('low')}) - 5 AND greatest({_Y.format('high')}, {_Y.format('low')}) + 5")
 def hover_hits(spark, d):
     window, scale = price_view(spark, d)
     return M.hover_hits(window, cursors(spark), scale)
 
 
+_LABEL100 = f"""lw AS (SELECT idx, n, strftime(time, '%Y-%m-%d %H:%M:%S') AS tx FROM x, n WHERE idx BETWEEN n - 100 AND n - 1),
+lc AS (SELECT *, coalesce(left(tx, 10) <> lag(left(tx, 10)) OVER (ORDER BY idx), false) AS ch FROM lw), lk AS (SELECT *, max(ch::INT) OVER (ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS crowded FROM lc)"""
+_GRID_LINES = lambda height, y: _grid_sql(height).replace("SELECT n, round", "SELECT y_min, y_max, n, round").replace("SELECT step, first, unnest", "SELECT y_min, y_max, step, first, unnest")
+
+
+@query(f"""{WITH_ATR}, {COUNT}, {_W}, {_P}, wa AS (SELECT a.* FROM a, n WHERE idx BETWEEN n - 100 AND n - 1),
+pa0 AS (SELECT greatest(min(atr), 0) AS a0, max(atr) AS b0 FROM wa), pa AS (SELECT greatest(a0 - (b0 - a0) * 0.05, 0) AS y_min, b0 + (b0 - a0) * 0.05 AS y_max FROM pa0), {_LABEL100},
+gp AS (WITH {_GRID_LINES(400, "")}), ga AS (WITH {_GRID_LINES(160, "").replace("FROM p)", "FROM pa)")}),
+c AS (SELECT idx, {_X} AS cx, {_Y.format('high')} AS yh, {_Y.format('low')} AS yl, least({_Y.format('open')}, {_Y.format('close')}) AS yt, greatest({_Y.format('open')}, {_Y.format('close')}) AS yb, CASE WHEN close >= open THEN '#26a69a' ELSE '#ef5350' END AS color FROM w, p, n),
+sg AS (SELECT {_X} AS x2, 160 - (atr - y_min) / (y_max - y_min) * 160 AS y2, idx FROM wa, pa, n), sl AS (SELECT lag(x2) OVER (ORDER BY idx) AS x1, lag(y2) OVER (ORDER BY idx) AS y1, x2, y2 FROM sg),
+u AS (SELECT 'price' AS panel, 'wick' AS kind, cx AS x1, yh AS y1, cx AS x2, yl AS y2, color, NULL::VARCHAR AS text FROM c
+UNION ALL SELECT 'price', 'body', cx - 3.2::DOUBLE, yt, cx + 3.2::DOUBLE, yb, color, NULL FROM c
+UNION ALL SELECT 'atr', 'line', x1, y1, x2, y2, '#75bbfd', NULL FROM sl WHERE x1 IS NOT NULL
+UNION ALL SELECT 'price', 'grid', 0, {_Y.format('value')}, 800, {_Y.format('value')}, '#1f2933', NULL FROM gp UNION ALL SELECT 'price', 'grid_label', 37, {_Y.format('value')}, NULL, NULL, '#787b86', label FROM gp
+UNION ALL SELECT 'atr', 'grid', 0, 160 - (value - y_min) / (y_max - y_min) * 160, 800, 160 - (value - y_min) / (y_max - y_min) * 160, '#1f2933', NULL FROM ga UNION ALL SELECT 'atr', 'grid_label', 37, 160 - (value - y_min) / (y_max - y_min) * 160, NULL, NULL, '#787b86', label FROM ga
+UNION ALL SELECT 'time', 'time_label', {_X}, 12, NULL, NULL, CASE WHEN ch THEN '#000000' ELSE '#4b4b4c' END, CASE WHEN ch THEN (substr(tx, 9, 2)::INT)::VARCHAR ELSE substr(tx, 12, 5) END FROM lk WHERE ch OR (idx % 5 = 0 AND crowded = 0))
+SELECT panel, kind, round(x1::DOUBLE, 4) AS x1, round(y1::DOUBLE, 4) AS y1, round(x2::DOUBLE, 4) AS x2, round(y2::DOUBLE, 4) AS y2, color, text FROM u""")
+def frame(spark, d):
+    """All marks of the default view in one table."""
+    bars = wilder_atr(with_text(bars_1m(spark, d)))
+    window, start, end = view(bars, 100, 0)
+    ends, atr_ends = price_range(window), atr_range(window)
+    prices, atrs = price_scale(end, 100, *_ends(ends)), atr_scale(end, 100, *_ends(atr_ends))
+    return rounded(M.frame(window, prices, ends, window, atrs, atr_ends, M.axis_labels(window, start, 100), start), 4)
+
+
 @query(f"WITH {BASE} SELECT idx, trunc(close / 0.25 + 0.5) * 0.25 AS price FROM x", "tick_quantise")
 def _tick_quantise(spark, d):
     return bars_1m(spark, d).select("idx", tick_quantise(F.col("close")).alias("price"))
@@ -376,13 +409,34 @@ def anchor_whitelist(spark, d):
     return spark.createDataFrame([(t,) for t in [*ANCHOR_TYPES, "bos", "FVG"]], "type string").select("type", F.col("type").isin(ANCHOR_TYPES).alias("known"))
 
 
-@query()
+SESSIONS = [("zoom", [1, 400, True]), ("zoom", [-1]), ("pan", [120]), ("pan", [3]), ("press", ["Left"]), ("press", ["Right"]), ("drag_time_axis", [20]), ("drag_time_axis", [0]), ("set_timeframe", ["5m"]), ("set_timeframe", ["7m"])]
+_BOUND = "least(greatest({}::DOUBLE, -({} - 2)::DOUBLE), n - 2)"
+
+
+@query(f"""WITH {BASE}, s AS (SELECT n::DOUBLE AS n FROM (SELECT count(*) AS n FROM x UNION ALL SELECT * FROM range(4))), a(k, action, visible, tf) AS (VALUES
+(0, 'zoom', 90, '1m'), (1, 'zoom', 110, '1m'), (2, 'pan', 100, '1m'), (3, 'pan', 100, '1m'), (4, 'press', 100, '1m'), (5, 'press', 100, '1m'), (6, 'drag_time_axis', 90, '1m'), (7, 'drag_time_axis', 100, '1m'), (8, 'set_timeframe', 150, '5m'), (9, 'set_timeframe', 150, '1m'))
+SELECT n::BIGINT || ' ' || k AS session, action, visible::DOUBLE AS visible, tf,
+round(CASE k WHEN 0 THEN {_BOUND.format(5, 90)} WHEN 1 THEN {_BOUND.format(0, 110)} WHEN 2 THEN {_BOUND.format(15, 100)} WHEN 4 THEN CASE WHEN 0 < n - 2 THEN 1 ELSE 0 END WHEN 5 THEN -1 ELSE 0 END, 6)::DOUBLE AS "offset" FROM s, a""")
+def view_reducers(spark, d):
+    """One action of each kind on new views of series of several sizes: the real one and 0 to 3 bars."""
+    n = event_bars(spark, d).agg(F.count("*").alias("n")).unionByName(spark.range(4).select(F.col("id").alias("n")))
+    actions = spark.createDataFrame([(k, a, json.dumps(args)) for k, (a, args) in enumerate(SESSIONS)], "k int, action string, args string")
+    rows = n.join(F.broadcast(actions)).select(F.concat_ws(" ", "n", "k").alias("session"), F.lit(0).cast("long").alias("step"), "n", "action", "args")
+    return V.traces(rows).select("session", "action", "visible", "tf", F.round("offset", 6).alias("offset"))
+
+
+TRACE = [("zoom", [1, 400, True]), ("zoom", [-1]), ("pan", [120]), ("press", ["Left"]), ("press", ["Right"]), ("drag_time_axis", [20]), ("set_auto", [False, [0.0, 5.0], [10.0, 20.0]]), ("vertical_zoom", [1.0]), ("vertical_pan", [40.0]), ("drag_value_axis", [-10.0]), ("set_timeframe", ["5m"])]
+
+
+@query("""SELECT * FROM (VALUES (0, 'zoom', 90.0::DOUBLE, 5.0::DOUBLE, true, 0.0::DOUBLE, 100.0::DOUBLE, '1m'), (1, 'zoom', 99.0, 5.0, true, 0.0, 100.0, '1m'), (2, 'pan', 99.0, 19.0, true, 0.0, 100.0, '1m'), (3, 'press', 99.0, 20.0, true, 0.0, 100.0, '1m'),
+(4, 'press', 99.0, 19.0, true, 0.0, 100.0, '1m'), (5, 'drag_time_axis', 89.0, 19.0, true, 0.0, 100.0, '1m'), (6, 'set_auto', 89.0, 19.0, false, 10.0, 20.0, '1m'), (7, 'vertical_zoom', 89.0, 19.0, false, 9.5, 20.5, '1m'),
+(8, 'vertical_pan', 89.0, 19.0, false, 10.6, 21.6, '1m'), (9, 'drag_value_axis', 89.0, 19.0, false, 10.875, 21.325, '1m'), (10, 'set_timeframe', 150.0, 0.0, true, NULL, NULL, '5m')) t(step, action, visible, "offset", auto, y_min, y_max, tf)""")
 def view_reducer_trace(spark, d):
-    """The states of a view under one action of each kind."""
-    n = count(bars_1m(spark, d))
-    events = [("zoom", 1, 400, True), ("zoom", -1), ("pan", 120), ("press", "Left"), ("press", "Right"), ("drag_time_axis", 20), ("set_auto", False, (0.0, 5.0), (10.0, 20.0)), ("vertical_zoom", 1.0), ("vertical_pan", 40.0), ("drag_value_axis", -10.0), ("set_timeframe", "5m")]
-    rows = [(k, e[0], float(v.visible), float(v.offset), v.auto, *(v.y or (None, None)), *(v.atr_y or (None, None)), v.tf) for k, (e, v) in enumerate(zip(events, V.replay(V.View(), n, events), strict=True))]
-    return spark.createDataFrame(rows, "step int, action string, visible double, offset double, auto boolean, y_min double, y_max double, atr_min double, atr_max double, tf string")
+    """The states of a view of many bars under one action of each kind after the other; values worked out by hand."""
+    n = event_bars(spark, d).agg(F.count("*").alias("n"))
+    actions = spark.createDataFrame([(k, a, json.dumps(args)) for k, (a, args) in enumerate(TRACE)], "step long, action string, args string")
+    states = V.traces(n.join(F.broadcast(actions)).select(F.lit("one").alias("session"), "step", "n", "action", "args"))
+    return rounded(states.select(F.col("step").cast("int").alias("step"), "action", "visible", "offset", "auto", "y_min", "y_max", "tf"))
 
 
 @query(f"""WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, value, date_trunc('minute', ts) AS time FROM events),
@@ -390,9 +444,73 @@ m AS (SELECT *, CASE WHEN lag(time) OVER (ORDER BY seq) = time THEN 0 ELSE 1 END
 SELECT run::BIGINT AS run, time, arg_min(value, seq) AS open, max(value) AS high, min(value) AS low, arg_max(value, seq) AS close, arg_max(value, seq) AS volume FROM g GROUP BY 1, 2""")
 def merge_delta_fold(spark, d):
     """Each event as a live row of its minute."""
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("series"), F.col("ts").alias("time"), "event_id", "value")
-    rows = indexed_by_event(e).select("series", "seq", F.window("time", "1 minute")["start"].alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:]))
-    return merge_deltas(rows).select("run", *OHLCV)
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.lit("all").alias("series"), "ts", "event_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:]))
+    return merge_deltas(rows, ["ts", "event_id"], F.date_trunc("hour", "ts")).select("run", *OHLCV)
+
+
+@query(f"""WITH e AS (SELECT ts, event_id, value, CASE WHEN event_id % 97 <> 0 THEN value END AS low, date_trunc('minute', ts) AS time FROM events),
+m AS (SELECT *, CASE WHEN lag(time) OVER (ORDER BY ts, event_id) = time THEN 0 ELSE 1 END AS brk FROM e), g AS (SELECT *, sum(brk) OVER (ORDER BY ts, event_id) - 1 AS run FROM m)
+SELECT run::BIGINT AS run, time, CASE WHEN count(low) = count(*) THEN min(low) END AS low, min(low) AS low_corrected FROM g GROUP BY 1, 2""")
+def merge_delta_without_low(spark, d):
+    """Live rows some of which have no low."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.lit("all").alias("series"), "ts", "event_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("time"), *(F.col("value").alias(c) for c in ("open", "high", "close", "volume")), F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("low"))
+    order, cell = ["ts", "event_id"], F.date_trunc("hour", "ts")
+    right = merge_deltas(rows, order, cell, "corrected").select("series", "run", F.col("low").alias("low_corrected"))
+    return merge_deltas(rows, order, cell).join(right, ["series", "run"]).select("run", "time", "low", "low_corrected")
+
+
+def event_csv(spark: SparkSession, d: str) -> str:
+    """The events as CSV files in order of (ts, event_id), in the folder that the cluster shares, or a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
+    out = f"{shared}/events-{uuid4().hex}"
+    rows = spark.read.parquet(f"{d}/events.parquet").orderBy("ts", "event_id")
+    rows.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit("1.5x").alias("volume")).write.option("header", True).csv(out)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return out
+
+
+_CSV = "e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, value, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS tx, date_trunc('second', ts) AS ts FROM events)"
+
+
+@query(f"WITH {_CSV} SELECT seq AS idx, tx AS time, ts, value AS open, value AS high, value AS low, value AS close, 1.5::DOUBLE AS volume FROM e")
+def csv_bars(spark, d):
+    """Texts of a CSV file as numbers, in the order of its lines."""
+    return typed_bars(read_csv(spark, event_csv(spark, d))).select("idx", "time", "ts", *OHLCV[1:])
+
+
+@query(f"""WITH {_CSV}, k AS (SELECT *, left(tx, 14) || printf('%02d', (substr(tx, 15, 2)::INT // 15) * 15) || substr(tx, 17) AS key FROM e),
+m AS (SELECT *, CASE WHEN lag(key) OVER (ORDER BY seq) = key THEN 0 ELSE 1 END AS brk FROM k), g AS (SELECT *, sum(brk) OVER (ORDER BY seq) - 1 AS run FROM m)
+SELECT run::BIGINT AS run, key AS time, arg_min(value, seq) AS open, max(value) AS high, min(value) AS low, arg_max(value, seq) AS close, count(*) * 1.5::DOUBLE AS volume FROM g GROUP BY 1, 2""")
+def csv_runs_15m(spark, d):
+    return resample_runs(typed_bars(read_csv(spark, event_csv(spark, d))), "15m").select("run", *OHLCV)
+
+
+@query("WITH " + ", ".join(f"b{m} AS ({_bars(m)})" for m in (1, 5, 15)) + " " + " UNION ALL ".join(f"SELECT '{m}m' AS tf, row_number() OVER (ORDER BY time) - 1 AS idx, time, open, high, low, close, volume FROM b{m}" for m in (1, 5, 15)))
+def timeframes(spark, d):
+    return build_timeframes(event_bars(spark, d)).drop("series")
+
+
+@query(f"WITH b AS ({_bars(15)}) SELECT row_number() OVER (ORDER BY time) - 1 AS idx, time, close FROM b")
+def active_timeframe(spark, d):
+    return active(build_timeframes(event_bars(spark, d)), "15m").select("idx", "time", "close")
+
+
+@query("SELECT event_id AS seq, value AS close FROM events WHERE event_id % 3 <> 0")
+def complete_bars(spark, d):
+    """Rows that lack a key are set aside; those with an empty value pass."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    value = F.col("value").cast("string")
+    whole = F.create_map(*(x for c in OHLCV for x in (F.lit(c), F.lit(None).cast("string") if c == "volume" else value)))
+    rows = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, whole).otherwise(F.create_map(F.lit("time"), value)).alias("fields"))
+    return complete(rows)[0].select("seq", number(F.col("close")).alias("close"))
+
+
+@query("""SELECT event_id, CASE WHEN value >= 250 THEN floor((value - 250) / 10 + 0.5) ELSE ceil((value - 250) / 10 - 0.5) END::BIGINT AS rounded FROM events""")
+def rounded_half_away(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", round_half_away((F.col("value") - 250) / 10).cast("long").alias("rounded"))
 
 
 # --- extensions

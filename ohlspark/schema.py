@@ -1,7 +1,5 @@
 """Schemas and fixed values of the bar model."""
 
-BAR = "series STRING, tf STRING, idx BIGINT, time TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE"
-RAW = "time STRING, open STRING, high STRING, low STRING, close STRING, volume STRING"
 FIELDS = ["time", "open", "high", "low", "close", "volume"]
 
 # Fixed values that results depend on.

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ohlspark.schema import FIELDS, RAW
+from ohlspark.functions.scalars import number
+from ohlspark.schema import FIELDS
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Positional: the header is passed over, columns after the sixth are dropped, missing ones are null,
-    nothing is quoted. seq follows the order of files and lines as Spark splits them."""
-    raw = spark.read.schema(RAW).option("header", True).option("enforceSchema", True).option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    return raw.select(F.monotonically_increasing_id().alias("seq"), *FIELDS)
+    """Positional: the first line of a file is passed over, columns after the sixth are dropped, missing ones are null, nothing is
+    quoted; a blank line is a row of nulls. seq numbers the lines from 0 in the order of files and lines: Spark's
+    splits of the files are counted, and a line's number is its place in its split after those before it."""
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.option("lineSep", "\n").text(path).select(file, block, F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))  # a row for each split
+    header = F.when(F.col("block") == 0, 1).otherwise(0)
+    upto = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("file", "block", "first", header.alias("header"), F.coalesce(F.sum(F.col("n") - header).over(upto), F.lit(0)).alias("base"))
+    place = F.col("id") - F.col("first") - F.col("header")
+    rows = lines.join(base, ["file", "block"]).where(place >= 0)
+    kept = F.regexp_replace("value", ",+$", "")
+    fields = F.split(kept, ",", -1)
+    return rows.select((F.col("base") + place).cast("long").alias("seq"), *(F.when(kept != "", F.get(fields, k)).alias(c) for k, c in enumerate(FIELDS)))
+
+
+def typed_bars(rows: DataFrame, series: str = "all") -> DataFrame:
+    """Rows of texts(seq, time, ...) -> series, tf `1m`, idx (the order of arrival), seq, time (its text), ts (null where it can't be
+    read) and numbers: a field counts as its leading number, 0 without one."""
+    ts = F.regexp_extract("time", r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?)", 1).try_cast("timestamp_ntz")
+    return rows.select(F.lit(series).alias("series"), F.lit("1m").alias("tf"), F.col("seq").alias("idx"), "seq", "time", ts.alias("ts"), *(number(F.col(c)).alias(c) for c in FIELDS[1:]))
 
 
 def write_bars(bars: DataFrame, path: str, format: str = "parquet") -> None:

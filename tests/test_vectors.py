@@ -12,7 +12,7 @@ from ohlspark.operators.ranges import atr_range, price_range
 from ohlspark.operators.resample import merge_deltas, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, window_bounds
 from ohlspark.schema import timeframe_minutes
-from ohlspark.sources.bars import complete, read_csv, usable_price, write_bars
+from ohlspark.sources.bars import complete, read_csv, typed_bars, usable_price, write_bars
 
 
 def frame(spark, highs, lows, closes):
@@ -64,10 +64,21 @@ def test_runs(spark):
 
 def test_live_rows(spark):
     rows = [("s", 0, "T1", 10.0, 12.0, 9.0, 11.0, 5.0), ("s", 1, "T1", 99.0, 13.0, 8.0, 12.0, 7.0), ("s", 2, "T0", 1.0, 1.0, 1.0, 1.0, 1.0), ("s", 3, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
-    got = merge_deltas(spark.createDataFrame(rows, "series string, seq long, time string, open double, high double, low double, close double, volume double")).orderBy("run").collect()
+    kinds = "series string, seq long, time string, open double, high double, low double, close double, volume double"
+    got = merge_deltas(spark.createDataFrame(rows, kinds)).orderBy("run").collect()
     assert [tuple(r)[2:] for r in got] == [("T1", 10, 13, 8, 12, 7), ("T0", 1, 1, 1, 1, 1)]
 
 
+def test_a_live_row_without_low(spark):
+    df = spark.createDataFrame([("s", 0, "T1", 10.0, 12.0, 9.0, 11.0, 5.0), ("s", 150_000, "T1", 9.0, None, None, 12.0, None), ("s", 150_001, "T1", 9.0, 1.0, 7.0, 12.0, 6.0)], "series string, seq long, time string, open double, high double, low double, close double, volume double")
+    assert [tuple(merge_deltas(df, compat=c).first())[1:] for c in ("reference", "corrected")] == [(0, "T1", 10, 12, None, 12, 6), (0, "T1", 10, 12, 7, 12, 6)]
+
+
+def test_manual_ranges(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "idx long, low double, high double, atr double")
+    assert tuple(price_range(df, manual=(4.0, 5.0)).first()) == (4, 5) == tuple(atr_range(df, manual=(4.0, 5.0)).first())
+
+
 def test_windows_and_slices(five):
     cases = [(0, 100, 0, 0, 0), (50, 100, 0, 0, 49), (1000, 100, 0, 900, 999), (1000, 100, -5, 905, 1004), (1000, 100, 998, 0, 1), (1000, 100, 1500, 0, 0)]
     for n, visible, offset, start, end in cases:
@@ -137,14 +148,34 @@ def test_view():
     assert V.vertical_pan(m, 40).y == (11, 21) and V.drag_value_axis(m, 20).y == (9.5, 20.5)
     assert V.pan(v, 1000, 16).offset == 2 and V.pan(v, 1000, 3) == v and V.pan(v, 1000, 1e9).offset == 998
     assert V.press(v, 1000, "Left").offset == 1 and V.press(v, 1000, "Right").offset == -1 and V.press(v, 1000, "r").visible == 150
-    assert V.set_timeframe(v, "5m").tf == "5m" and V.set_timeframe(v, "7m") == v
+    assert V.set_timeframe(v, "5m").tf == "5m" and V.set_timeframe(m, "7m") == V.reset(m)
+    assert [V.clamped(0, 2, n) for n in (0, 1, 2, 3)] == [-2, -1, 0, 0] and V.clamped(-500, 100, 1000) == -98
+    assert V.drag_time_axis(V.zoom(v, 1000, 1), 0).visible == 90 and V.zoom(v, 1000, 1, 5, True, width=10, left=20).visible == 90
+    assert [V.active_panel(y) for y in (-1, 0, 399, 400, 559, 560)] == [None, "price", "price", "atr", "atr", None]
     assert len(V.replay(v, 1000, [("zoom", 1), ("pan", 80)])) == 2
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "in.csv").write_text('a,b,c,d,e,f\n2024-01-01 00:00,1,2,0.5,"1",9,extra\n2024-01-01T00:01:00,1,2\n')
-    rows = read_csv(spark, str(tmp_path / "in.csv")).orderBy("seq").collect()
-    assert [tuple(r)[1:] for r in rows] == [("2024-01-01 00:00", "1", "2", "0.5", '"1"', "9"), ("2024-01-01T00:01:00", "1", "2", None, None, None)]
+    (tmp_path / "in.csv").write_text('a,b,c,d,e,f\n2024-01-01 00:00,9,10,0.5,"1",9,extra\n2024-01-01T00:01:00,1,9,,,\n\nbad,-.5e1x,1e2\r\n2024-01-01 00:00,1,,3\n')
+    (tmp_path / "empty.csv").write_text("a,b,c,d,e,f\n")
+    read = read_csv(spark, str(tmp_path / "in.csv"))
+    nil = (None,) * 3
+    rows = [("2024-01-01 00:00", "9", "10", "0.5", '"1"', "9"), ("2024-01-01T00:01:00", "1", "9", *nil), (None, *nil, None, None), ("bad", "-.5e1x", "1e2\r", *nil), ("2024-01-01 00:00", "1", "", "3", None, None)]
+    assert [tuple(r) for r in read.orderBy("seq").collect()] == [(k, *r) for k, r in enumerate(rows)]
+    assert read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+    typed = typed_bars(read).orderBy("idx").collect()
+    assert [(r.ts and r.ts.minute, r.open, r.high, r.low) for r in typed] == [(0, 9, 10, 0.5), (1, 1, 9, 0), (None, 0, 0, 0), (None, -5, 100, 0), (0, 1, 0, 3)]
+    one = resample_runs(typed_bars(read).where("idx < 2").withColumn("time", F.lit("2024-01-01 00:00")), "5m").first()
+    assert (one.high, one.low, one.open) == (10, 0, 9)
+    # many splits of a file keep the order of its lines
+    (tmp_path / "long.csv").write_text("t,o,h,l,c,v\n" + "".join(f"{k},1,1,1,1,1\n" for k in range(5000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        long = read_csv(spark, str(tmp_path / "long.csv"))
+        assert long.rdd.getNumPartitions() > 3 and long.where("time != seq").count() == 0 and long.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
     keys = dict.fromkeys(["time", "open", "high", "low", "close", "volume"], "1")
     df = spark.createDataFrame([(0, keys | {"more": "x"}), (1, {"time": "1"}), (2, None), (3, keys | {"low": None})], "seq int, fields map<string,string>")
     good, bad = complete(df)
