@@ -1,7 +1,8 @@
 """Extensions beyond plain bars: swings, gaps, structure, profiles, VWAP and strategy signals.
 
 These follow public definitions; their parameters are ours and stand in the signatures. Recursive
-ones (SuperTrend, HalfTrend, range filter) start anew each day, so a series is dealt out over its days.
+ones (SuperTrend, HalfTrend, range filter) go on through the whole series: blocks of bars are folded apart, each from what the
+block before it left, and again where that has changed, until nothing changes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ohlspark.schema import ANCHOR_TYPES
+from ohlspark.sources.bars import settled
 
 
 def _series() -> WindowSpec:
@@ -89,77 +91,159 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     return inside.groupBy("series", "day").agg(F.max(F.when(F.col("nth") == 1, F.col("bin"))).alias("poc"), F.min("bin").alias("val"), F.max("bin").alias("vah"), F.max("total").alias("volume"))
 
 
-def liquidity_states(bars: DataFrame, k: int = 3, horizon: int = 20, hold: int = 3) -> DataFrame:
-    """Each swing high as a buy-side level: DETECTED if no high within `horizon` bars of its confirmation
-    passes it; else SWEPT at the first that does, ACCEPTANCE if all of the next `hold` closes stay
-    above, RECLAIMED if the first of them is back below, else SWEPT. Offsets of bars make it an equi-join."""
-    highs = swing_points(bars, k).where("type = 'HIGH'").select("series", F.col("idx").alias("level_idx"), "price", "confirmed")
-    reach = highs.withColumn("idx", F.explode(F.sequence(F.col("confirmed") + 1, F.col("confirmed") + horizon)))
-    swept = reach.join(bars.select("series", "idx", "high"), ["series", "idx"]).where("high > price").groupBy("series", "level_idx").agg(F.min("idx").alias("swept_idx"))
-    after = swept.join(highs, ["series", "level_idx"]).withColumn("idx", F.explode(F.sequence(F.col("swept_idx"), F.col("swept_idx") + hold - 1)))
-    closes = after.join(bars.select("series", "idx", "close"), ["series", "idx"]).groupBy("series", "level_idx").agg(F.min(F.col("close") > F.col("price")).alias("held"), F.min_by(F.col("close") > F.col("price"), "idx").alias("first"), F.count("*").alias("n"))
-    rows = highs.join(swept, ["series", "level_idx"], "left").join(closes, ["series", "level_idx"], "left")
-    state = F.when(F.col("swept_idx").isNull(), "DETECTED").when(F.col("held") & (F.col("n") == hold), "ACCEPTANCE").when(~F.col("first"), "RECLAIMED").otherwise("SWEPT")
-    return rows.select("series", "level_idx", "price", "swept_idx", state.alias("state"))
-
-
-def _daily(fold, columns: str):
-    """A fold over each day's bars in order of idx."""
-
-    def apply(bars: DataFrame, **params) -> DataFrame:
-        def run(day: pd.DataFrame) -> pd.DataFrame:
-            day = day.sort_values("idx")
-            return pd.DataFrame({"series": day["series"], "idx": day["idx"], **fold(*(day[c].to_numpy(float) for c in ("high", "low", "close", "atr")), **params)})
-
-        return bars.select("series", "day", "idx", "high", "low", "close", "atr").groupBy("series", "day").applyInPandas(run, f"series string, idx long, {columns}")
+#: Children of a node in the tree of maxima, and its height: series of up to FAN ** HEIGHT bars.
+FAN, HEIGHT = 256, 4
+
+
+def first_above(levels: DataFrame, bars: DataFrame) -> DataFrame:
+    """levels(series, level_idx, price, after), bars(series, idx, value) -> levels with `at`: the first idx beyond `after` whose
+    value is above price, null without one. A level climbs a tree of block maxima until a later block
+    holds such a value, and descends into it: a join by block for each step, whatever the distance."""
+    nodes, tree = bars.select("series", F.col("idx").alias("at"), "value"), []
+    for _ in range(HEIGHT):
+        grouped = nodes.groupBy("series", F.floor(F.col("at") / FAN).alias("group")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("nodes"), F.max("value").alias("value"))
+        tree.append(grouped.select("series", "group", "nodes"))
+        nodes = grouped.select("series", F.col("group").alias("at"), "value")
+    rows = levels.withColumn("place", F.col("after")).withColumn("at", F.lit(None).cast("long")).withColumn("depth", F.lit(HEIGHT))
+    above = lambda x: x["value"] > F.col("price")
+    first = lambda found: F.get(found, 0)["at"]
+    for k, level in enumerate(tree):
+        rows = rows.withColumn("group", F.floor(F.col("place") / FAN)).join(level, ["series", "group"], "left")
+        hit = F.when(F.col("at").isNull(), first(F.filter("nodes", lambda x: (x["at"] > F.col("place")) & above(x))))
+        rows = rows.withColumn("hit", hit).withColumn("depth", F.when(F.col("hit").isNotNull(), k).otherwise(F.col("depth")))
+        rows = rows.withColumn("at", F.coalesce("at", "hit")).withColumn("place", F.col("group")).drop("group", "nodes", "hit")
+    for k in range(HEIGHT - 1, 0, -1):
+        rows = rows.withColumn("group", F.when(F.col("depth") == k, F.col("at"))).join(tree[k - 1], ["series", "group"], "left")
+        rows = rows.withColumn("at", F.when(F.col("depth") == k, first(F.filter("nodes", above))).otherwise(F.col("at")))
+        rows = rows.withColumn("depth", F.when(F.col("depth") == k, k - 1).otherwise(F.col("depth"))).drop("group", "nodes")
+    return rows.drop("place", "depth", "after")
+
+
+def liquidity_states(bars: DataFrame, k: int = 3, hold: int = 3) -> DataFrame:
+    """Each swing high as a buy-side and each swing low as a sell-side level: side, state, kind, resolved.
+
+    DETECTED until a high (low) after its confirmation passes it, however late. Then the closes of that bar and of
+    the hold - 1 after it decide: ACCEPTANCE if all of them are beyond the level, RECLAIMED if one is back, SWEPT while there
+    are too few to tell. kind: GRAB if the sweeping bar itself closes back, SWEEP if a later one does,
+    RUN if none does; resolved once it is known. Offsets of bars make the join on closes an equi-join.
+    """
+    both = F.array(F.struct(F.lit("BUY").alias("side"), F.col("high").alias("value"), F.col("close").alias("end")), F.struct(F.lit("SELL").alias("side"), (-F.col("low")).alias("value"), (-F.col("close")).alias("end")))
+    sided = bars.select("series", "idx", F.explode(both).alias("x")).select(F.concat_ws(" ", "x.side", "series").alias("series"), "idx", "x.value", "x.end")
+    buy = F.col("type") == "HIGH"
+    levels = swing_points(bars, k).select(F.concat_ws(" ", F.when(buy, "BUY").otherwise("SELL"), "series").alias("series"), F.col("idx").alias("level_idx"), F.when(buy, F.col("price")).otherwise(-F.col("price")).alias("price"), F.col("confirmed").alias("after"))
+    rows = first_above(levels, sided.select("series", "idx", "value")).withColumnRenamed("at", "swept_idx")
+    after = rows.where("swept_idx IS NOT NULL").select("series", "level_idx", "price", F.explode(F.sequence(F.col("swept_idx"), F.col("swept_idx") + hold - 1)).alias("idx"))
+    held = F.col("end") > F.col("price")
+    closes = after.join(sided.select("series", "idx", "end"), ["series", "idx"]).groupBy("series", "level_idx").agg(F.min(held).alias("held"), F.min_by(held, "idx").alias("first"), F.count("*").alias("n"))
+    rows = rows.join(closes, ["series", "level_idx"], "left")
+    run = F.col("held") & (F.col("n") == hold)
+    kind = F.when(~F.col("first"), "GRAB").when(~F.col("held"), "SWEEP").when(run, "RUN")
+    state = F.when(F.col("swept_idx").isNull(), "DETECTED").when(run, "ACCEPTANCE").when(~F.col("held"), "RECLAIMED").otherwise("SWEPT")
+    side = F.substring_index("series", " ", 1)
+    return rows.select(F.expr("substr(series, instr(series, ' ') + 1)").alias("series"), side.alias("side"), "level_idx", F.abs("price").alias("price"), "swept_idx", state.alias("state"), kind.alias("kind"), kind.isNotNull().alias("resolved"))
+
+
+#: Bars of a block that is folded by itself.
+FOLDED = 4096
+
+
+def _folding(fold, columns: str):
+    """A fold over a series' bars in order of idx: fold(high, low, close, atr, state) -> (columns, state after the last bar), where a
+    state is a list of numbers, or None at the start."""
+
+    def apply(bars: DataFrame, block: int = FOLDED, **params) -> DataFrame:
+        spark = bars.sparkSession
+        rows = bars.select("series", F.floor(F.col("idx") / block).alias("block"), "idx", "high", "low", "close", "atr")
+        kinds = "series string, block long, state array<double>"
+
+        def folded(group: pd.DataFrame) -> tuple[pd.DataFrame, dict, list]:
+            group = group.sort_values("idx")
+            state = group["state"].iat[0]
+            made, left = fold(*(group[c].to_numpy(float) for c in ("high", "low", "close", "atr")), None if state is None else list(state), **params)
+            return group, made, [float(v) for v in left]
+
+        def ends(group: pd.DataFrame) -> pd.DataFrame:
+            group, _, left = folded(group)
+            return pd.DataFrame({"series": [group["series"].iat[0]], "block": [group["block"].iat[0] + 1], "state": [left]})
+
+        def values(group: pd.DataFrame) -> pd.DataFrame:
+            group, made, _ = folded(group)
+            return pd.DataFrame({"series": group["series"], "idx": group["idx"], **made})
+
+        carried = spark.createDataFrame([], kinds)
+        while True:  # after k rounds the first k blocks are right, and a block forgets most starts
+            given = rows.join(carried, ["series", "block"], "left")
+            left = settled(given.groupBy("series", "block").applyInPandas(ends, kinds))
+            changed = left.join(carried.withColumnRenamed("state", "old"), ["series", "block"], "left").where(~F.col("state").eqNullSafe(F.col("old")))
+            if changed.isEmpty():
+                return given.groupBy("series", "block").applyInPandas(values, f"series string, idx long, {columns}")
+            carried = left
 
     return apply
 
 
-def _supertrend(high, low, close, atr, factor: float = 3.0) -> dict:
+def _supertrend(high, low, close, atr, state, factor: float = 3.0) -> tuple[dict, list]:
     trend, line = np.zeros(len(close), np.int64), np.zeros(len(close))
     mid = (high + low) / 2
-    up, down, side = mid[0] + factor * atr[0], mid[0] - factor * atr[0], 1
+    up, down, side, last = state or (np.inf, -np.inf, 1, np.nan)
     for i in range(len(close)):
         u, d = mid[i] + factor * atr[i], mid[i] - factor * atr[i]
-        if i:
-            up = u if u < up or close[i - 1] > up else up
-            down = d if d > down or close[i - 1] < down else down
-            side = 1 if side < 0 and close[i] > up else -1 if side > 0 and close[i] < down else side
-        trend[i], line[i] = side, down if side > 0 else up
-    return {"trend": trend, "line": line}
+        up = u if u < up or last > up else up
+        down = d if d > down or last < down else down
+        side = 1 if side < 0 and close[i] > up else -1 if side > 0 and close[i] < down else side
+        trend[i], line[i], last = side, down if side > 0 else up, close[i]
+    return {"trend": trend, "line": line}, [up, down, side, last]
 
 
-def _range_filter(high, low, close, atr, factor: float = 1.5) -> dict:
-    line, value = np.zeros(len(close)), close[0] if len(close) else 0.0
+def _range_filter(high, low, close, atr, state, factor: float = 1.5) -> tuple[dict, list]:
+    line, value = np.zeros(len(close)), state[0] if state else close[0]
     for i in range(len(close)):
         r = factor * atr[i]
         value = max(value, close[i] - r) if close[i] > value else min(value, close[i] + r)
         line[i] = value
-    return {"line": line}
+    return {"line": line}, [value]
 
 
-def _halftrend(high, low, close, atr, amplitude: int = 2) -> dict:
-    trend, side = np.zeros(len(close), np.int64), 1
-    top, bottom = (low[0], high[0]) if len(close) else (0, 0)
+def _halftrend(high, low, close, atr, state, deviation: float = 2.0) -> tuple[dict, list]:
+    """Over two bars: the trend turns down when the mean of the highs falls below the greatest low of the trend and the bar closes
+    below the low before it; up likewise. The line rises with the lows of an up-trend, falls with the highs of a
+    down-trend, and goes on from where it is at a turn; the channel is deviation / 2 ATR on either side."""
+    trend, line = np.zeros(len(close), np.int64), np.zeros(len(close))
+    side, top, bottom, value, h0, l0 = state or (1, low[0], high[0], low[0], high[0], low[0])
     for i in range(len(close)):
-        a = max(0, i - amplitude + 1)
-        hi, lo = high[a : i + 1].max(), low[a : i + 1].min()
+        hi, lo, before = max(high[i], h0), min(low[i], l0), side
         if side > 0:
             top = max(top, lo)
-            if high[a : i + 1].mean() < top and close[i] < low[max(0, i - 1)]:
+            if (high[i] + h0) / 2 < top and close[i] < l0:
                 side, bottom = -1, hi
         else:
             bottom = min(bottom, hi)
-            if low[a : i + 1].mean() > bottom and close[i] > high[max(0, i - 1)]:
+            if (low[i] + l0) / 2 > bottom and close[i] > h0:
                 side, top = 1, lo
-        trend[i] = side
-    return {"trend": trend}
+        if side == before:
+            value = max(value, top) if side > 0 else min(value, bottom)
+        trend[i], line[i], h0, l0 = side, value, high[i], low[i]
+    half = deviation / 2 * atr
+    return {"trend": trend, "line": line, "upper": line + half, "lower": line - half}, [side, top, bottom, value, h0, l0]
+
+
+supertrend = _folding(_supertrend, "trend long, line double")
+range_filter = _folding(_range_filter, "line double")
+halftrend = _folding(_halftrend, "trend long, line double, upper double, lower double")
+
+
+def anchor_events(bars: DataFrame, k: int = 3) -> DataFrame:
+    """What a VWAP can be anchored to: the first bar of each day (SESSION) and each break of structure (BOS, CHOCH)."""
+    day = bars.groupBy("series", F.to_date("time").alias("day")).agg(F.min_by(F.struct("idx", "open"), "idx").alias("x"))
+    sessions = day.select("series", F.col("x.idx").alias("idx"), F.lit("SESSION").alias("type"), F.col("x.open").alias("price"))
+    return sessions.unionByName(structure_breaks(bars, k).select("series", "idx", "type", "price"))
 
 
-supertrend = _daily(_supertrend, "trend long, line double")
-range_filter = _daily(_range_filter, "line double")
-halftrend = _daily(_halftrend, "trend long")
+def poc_bars(bars: DataFrame, width: float = 10.0) -> DataFrame:
+    """bars(series, day, ...) -> series, day, poc, idx: the bar of most volume within the day's bin of most volume, the first of equals."""
+    area = value_area(volume_profile(bars, width)).select("series", "day", "poc")
+    inside = bars.join(area, ["series", "day"]).where(F.floor(typical_price() / width) == F.col("poc"))
+    return inside.groupBy("series", "day", "poc").agg(F.max_by("idx", F.struct("volume", -F.col("idx"))).alias("idx"))
 
 
 def zones(bars: DataFrame, decay: float = 0.05) -> DataFrame:

@@ -6,9 +6,6 @@ Computed doubles are rounded to six digits on both sides, as sums differ in thei
 from __future__ import annotations
 
 import json
-import tempfile
-from pathlib import Path
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +20,7 @@ from ohlspark.operators.ranges import atr_range, price_range
 from ohlspark.operators.resample import active, build_timeframes, merge_deltas, resample, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
 from ohlspark.schema import ANCHOR_TYPES
-from ohlspark.sources.bars import complete, event_bars, lineitem_bars, order_bars, read_csv, typed_bars
+from ohlspark.sources.bars import complete, event_bars, lineitem_bars, order_bars, passing_folder, read_csv, typed_bars
 
 QUERIES = {}
 SQL = {}
@@ -462,13 +459,10 @@ def merge_delta_without_low(spark, d):
 
 
 def event_csv(spark: SparkSession, d: str) -> str:
-    """The events as CSV files in order of (ts, event_id), in the folder that the cluster shares, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
-    out = f"{shared}/events-{uuid4().hex}"
+    """The events as CSV files in order of (ts, event_id)."""
     rows = spark.read.parquet(f"{d}/events.parquet").orderBy("ts", "event_id")
-    rows.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit("1.5x").alias("volume")).write.option("header", True).csv(out)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = passing_folder(spark)
+    rows.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), *(F.col("value").alias(c) for c in OHLCV[1:5]), F.lit("1.5x").alias("volume")).write.mode("overwrite").option("header", True).csv(out)
     return out
 
 
@@ -573,15 +567,22 @@ def poc_value_area(spark, d):
     return X.value_area(X.volume_profile(with_day(bars_1m(spark, d)))).drop("series").withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"""WITH {BASE}, {_SWING}, hl AS (SELECT idx AS level_idx, price, confirmed FROM sw WHERE type = 'HIGH'),
-s1 AS (SELECT level_idx, min(x.idx) AS swept_idx FROM hl JOIN x ON x.idx BETWEEN confirmed + 1 AND confirmed + 20 AND x.high > price GROUP BY 1),
-s2 AS (SELECT s1.level_idx, min((close > price)::INT) AS held, arg_min((close > price)::INT, x.idx) AS one, count(*) AS k FROM s1 JOIN hl USING (level_idx) JOIN x ON x.idx BETWEEN swept_idx AND swept_idx + 2 GROUP BY 1)
-SELECT level_idx, price, swept_idx, CASE WHEN swept_idx IS NULL THEN 'DETECTED' WHEN held = 1 AND k = 3 THEN 'ACCEPTANCE' WHEN one = 0 THEN 'RECLAIMED' ELSE 'SWEPT' END AS state
-FROM hl LEFT JOIN s1 USING (level_idx) LEFT JOIN s2 USING (level_idx)""")
+@query(f"""WITH {BASE}, {_SWING}, xs AS (SELECT 'BUY' AS side, idx, high AS v, close AS e FROM x UNION ALL SELECT 'SELL', idx, -low, -close FROM x),
+hl AS (SELECT CASE type WHEN 'HIGH' THEN 'BUY' ELSE 'SELL' END AS side, idx AS level_idx, CASE type WHEN 'HIGH' THEN price ELSE -price END AS p, confirmed FROM sw),
+s1 AS (SELECT hl.side, level_idx, min(xs.idx) AS swept_idx FROM hl JOIN xs ON xs.side = hl.side AND xs.idx > confirmed AND xs.v > p GROUP BY 1, 2),
+s2 AS (SELECT hl.side, hl.level_idx, min((e > p)::INT) AS held, arg_min((e > p)::INT, xs.idx) AS one, count(*) AS k FROM s1 JOIN hl ON hl.side = s1.side AND hl.level_idx = s1.level_idx JOIN xs ON xs.side = hl.side AND xs.idx BETWEEN swept_idx AND swept_idx + 2 GROUP BY 1, 2),
+s3 AS (SELECT hl.*, swept_idx, held = 1 AS held, one, k FROM hl LEFT JOIN s1 ON s1.side = hl.side AND s1.level_idx = hl.level_idx LEFT JOIN s2 ON s2.side = hl.side AND s2.level_idx = hl.level_idx),
+s4 AS (SELECT *, CASE WHEN one = 0 THEN 'GRAB' WHEN NOT held THEN 'SWEEP' WHEN k = 3 THEN 'RUN' END AS kind FROM s3)
+SELECT side, level_idx, abs(p) AS price, swept_idx, CASE WHEN swept_idx IS NULL THEN 'DETECTED' WHEN kind = 'RUN' THEN 'ACCEPTANCE' WHEN NOT held THEN 'RECLAIMED' ELSE 'SWEPT' END AS state, kind, kind IS NOT NULL AS resolved FROM s4""")
 def liquidity_states(spark, d):
     return X.liquidity_states(bars_1m(spark, d)).drop("series")
 
 
+@query(f"WITH {BASE}, {_SWING}, {_BREAK} SELECT arg_min(idx, idx) AS idx, 'SESSION' AS type, arg_min(open, idx) AS price FROM x GROUP BY time::DATE UNION ALL SELECT idx, type, price FROM br")
+def anchor_events(spark, d):
+    return X.anchor_events(bars_1m(spark, d)).drop("series")
+
+
 @query(f"WITH {BASE}, {COUNT}, {_GAP} SELECT idx, CASE type WHEN 'BULLISH' THEN 'DEMAND' ELSE 'SUPPLY' END AS zone, bottom, top, round(greatest(0.0, 1 - 0.05::DOUBLE * (n - 1 - idx)), 6) AS alpha FROM fv, n")
 def zones(spark, d):
     return rounded(X.zones(bars_1m(spark, d)).drop("series"))
@@ -592,24 +593,36 @@ def signals(spark, d):
     return X.signals(bars_1m(spark, d)).drop("series")
 
 
-_FOLD = f"{WITH_ATR}, d AS (SELECT x.idx, x.time::DATE AS day, high, low, close, atr, row_number() OVER (PARTITION BY x.time::DATE ORDER BY x.idx) AS k, lag(close) OVER (PARTITION BY x.time::DATE ORDER BY x.idx) AS pc FROM x JOIN a ON a.idx = x.idx)"
+_FOLD = f"{WITH_ATR}, d AS (SELECT x.idx, high, low, close, atr, lag(high) OVER w AS h0, lag(low) OVER w AS l0, x.pc FROM x JOIN a ON a.idx = x.idx WINDOW w AS (ORDER BY x.idx))"
 
 
 @query(f"""{_FOLD}, u AS (SELECT *, (high + low) / 2 + 3 * atr AS u, (high + low) / 2 - 3 * atr AS d FROM d),
-z AS (SELECT day, k, idx, u AS up, d AS down, 1 AS side FROM u WHERE k = 1
-UNION ALL SELECT day, k, idx, up, down, CASE WHEN side < 0 AND close > up THEN 1 WHEN side > 0 AND close < down THEN -1 ELSE side END FROM (
-SELECT u.day, u.k, u.idx, u.close, z.side, CASE WHEN u.u < z.up OR u.pc > z.up THEN u.u ELSE z.up END AS up, CASE WHEN u.d > z.down OR u.pc < z.down THEN u.d ELSE z.down END AS down FROM z JOIN u ON u.day = z.day AND u.k = z.k + 1))
+z AS (SELECT idx, u AS up, d AS down, CASE WHEN close < d THEN -1 ELSE 1 END AS side FROM u WHERE idx = 0
+UNION ALL SELECT idx, up, down, CASE WHEN side < 0 AND close > up THEN 1 WHEN side > 0 AND close < down THEN -1 ELSE side END FROM (
+SELECT u.idx, u.close, z.side, CASE WHEN u.u < z.up OR u.pc > z.up THEN u.u ELSE z.up END AS up, CASE WHEN u.d > z.down OR u.pc < z.down THEN u.d ELSE z.down END AS down FROM z JOIN u ON u.idx = z.idx + 1))
 SELECT idx, side::BIGINT AS trend, round(CASE WHEN side > 0 THEN down ELSE up END, 6) AS line FROM z""")
 def supertrend(spark, d):
-    return rounded(X.supertrend(with_day(wilder_atr(bars_1m(spark, d)))).drop("series"))
+    return rounded(X.supertrend(wilder_atr(bars_1m(spark, d))).drop("series"))
 
 
-@query(f"""{_FOLD}, z AS (SELECT day, k, idx, least(close, close + 1.5::DOUBLE * atr) AS v FROM d WHERE k = 1
-UNION ALL SELECT d.day, d.k, d.idx, CASE WHEN close > v THEN greatest(v, close - 1.5::DOUBLE * atr) ELSE least(v, close + 1.5::DOUBLE * atr) END FROM z JOIN d ON d.day = z.day AND d.k = z.k + 1) SELECT idx, round(v, 6) AS line FROM z""")
+@query(f"""{_FOLD}, z AS (SELECT idx, least(close, close + 1.5::DOUBLE * atr) AS v FROM d WHERE idx = 0
+UNION ALL SELECT d.idx, CASE WHEN close > v THEN greatest(v, close - 1.5::DOUBLE * atr) ELSE least(v, close + 1.5::DOUBLE * atr) END FROM z JOIN d ON d.idx = z.idx + 1) SELECT idx, round(v, 6) AS line FROM z""")
 def range_filter(spark, d):
-    return rounded(X.range_filter(with_day(wilder_atr(bars_1m(spark, d)))).drop("series"))
+    return rounded(X.range_filter(wilder_atr(bars_1m(spark, d))).drop("series"))
 
 
-@query()
+@query(f"""{_FOLD}, g AS (SELECT *, greatest(high, h0) AS hi, least(low, l0) AS lo, (high + h0) / 2 AS hm, (low + l0) / 2 AS lm FROM d),
+z AS (SELECT idx, 1 AS side, low AS top, high AS bottom, low AS line, atr FROM g WHERE idx = 0
+UNION ALL SELECT idx, now, CASE WHEN side > 0 THEN t WHEN now > 0 THEN lo ELSE top END, CASE WHEN side < 0 THEN b WHEN now < 0 THEN hi ELSE bottom END,
+CASE WHEN now <> side THEN line WHEN now > 0 THEN greatest(line, t) ELSE least(line, b) END, atr FROM (
+SELECT *, CASE WHEN side > 0 AND hm < t AND close < l0 THEN -1 WHEN side < 0 AND lm > b AND close > h0 THEN 1 ELSE side END AS now FROM (
+SELECT g.*, z.side, z.top, z.bottom, z.line, greatest(z.top, g.lo) AS t, least(z.bottom, g.hi) AS b FROM z JOIN g ON g.idx = z.idx + 1)))
+SELECT idx, side::BIGINT AS trend, round(line, 6) AS line, round(line + atr, 6) AS upper, round(line - atr, 6) AS lower FROM z""")
 def halftrend(spark, d):
-    return X.halftrend(with_day(wilder_atr(bars_1m(spark, d)))).drop("series")
+    return rounded(X.halftrend(wilder_atr(bars_1m(spark, d))).drop("series"))
+
+
+@query(f"""WITH {BASE}, {_PROFILE}, pk AS (SELECT day, bin AS poc FROM vp QUALIFY row_number() OVER (PARTITION BY day ORDER BY volume DESC, bin) = 1)
+SELECT day, poc, idx FROM x JOIN pk ON strftime(time, '%Y-%m-%d') = day AND floor({_TP} / 10) = poc QUALIFY row_number() OVER (PARTITION BY day ORDER BY volume DESC, idx) = 1""")
+def poc_bars(spark, d):
+    return X.poc_bars(with_day(bars_1m(spark, d))).drop("series").withColumn("day", F.col("day").cast("string"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,22 @@ def typed_bars(rows: DataFrame, series: str = "all") -> DataFrame:
     return rows.select(F.lit(series).alias("series"), F.lit("1m").alias("tf"), F.col("seq").alias("idx"), "seq", "time", ts.alias("ts"), *(number(F.col(c)).alias(c) for c in FIELDS[1:]))
 
 
+def passing_folder(spark: SparkSession) -> str:
+    """A new name in the folder that the cluster shares (spark.checkpoint.dir), or in a temporary one where that is unset. What is written there
+    is deleted when the application ends."""
+    out = f"{spark.conf.get('spark.checkpoint.dir', None) or Path(tempfile.mkdtemp(prefix='spark-')).as_uri()}/{uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a table in the shared folder."""
+    out = passing_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def write_bars(bars: DataFrame, path: str, format: str = "parquet") -> None:
     """Partitioned by series, timeframe and day, so windows of time prune files."""
     bars.withColumn("day", F.to_date("time")).write.partitionBy("series", "tf", "day").format(format).save(path)

@@ -1,10 +1,14 @@
 """Vectors worked out by hand."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ohlspark.functions import scalars as S
 from ohlspark.functions.scale import Scale, atr_scale, price_scale
+from ohlspark.operators import extensions as X
 from ohlspark.operators import view as V
 from ohlspark.operators.indicators import Registry, wilder_atr, with_repeated_last
 from ohlspark.operators.marks import axis_labels, day_changes, grid, label_step
@@ -190,3 +194,37 @@ def test_registry():
     r.register("x", lambda bars: 1)
     r.register("x", lambda bars: 2)
     assert r.values("x", None) == 2 and r.values("y", None) is None
+
+
+def test_folds_by_blocks_equal_a_fold_of_the_whole(spark):
+    df = wilder_atr(frame_of_walk(spark))
+    rows = [r for r in df.orderBy("idx").collect()]
+    columns = [np.array([r[c] for r in rows], float) for c in ("high", "low", "close", "atr")]
+    for operator, fold in ((X.supertrend, X._supertrend), (X.range_filter, X._range_filter), (X.halftrend, X._halftrend)):
+        want, _ = fold(*columns, None)
+        got = operator(df, block=37).orderBy("idx").collect()
+        for name, values_ in want.items():
+            assert np.allclose([r[name] for r in got], values_)
+
+
+def test_levels_are_swept_however_late(spark, monkeypatch):
+    monkeypatch.setattr(X, "FAN", 4)
+    monkeypatch.setattr(X, "HEIGHT", 5)
+    df = frame_of_walk(spark, 900)
+    bars = df.orderBy("idx").collect()
+    got = X.liquidity_states(df).collect()
+    assert {r.side for r in got} == {"BUY", "SELL"} and {r.kind for r in got} >= {"GRAB", "SWEEP", "RUN"}
+    for r in got:
+        beyond = (lambda b, p=r.price: b.high > p) if r.side == "BUY" else (lambda b, p=r.price: b.low < p)
+        assert r.swept_idx == next((b.idx for b in bars if b.idx > r.level_idx + 3 and beyond(b)), None)
+    assert max(r.swept_idx - r.level_idx for r in got if r.swept_idx) > 100
+
+
+def frame_of_walk(spark, n=500):
+    rng = random.Random(8)
+    rows, close = [], 500.0
+    for k in range(n):
+        close += rng.gauss(0, 3)
+        rows.append(("s", k, close + abs(rng.gauss(0, 2)), close - abs(rng.gauss(0, 2)), close))
+    df = spark.createDataFrame(rows, "series string, k long, high double, low double, close double")
+    return indexed(df.select("series", F.timestamp_seconds(F.col("k") * 60 + 1_700_000_000).cast("timestamp_ntz").alias("time"), F.col("close").alias("open"), "high", "low", "close", F.lit(1.0).alias("volume")))
