@@ -78,9 +78,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _chunks(batches, 8 * CHUNK_BYTES):
-        keys, n = np.unique(grams_of([r[-1] for r in rows])[0], return_counts=True)
-        yield pa.RecordBatch.from_pydict({"gram": keys, "n": n.astype(np.int64)})
+    """Grams with their numbers, by about 16 chunks of text."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole() -> pa.RecordBatch:
+        keys, code = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.bincount(code, np.concatenate([n for _, n in held])).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_pydict({"gram": keys, "n": n})
+
+    for rows in _chunks(batches, CHUNK_BYTES):
+        held.append(np.unique(grams_of([r[-1] for r in rows])[0], return_counts=True))
+        if len(held) == 16:
+            yield whole()
+    if held:
+        yield whole()
 
 
 def _discounted(grams: DataFrame, context: Column) -> DataFrame:
