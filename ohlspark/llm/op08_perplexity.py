@@ -15,7 +15,6 @@ Log-probabilities are whole micro-bits, so sums are the same in any order.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,12 +173,26 @@ _DOCS = pa.list_(pa.struct([("doc", pa.string()), ("doc_id", pa.int64()), ("lang
 BLOCKS = "block long, shard int, bytes long, docs array<struct<doc: string, doc_id: long, lang: string, n_bytes: long>>, payload binary"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then the next, and so on: the high ones are mostly zero."""
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _unpacked(payload: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(payload, np.int64))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Rows(doc, doc_id, lang, text) -> for each block a row of shard -1 with its documents and packed texts, and one
     for each shard with the distinct grams that the texts have in it."""
     task, made = TaskContext.get().partitionId(), 0
     schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("bytes", pa.int64()), ("docs", _DOCS), ("payload", pa.binary())])
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
 
     def block() -> pa.RecordBatch:
         keys = np.unique(np.concatenate(grams))
@@ -188,7 +201,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         for s in range(shards):
             mine = keys[at == s]
             if len(mine):
-                rows.append((task << 32 | made, s, size, None, zlib.compress(np.diff(mine, prepend=0).tobytes(), 1)))
+                rows.append((task << 32 | made, s, size, None, _packed(np.diff(mine, prepend=0))))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ids, texts, grams, size = [], [], [], 0
@@ -207,23 +220,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         yield block()
 
 
-def _unpacked(payload: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(payload), np.int64))
-
-
 def _answered(requests: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """One group of blocks and the shard that they meet: each block's grams with their micro-bits."""
     shard, out = Shard(model), []
     for block, payload in zip(requests["block"], requests["payload"], strict=True):
         bits = np.rint(-1e6 * np.log2(shard(_unpacked(payload)))).astype(np.uint32)
-        out.append((block, payload, zlib.compress(bits.tobytes(), 1)))
+        out.append((block, payload, _packed(bits)))
     return pd.DataFrame(out, columns=["block", "grams", "bits"])
 
 
 def _scored(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """One block: its documents with the micro-bits of their texts."""
     grams = np.concatenate([_unpacked(x) for x in answers["grams"]])
-    bits = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in answers["bits"]]).astype(np.int64)
+    bits = np.concatenate([_numbers(x, np.uint32) for x in answers["bits"]]).astype(np.int64)
     order = np.argsort(grams)
     grams, bits = grams[order], bits[order]
     docs, payload = blocks["docs"].iat[0], blocks["payload"].iat[0]
