@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from ohlspark.llm.common import LOWER, UPPER, ascii_lower, broadcast_if, fresh, settled, table
 
 #: A run of 16 key characters or more, or one of 8 or more, other marks too, that a key's name and a quote introduce.
-CANDIDATE = r"""[A-Za-z0-9+/_=-]{16,}|(?<=(?i:token|secret|passwd|password|pwd|key)["']?\s{0,2}[:=]{1,2}\s{0,2}["'])[A-Za-z0-9+/_=!@#$%^&*?.-]{8,64}(?=["'])"""
+#: What stands before a match is looked at one character first, so that most places fail at once.
+CANDIDATE = (
+    r"""(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"""
+    r"""|(?<=["'])(?<=(?i:token|secret|passwd|password|pwd|key)["']?\s{0,2}[:=]{1,2}\s{0,2}["'])[A-Za-z0-9+/_=!@#$%^&*?.-]{8,64}(?=["'])"""
+)
 #: Characters on either side that the features look at.
 AROUND = 48
 #: A run of letters is a dictionary word if the documents hold it so many times.
