@@ -1,5 +1,9 @@
 """Each registered query with SQL against DuckDB."""
 
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -36,7 +40,10 @@ def test_query(spark, con, name):
         assert got[1]
 
 
-def test_entry_stands_without_the_llm_folder():
-    import __spark_entry__
-
-    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(catalogue.SQL) <= set(__spark_entry__.oracle_sql())
+def test_entry_stands_without_the_llm_folder(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True).stdout
+    names, sql = (set(x.split()) for x in out.splitlines())
+    assert names == set(catalogue.QUERIES) and sql == set(catalogue.SQL)
