@@ -153,7 +153,8 @@ def _folding(fold, columns: str):
 
     def apply(bars: DataFrame, block: int = FOLDED, **params) -> DataFrame:
         spark = bars.sparkSession
-        rows = bars.select("series", F.floor(F.col("idx") / block).alias("block"), "idx", "high", "low", "close", "atr")
+        # read in every round, so made once
+        rows = settled(bars.select("series", F.floor(F.col("idx") / block).alias("block"), "idx", "high", "low", "close", "atr"))
         kinds = "series string, block long, state array<double>"
 
         def folded(group: pd.DataFrame) -> tuple[pd.DataFrame, dict, list]:
