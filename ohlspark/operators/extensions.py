@@ -1,6 +1,8 @@
 """Extensions beyond plain bars: swings, gaps, structure, profiles, VWAP and strategy signals.
 
-These follow public definitions; their parameters are ours and stand in the signatures. Recursive
+These follow public definitions; their parameters are ours and stand in the signatures. Bars are as `indexed` makes
+them: idx without gaps, and prev_close. Windows over neighbours, last values and running sums are taken in blocks of bars, and
+a block is given what it needs of others, so no task orders a whole series. Recursive
 ones (SuperTrend, HalfTrend, range filter) go on through the whole series: blocks of bars are folded apart, each from what the
 block before it left, and again where that has changed, until nothing changes.
 """
@@ -16,27 +18,53 @@ from ohlspark.schema import ANCHOR_TYPES
 from ohlspark.sources.bars import settled
 
 
-def _series() -> WindowSpec:
-    return Window.partitionBy("series").orderBy("idx")
+#: Bars of a block that is worked on by itself.
+BLOCK = 4096
+
+
+def _block(idx: Column) -> Column:
+    return F.floor(idx / BLOCK)
+
+
+def _inside(*keys: str) -> WindowSpec:
+    return Window.partitionBy("series", "block", *keys).orderBy("idx")
+
+
+def _with_neighbours(bars: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """Bars by `block`, each block with copies of the bars just before and just after it; `own` marks its own."""
+    at = F.col("idx")
+    blocks = F.array_distinct(F.array(_block(at - after), _block(at), _block(at + before)))
+    return bars.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == _block(at))
+
+
+def _filled(rows: DataFrame, columns: list[str], upto: int = 0) -> DataFrame:
+    """For each of the columns a column last_<name>: its last value that isn't null, up to the row, or before it with upto=-1."""
+    rows = rows.withColumn("block", _block(F.col("idx")))
+    left = rows.groupBy("series", "block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c) for c in columns))
+    earlier = Window.partitionBy("series").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("series", "block", *(F.last(c, True).over(earlier).alias(f"carried_{c}") for c in columns))
+    until = _inside().rowsBetween(Window.unboundedPreceding, upto)
+    seen = rows.select("*", *(F.last(c, True).over(until).alias(f"seen_{c}") for c in columns)).join(carried, ["series", "block"])
+    return seen.select(*(c for c in rows.columns if c != "block"), *(F.coalesce(f"seen_{c}", f"carried_{c}").alias(f"last_{c}") for c in columns))
 
 
 def swing_points(bars: DataFrame, k: int = 3) -> DataFrame:
-    """Bars whose high is above, or low below, those of k bars on both sides; confirmed k bars later."""
-    before, after = _series().rowsBetween(-k, -1), _series().rowsBetween(1, k)
+    """Bars whose high is above, or low below, those of k bars on both sides; confirmed k bars later. k is at most BLOCK."""
+    before, after = _inside().rowsBetween(-k, -1), _inside().rowsBetween(1, k)
     whole = (F.count("*").over(before) == k) & (F.count("*").over(after) == k)
-    rows = bars.select(
-        "series", "idx", "time", "high", "low", whole.alias("whole"),
+    rows = _with_neighbours(bars.select("series", "idx", "high", "low"), k, k).select(
+        "series", "idx", "high", "low", "own", whole.alias("whole"),
         ((F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))).alias("is_high"),
         ((F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after))).alias("is_low"),
-    ).where("whole AND (is_high OR is_low)")
+    ).where("own AND whole AND (is_high OR is_low)")
     kinds = F.array(F.when(F.col("is_high"), F.struct(F.lit("HIGH").alias("type"), F.col("high").alias("price"))), F.when(F.col("is_low"), F.struct(F.lit("LOW").alias("type"), F.col("low").alias("price"))))
     return rows.select("series", "idx", F.explode(F.array_compact(kinds)).alias("x"), (F.col("idx") + k).alias("confirmed")).select("series", "idx", "x.type", "x.price", "confirmed")
 
 
 def fair_value_gaps(bars: DataFrame) -> DataFrame:
     """Bullish where low is above the high of two bars before, bearish where high is below that low."""
-    h2, l2 = F.lag("high", 2).over(_series()), F.lag("low", 2).over(_series())
-    rows = bars.select("series", "idx", "high", "low", h2.alias("h2"), l2.alias("l2"))
+    h2, l2 = F.lag("high", 2).over(_inside()), F.lag("low", 2).over(_inside())
+    rows = _with_neighbours(bars.select("series", "idx", "high", "low"), 2).select("series", "idx", "high", "low", "own", h2.alias("h2"), l2.alias("l2")).where("own")
     rows = rows.withColumn("type", F.when(F.col("low") > F.col("h2"), "BULLISH").when(F.col("high") < F.col("l2"), "BEARISH")).where("type IS NOT NULL")
     bull = F.col("type") == "BULLISH"
     return rows.select("series", "idx", "type", F.when(bull, F.col("h2")).otherwise(F.col("high")).alias("bottom"), F.when(bull, F.col("low")).otherwise(F.col("l2")).alias("top"))
@@ -45,15 +73,14 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
 def structure_breaks(bars: DataFrame, k: int = 3) -> DataFrame:
     """Closes that cross the last confirmed swing high or low. In the direction of the last break it is a
     BOS, against it a CHOCH; the first is a BOS."""
-    swings = swing_points(bars, k)
-    level = swings.groupBy("series", F.col("confirmed").alias("idx")).agg(F.max(F.when(F.col("type") == "HIGH", F.col("price"))).alias("h"), F.max(F.when(F.col("type") == "LOW", F.col("price"))).alias("l"))
-    upto = _series().rowsBetween(Window.unboundedPreceding, 0)
-    rows = bars.join(level, ["series", "idx"], "left").select("series", "idx", "close", F.last("h", True).over(upto).alias("level_h"), F.last("l", True).over(upto).alias("level_l"))
-    pc = F.lag("close").over(_series())
-    rows = rows.withColumn("pc", pc).withColumn("side", F.when((F.col("close") > F.col("level_h")) & (F.col("pc") <= F.col("level_h")), 1).when((F.col("close") < F.col("level_l")) & (F.col("pc") >= F.col("level_l")), -1))
-    hits = rows.where("side IS NOT NULL").withColumn("before", F.lag("side").over(_series()))
-    kind = F.when(F.col("before").isNull() | (F.col("before") == F.col("side")), "BOS").otherwise("CHOCH")
-    return hits.select("series", "idx", kind.alias("type"), "side", F.when(F.col("side") == 1, F.col("level_h")).otherwise(F.col("level_l")).alias("price"))
+    bars = settled(bars.select("series", "idx", "high", "low", "close", "prev_close"))  # read several times, so made once
+    level = swing_points(bars, k).groupBy("series", F.col("confirmed").alias("idx")).agg(F.max(F.when(F.col("type") == "HIGH", F.col("price"))).alias("h"), F.max(F.when(F.col("type") == "LOW", F.col("price"))).alias("l"))
+    rows = _filled(settled(bars.join(level, ["series", "idx"], "left")), ["h", "l"])
+    close, pc, high, low = (F.col(c) for c in ("close", "prev_close", "last_h", "last_l"))
+    hits = rows.select("series", "idx", "last_h", "last_l", F.when((close > high) & (pc <= high), 1).when((close < low) & (pc >= low), -1).alias("side")).where("side IS NOT NULL")
+    hits = _filled(settled(hits), ["side"], upto=-1)
+    kind = F.when(F.col("last_side").isNull() | (F.col("last_side") == F.col("side")), "BOS").otherwise("CHOCH")
+    return hits.select("series", "idx", kind.alias("type"), "side", F.when(F.col("side") == 1, high).otherwise(low).alias("price"))
 
 
 def typical_price() -> Column:
@@ -69,10 +96,19 @@ def session_vwap(bars: DataFrame) -> DataFrame:
 def anchored_vwap(bars: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchors(series, idx, type): each anchor of a known type starts the sums anew; null before the first."""
     marks = anchors.where(F.col("type").isin(ANCHOR_TYPES)).select("series", "idx").distinct().withColumn("anchor", F.lit(1))
-    upto = _series().rowsBetween(Window.unboundedPreceding, 0)
-    rows = bars.join(marks, ["series", "idx"], "left").withColumn("anchor_id", F.count("anchor").over(upto))
-    w = Window.partitionBy("series", "anchor_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.sum(typical_price() * F.col("volume")).over(w) / F.sum("volume").over(w)
+    priced = bars.select("series", "idx", (typical_price() * F.col("volume")).alias("pv"), F.col("volume").alias("v")).join(marks, ["series", "idx"], "left")
+    priced = settled(priced.withColumn("block", _block(F.col("idx"))))
+    until, earlier = Window.unboundedPreceding, -1
+    counts = priced.groupBy("series", "block").agg(F.count("anchor").alias("n"))
+    passed = counts.select("series", "block", F.coalesce(F.sum("n").over(Window.partitionBy("series").orderBy("block").rowsBetween(until, earlier)), F.lit(0)).alias("passed"))
+    rows = priced.withColumn("here", F.count("anchor").over(_inside().rowsBetween(until, 0))).join(passed, ["series", "block"])
+    rows = rows.select("series", "idx", "block", "pv", "v", (F.col("passed") + F.col("here")).alias("anchor_id"))
+    blocks = Window.partitionBy("series", "anchor_id").orderBy("block").rowsBetween(until, earlier)
+    sums = rows.groupBy("series", "anchor_id", "block").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"))
+    before = sums.select("series", "anchor_id", "block", *(F.coalesce(F.sum(c).over(blocks), F.lit(0.0)).alias(f"{c}_before") for c in ("pv", "v")))
+    w = _inside("anchor_id").rowsBetween(until, 0)
+    rows = rows.select("series", "idx", "block", "anchor_id", F.sum("pv").over(w).alias("pv"), F.sum("v").over(w).alias("v")).join(before, ["series", "anchor_id", "block"])
+    value = (F.col("pv") + F.col("pv_before")) / (F.col("v") + F.col("v_before"))
     return rows.select("series", "idx", "anchor_id", F.when(F.col("anchor_id") > 0, value).alias("vwap"))
 
 
@@ -143,15 +179,11 @@ def liquidity_states(bars: DataFrame, k: int = 3, hold: int = 3) -> DataFrame:
     return rows.select(F.expr("substr(series, instr(series, ' ') + 1)").alias("series"), side.alias("side"), "level_idx", F.abs("price").alias("price"), "swept_idx", state.alias("state"), kind.alias("kind"), kind.isNotNull().alias("resolved"))
 
 
-#: Bars of a block that is folded by itself.
-FOLDED = 4096
-
-
 def _folding(fold, columns: str):
     """A fold over a series' bars in order of idx: fold(high, low, close, atr, state) -> (columns, state after the last bar), where a
     state is a list of numbers, or None at the start."""
 
-    def apply(bars: DataFrame, block: int = FOLDED, **params) -> DataFrame:
+    def apply(bars: DataFrame, block: int = BLOCK, **params) -> DataFrame:
         spark = bars.sparkSession
         # read in every round, so made once
         rows = settled(bars.select("series", F.floor(F.col("idx") / block).alias("block"), "idx", "high", "low", "close", "atr"))

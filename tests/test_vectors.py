@@ -228,3 +228,22 @@ def frame_of_walk(spark, n=500):
         rows.append(("s", k, close + abs(rng.gauss(0, 2)), close - abs(rng.gauss(0, 2)), close))
     df = spark.createDataFrame(rows, "series string, k long, high double, low double, close double")
     return indexed(df.select("series", F.timestamp_seconds(F.col("k") * 60 + 1_700_000_000).cast("timestamp_ntz").alias("time"), F.col("close").alias("open"), "high", "low", "close", F.lit(1.0).alias("volume")))
+
+
+def test_windows_in_blocks_equal_those_in_one_block(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(s, f"2024-01-{1 + i // 60:02d} 00:{i % 60:02d}:00", *(float(rng.randrange(50, 90)) for _ in range(3))) for s in "ab" for i in range(400 if s == "a" else 3)]
+    df = spark.createDataFrame(rows, "series string, t string, x double, y double, close double")
+    high, low = F.greatest("x", "y", "close"), F.least("x", "y", "close")
+    bars = indexed(df.select("series", F.col("t").cast("timestamp_ntz").alias("time"), F.col("close").alias("open"), high.alias("high"), low.alias("low"), "close", F.lit(2.0).alias("volume"))).cache()
+
+    def made():
+        breaks = X.structure_breaks(bars)
+        vwap = X.anchored_vwap(bars, breaks).withColumn("vwap", F.round("vwap", 9))
+        return [sorted(map(repr, d.collect())) for d in (X.swing_points(bars), X.fair_value_gaps(bars), breaks, vwap)]
+
+    whole = made()
+    assert len(whole[0]) > 10 and len(whole[2]) > 5 and len(whole[3]) == 403
+    monkeypatch.setattr(X, "BLOCK", 16)
+    assert made() == whole
+    assert X.structure_breaks(bars.limit(0)).count() == 0 and X.anchored_vwap(bars, X.structure_breaks(bars.limit(0))).where("vwap IS NOT NULL").count() == 0
