@@ -41,9 +41,10 @@ def resolve_revisits(captures: DataFrame, cell_seconds: int = CELL_SECONDS) -> D
     """captures(record_id, url, type, status, captured_at: whole seconds, headers: map) -> record_id,
     url_key, type, captured_at, source_id, outcome, headers.
 
-    A full response is a record of type `response` with status 200. A revisit is of type `revisit`;
+    A full response is a record of type `response` with status 200 and an id. A revisit is of type `revisit`;
     its source is the full response of the same canonical URL with the latest captured_at before
-    its own (of equal times the greatest record_id). Outcome: `matched` if the etags are equal (weakly), or
+    its own (of equal times the greatest record_id,
+    of records that share it the one with the greatest headers). Outcome: `matched` if the etags are equal (weakly), or
     without an etag on one side the last-modified values; `unchecked` if they share no validator;
     `mismatch` if they differ; `orphan` without a source, or without url or time; null for other records.
     Headers: merged for matched and unchecked revisits, else the record's own, names in lower case.
@@ -53,17 +54,17 @@ def resolve_revisits(captures: DataFrame, cell_seconds: int = CELL_SECONDS) -> D
     own = captures.select("record_id", canonical_url(F.col("url")).alias("url_key"), "type", "status", F.col("captured_at").cast("long").alias("captured_at"), _lowered(F.col("headers")).alias("headers"))
     rows = own.withColumn("cell", F.floor(F.col("captured_at") / cell_seconds))
     usable = rows.where("url_key IS NOT NULL AND captured_at IS NOT NULL")
-    full = (F.col("type") == "response") & (F.col("status") == 200)
-    stored = F.struct("captured_at", "record_id", F.map_entries("headers").alias("headers"))
+    full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
+    stored = F.struct("captured_at", "record_id", F.array_sort(F.map_entries("headers")).alias("headers"))
     # the latest full response of each cell, filled forward to the cells after it: a row a cell
-    cells = usable.groupBy("url_key", "cell").agg(F.max_by(stored, F.when(full, F.struct("captured_at", "record_id"))).alias("latest"))
+    cells = usable.groupBy("url_key", "cell").agg(F.max(F.when(full, stored)).alias("latest"))
     before = Window.partitionBy("url_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = cells.select("url_key", "cell", F.last("latest", ignorenulls=True).over(before).alias("carried"))
     # within a cell: full responses of an earlier second; equal seconds don't count
     inside = Window.partitionBy("url_key", "cell").orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1)
     near = usable.withColumn("near", F.max(F.when(full, F.struct("captured_at", "record_id"))).over(inside))
     revisits = near.where("type = 'revisit'").join(carried, ["url_key", "cell"], "left")
-    inner = usable.where(full).groupBy("url_key", "cell", "captured_at", "record_id").agg(F.first(F.map_entries("headers")).alias("near_headers"))
+    inner = usable.where(full).groupBy("url_key", "cell", "captured_at", "record_id").agg(F.max(F.array_sort(F.map_entries("headers"))).alias("near_headers"))
     r, i = revisits.alias("r"), inner.alias("i")
     same = (F.col("r.url_key") == F.col("i.url_key")) & (F.col("r.cell") == F.col("i.cell")) & (F.col("r.near.captured_at") == F.col("i.captured_at")) & (F.col("r.near.record_id") == F.col("i.record_id"))
     got = r.join(i, same, "left").select("r.*", "near_headers").select(

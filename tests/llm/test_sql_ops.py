@@ -60,6 +60,18 @@ def test_revisits_of_a_hot_url_equal_brute_force(spark):
     assert resolve_revisits(df.where("record_id < 0")).count() == 0
 
 
+def test_revisits_of_ties_repeats_and_records_without_id(spark):
+    url, old, new = "http://h.org/a", {"ETag": '"1"'}, {"ETag": '"2"'}
+    rows = [(1, url, "response", 200, 10, old), (3, url, "response", 200, 20, old), (2, url, "response", 200, 20, new), (3, url, "response", 200, 20, new)]
+    rows += [(None, url, "response", 200, 25, old), (4, url, "revisit", 304, 30, new), (4, url, "revisit", 304, 30, new), (5, url, "revisit", 304, 20, old), (6, url, None, None, 20, None)]
+    rows += [(7, url, "revisit", 304, 10**6, new), (8, url, "revisit", 304, 10, old)]
+    df = spark.createDataFrame(rows, "record_id long, url string, type string, status int, captured_at long, headers map<string,string>").withColumn("found", F.lit(1)).withColumn("stored", F.lit(2))
+    got = sorted((r.record_id or 0, r.source_id, r.outcome) for r in resolve_revisits(df).collect() if r.type == "revisit")
+    # of the two records 3 the one with the greater headers; the full response without an id is no source
+    assert got == [(4, 3, "matched"), (4, 3, "matched"), (5, 1, "matched"), (7, 3, "matched"), (8, None, "orphan")]
+    assert resolve_revisits(df).count() == len(rows)
+
+
 def test_sharding_law_and_slots(spark):
     rows = op6_sharding(spark, SF).collect()
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
