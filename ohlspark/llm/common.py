@@ -6,7 +6,7 @@ import tempfile
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,3 +55,19 @@ def fresh(name: str, df: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, times: Column | None = None, rows_a_range: int = 200_000) -> DataFrame:
+    """df with `name`: how many rows come before a row in that order, which must be total; a row counts `times` over. Rows are dealt out by
+    ranges of the order, each range is numbered apart and starts after those before it, so no task orders the table."""
+    df = settled(df)  # its ranges are sampled first
+    part, n = fresh("part", df), fresh("n", df)
+    ranges = max(1, -(-df.count() // rows_a_range))
+    times = F.lit(1) if times is None else times
+    dealt = settled(df.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()).withColumn(n, times.cast("long")))
+    earlier = (Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(part).agg(F.sum(n).alias(n))  # a row for each range
+    starts = sums.select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(*earlier)), F.lit(0)).alias(fresh("first", df)))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(part).orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    placed = dealt.withColumn(name, inside).join(F.broadcast(starts), part)
+    return placed.select(*df.columns, (F.col(name) + F.col(fresh("first", df))).cast("long").alias(name))

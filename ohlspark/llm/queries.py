@@ -13,6 +13,9 @@ from ohlspark.llm import (
     op08_perplexity,
     op09_packing,
     op10_language,
+    op11_runs,
+    op12_importance,
+    op13_gray_simhash,
 )
 
 QUERIES = {
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_perplexity": op08_perplexity.op8_perplexity,
     "op9_packing": op09_packing.op9_packing,
     "op10_language": op10_language.op10_language,
+    "op11_periodic_runs": op11_runs.op11_periodic_runs,
+    "op12_importance_resampling": op12_importance.op12_importance_resampling,
+    "op13_gray_simhash": op13_gray_simhash.op13_gray_simhash,
 }
 SQL = {
     "op1_decontaminate": op01_decontaminate.SQL,
     "op2_revisits": op02_revisits.SQL,
     "op4_url_filter": op04_url_filter.SQL,
+    "op11_periodic_runs": op11_runs.SQL,
+    "op12_importance_resampling": op12_importance.SQL,
 }
