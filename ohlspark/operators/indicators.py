@@ -8,6 +8,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohlspark.operators.series import indexed
 from ohlspark.schema import ATR_PERIOD
 
 Indicator = Callable[[DataFrame], DataFrame]
@@ -47,13 +48,14 @@ def with_repeated_last(bars: DataFrame) -> DataFrame:
 
 
 def wilder_atr(bars: DataFrame, period: int = ATR_PERIOD, first: str = "fresh") -> DataFrame:
-    """Indexed bars with a column atr: the mean of the first `period` true ranges, at all of their positions
+    """Bars (indexed first where they have no prev_close) with a column atr: the mean of the first `period` true ranges, at all of their positions
     (null while there are fewer), and then (atr * (period - 1) + true range) / period.
 
     The recursion is a sum with weights that fall by q = (period - 1) / period a bar. Blocks of
     BLOCK bars are summed apart, and a bar adds to its own block what the last blocks before it leave: as many
     as it takes for q to fall below a double's precision. So no task folds a whole series.
     """
+    bars = bars if "prev_close" in bars.columns else indexed(bars)
     q, at = (period - 1) / period, F.col("idx")
     ranged = bars.withColumn("tr", true_range(first))
     seeds = ranged.where(at < period).groupBy("series").agg(F.when(F.count("*") >= period, F.sum("tr") / period).alias("seed"))

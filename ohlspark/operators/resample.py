@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohlspark.functions.scalars import bucket_key
-from ohlspark.operators.series import indexed
+from ohlspark.operators.series import CELL, indexed
 from ohlspark.schema import TIMEFRAMES, timeframe_minutes
 
-#: Rows of a cell of seq.
-CELL = 100_000
-
 _ohlcv = lambda order: [F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume")]
 
 
@@ -68,13 +65,24 @@ def merge_deltas(rows: DataFrame, order: list[str] | None = None, cell: Column |
     )
 
 
-def build_timeframes(bars: DataFrame) -> DataFrame:
-    """One-minute bars -> the bars of every timeframe, with tf and idx (from 0 in each series and timeframe)."""
+def build_timeframes(bars: DataFrame, warn: bool = False) -> DataFrame:
+    """One-minute bars -> the bars of every timeframe, with tf and idx (from 0 in each series and timeframe).
+
+    Bars whose time is a text and that have seq (from a CSV file) stay in their order of arrival, out of order, blank or not, and longer ones are
+    runs of their keys; others go by windows of time. No bars give none; with `warn` the log tells of it, for one more look at the bars.
+    """
+    if warn and bars.isEmpty():
+        logging.getLogger(__name__).warning("no bars of one minute to build timeframes from")
+    texts = dict(bars.dtypes)["time"] == "string"
     out = None
     for tf in TIMEFRAMES:
-        one = indexed(bars if tf == "1m" else resample(bars, tf)).withColumn("tf", F.lit(tf))
+        if texts and tf != "1m":
+            one = resample_runs(bars, tf).withColumn("idx", F.col("run"))
+        else:
+            one = indexed(bars if tf == "1m" else resample(bars, tf))
+        one = one.withColumn("tf", F.lit(tf)).select("series", "tf", "idx", "time", "open", "high", "low", "close", "volume")
         out = one if out is None else out.unionByName(one)
-    return out.select("series", "tf", "idx", "time", "open", "high", "low", "close", "volume")
+    return out
 
 
 def active(bars: DataFrame, tf: str) -> DataFrame:
@@ -83,3 +91,12 @@ def active(bars: DataFrame, tf: str) -> DataFrame:
     if out.isEmpty() and not bars.where("tf = '1m'").isEmpty():
         logging.getLogger(__name__).warning("timeframe %s has no bars; build_timeframes makes them", tf)
     return out
+
+
+def followed_timeframes(requests: DataFrame, start: str = "1m") -> DataFrame:
+    """requests(session, step, tf) -> with active, the timeframe after each, and refused: an unknown or missing one is refused, and the one before stays.
+    Sessions begin with `start`. A session's requests are ordered in one task."""
+    known = F.col("tf").isin(list(TIMEFRAMES))
+    upto = Window.partitionBy("session").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(known, F.col("tf")), ignorenulls=True).over(upto)
+    return requests.withColumn("active", F.coalesce(last, F.lit(start))).withColumn("refused", ~F.coalesce(known, F.lit(False)))

@@ -1,25 +1,37 @@
 """Positions in a series, and what is looked up by them.
 
-Positions are dealt out by cells of a day: rows are numbered within their cell and a cell starts
+Positions are dealt out by cells of a day, or of arrivals: rows are numbered within their cell and a cell starts
 after the rows of the cells before it, so no task sorts a whole series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a cell of seq.
+CELL = 100_000
+
+
+def arrival(bars: DataFrame) -> tuple[list[str], Column]:
+    """What bars are ordered by and the cells they are dealt out by: seq, the order of arrival, where they have it, else time, by days."""
+    return (["seq"], F.floor(F.col("seq") / CELL)) if "seq" in bars.columns else (["time"], F.to_date("time"))
+
+
 def indexed(bars: DataFrame) -> DataFrame:
-    """Adds idx, from 0 by time in each series, and prev_close (null at 0)."""
-    bars = bars.withColumn("day", F.to_date("time"))
-    cells = bars.groupBy("series", "day").agg(F.count("*").alias("n"), F.max_by("close", "time").alias("last_close"))
-    w = Window.partitionBy("series").orderBy("day")
-    before = cells.select("series", "day", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.lag("last_close").over(w).alias("carried"))
-    inside = Window.partitionBy("series", "day").orderBy("time")
-    placed = bars.withColumn("nth", F.row_number().over(inside) - 1).withColumn("lagged", F.lag("close").over(inside))
-    return placed.join(before, ["series", "day"]).select(
-        *(c for c in bars.columns if c != "day"), (F.col("first") + F.col("nth")).cast("long").alias("idx"),
+    """Sets idx, from 0 in each series in the order of `arrival`, and prev_close (null at 0); values of those names are replaced."""
+    bars = bars.drop("idx", "prev_close")
+    order, cell = arrival(bars)
+    placed = bars.withColumn("cell", cell)
+    at = F.struct(*order)
+    cells = placed.groupBy("series", "cell").agg(F.count("*").alias("n"), F.max_by("close", at).alias("last_close"))
+    w = Window.partitionBy("series").orderBy("cell")
+    before = cells.select("series", "cell", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.lag("last_close").over(w).alias("carried"))
+    inside = Window.partitionBy("series", "cell").orderBy(*order)
+    placed = placed.withColumn("nth", F.row_number().over(inside) - 1).withColumn("lagged", F.lag("close").over(inside))
+    return placed.join(before, ["series", "cell"]).select(
+        *bars.columns, (F.col("first") + F.col("nth")).cast("long").alias("idx"),
         F.when(F.col("nth") == 0, F.col("carried")).otherwise(F.col("lagged")).alias("prev_close"),
     )
 

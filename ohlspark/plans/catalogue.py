@@ -17,10 +17,10 @@ from ohlspark.operators import marks as M
 from ohlspark.operators import view as V
 from ohlspark.operators.indicators import REGISTRY, true_range, wilder_atr, with_repeated_last
 from ohlspark.operators.ranges import atr_range, price_range
-from ohlspark.operators.resample import active, build_timeframes, merge_deltas, resample, resample_runs
+from ohlspark.operators.resample import active, build_timeframes, followed_timeframes, merge_deltas, resample, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
 from ohlspark.schema import ANCHOR_TYPES
-from ohlspark.sources.bars import complete, event_bars, lineitem_bars, order_bars, passing_folder, read_csv, typed_bars
+from ohlspark.sources.bars import complete, event_bars, ingest, lineitem_bars, load, order_bars, passing_folder, read_bars, read_csv, typed_bars, write_bars
 
 QUERIES = {}
 SQL = {}
@@ -482,6 +482,69 @@ def csv_runs_15m(spark, d):
     return resample_runs(typed_bars(read_csv(spark, event_csv(spark, d))), "15m").select("run", *OHLCV)
 
 
+def messy_csv(spark: SparkSession, d: str) -> str:
+    """The events as CSV files of minutes, some out of order, some cut short after the open, and some followed by a blank line."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    blank = F.explode(F.when(F.col("event_id") % 97 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("blank")
+    rows = e.select("*", F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("INTERVAL 3 MINUTES")).otherwise(F.col("ts")).alias("at"), blank).orderBy("at", "event_id", "blank")
+    shown = lambda c: F.when(~F.col("blank"), c)
+    text, value = F.date_format("ts", "yyyy-MM-dd HH:mm:00"), F.when(F.col("event_id") % 101 != 0, F.col("value"))
+    out = passing_folder(spark)
+    rows.select(shown(text).alias("time"), shown(F.col("value")).alias("open"), *(shown(value).alias(c) for c in OHLCV[2:5]), shown(F.when(F.col("event_id") % 101 != 0, F.lit("1.5x"))).alias("volume")).write.option("header", True).csv(out)
+    return out
+
+
+_MESSY = """e AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN ts + INTERVAL 3 MINUTES ELSE ts END AS due, strftime(ts, '%Y-%m-%d %H:%M:00') AS tx, CASE WHEN event_id % 101 <> 0 THEN value ELSE 0 END AS v, CASE WHEN event_id % 101 <> 0 THEN 1.5::DOUBLE ELSE 0 END AS vol FROM events),
+m AS (SELECT row_number() OVER (ORDER BY due, event_id, blank) - 1 AS seq, time, open, high, low, close, volume FROM (
+SELECT due, event_id, false AS blank, tx AS time, value AS open, v AS high, v AS low, v AS close, vol AS volume FROM e UNION ALL SELECT due, event_id, true, NULL, 0, 0, 0, 0, 0 FROM e WHERE event_id % 97 = 0))"""
+
+
+def _runs_sql(minutes: int) -> str:
+    return f"""SELECT '{minutes}m' AS tf, run::BIGINT AS idx, key AS time, arg_min(open, seq) AS open, max(high) AS high, min(low) AS low, arg_max(close, seq) AS close, sum(volume) AS volume FROM (
+SELECT *, sum(brk) OVER (ORDER BY seq) - 1 AS run FROM (SELECT *, CASE WHEN lag(key) OVER (ORDER BY seq) = key THEN 0 ELSE 1 END AS brk FROM (
+SELECT *, left(time, 14) || printf('%02d', (substr(time, 15, 2)::INT // {minutes}) * {minutes}) || substr(time, 17) AS key FROM m WHERE time IS NOT NULL))) GROUP BY run, key"""
+
+
+@query(f"WITH {_MESSY} SELECT '1m' AS tf, seq AS idx, time, open, high, low, close, volume FROM m UNION ALL {_runs_sql(5)} UNION ALL {_runs_sql(15)}")
+def csv_timeframes(spark, d):
+    """From CSV files to the bars of every timeframe."""
+    return build_timeframes(load(spark, messy_csv(spark, d)).bars).drop("series")
+
+
+@query(f"WITH RECURSIVE {_MESSY}, x AS (SELECT *, seq AS idx, lag(close) OVER (ORDER BY seq) AS pc FROM m), t AS (SELECT *, {FRESH} AS tr FROM x), {ATR} SELECT x.idx, x.time, round(atr, 6) AS atr FROM x LEFT JOIN a ON a.idx = x.idx")
+def csv_atr14(spark, d):
+    """From CSV files to the ATR of their bars."""
+    return rounded(wilder_atr(load(spark, messy_csv(spark, d)).bars).select("idx", "time", "atr"))
+
+
+@query("SELECT count(*) FILTER (event_id % 3 <> 0) AS loaded, count(*) FILTER (event_id % 3 = 0) AS set_aside, count(*) FILTER (event_id % 3 <> 0 AND event_id % 7 = 0) AS without_time FROM events")
+def ingest_report(spark, d):
+    """What a load counts: bars, rows that lack a key, bars whose time can't be read."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    value, time = F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    whole = F.create_map(*(x for c in OHLCV for x in (F.lit(c), time if c == "time" else value)))
+    return ingest(e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, whole).otherwise(F.create_map(F.lit("time"), time)).alias("fields"))).report()
+
+
+_REQUEST = "CASE event_id % 5 WHEN 0 THEN '1m' WHEN 1 THEN '5m' WHEN 2 THEN '15m' WHEN 3 THEN '7m' END"
+
+
+@query(f"SELECT event_id, tf, coalesce(last_value(CASE WHEN tf <> '7m' THEN tf END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), '1m') AS active, coalesce(tf = '7m', true) AS refused FROM (SELECT event_id, user_id, {_REQUEST} AS tf FROM events)", "followed_timeframes")
+def _followed_timeframes(spark, d):
+    """Each user's requests for timeframes, known or not, and the timeframe after each."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return followed_timeframes(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), F.expr(_REQUEST).alias("tf"))).select(F.col("step").alias("event_id"), "tf", "active", "refused")
+
+
+@query(f"SELECT '5m' AS tf, * FROM ({_bars(5)}) WHERE time::DATE BETWEEN (SELECT min(ts)::DATE + 1 FROM events) AND (SELECT min(ts)::DATE + 3 FROM events)")
+def stored_bars(spark, d):
+    """Bars written by series, timeframe and day, and read again for a timeframe and three days."""
+    out = passing_folder(spark)
+    write_bars(build_timeframes(event_bars(spark, d)), out)
+    first = spark.read.parquet(out).agg(F.min("day").alias("day")).select(*(F.date_add("day", k).cast("string") for k in (1, 3))).first()
+    return read_bars(spark, out, "5m", *first).select("tf", *OHLCV)
+
+
 @query("WITH " + ", ".join(f"b{m} AS ({_bars(m)})" for m in (1, 5, 15)) + " " + " UNION ALL ".join(f"SELECT '{m}m' AS tf, row_number() OVER (ORDER BY time) - 1 AS idx, time, open, high, low, close, volume FROM b{m}" for m in (1, 5, 15)))
 def timeframes(spark, d):
     return build_timeframes(event_bars(spark, d)).drop("series")

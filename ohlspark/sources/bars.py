@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+from dataclasses import dataclass
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ohlspark.functions.scalars import number
-from ohlspark.schema import FIELDS
+from ohlspark.schema import BAR, FIELDS
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +32,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("base") + place).cast("long").alias("seq"), *(F.when(kept != "", F.get(fields, k)).alias(c) for k, c in enumerate(FIELDS)))
 
 
-def typed_bars(rows: DataFrame, series: str = "all") -> DataFrame:
+def typed_bars(rows: DataFrame, series: str = "all", keep: list[str] | None = None) -> DataFrame:
     """Rows of texts(seq, time, ...) -> series, tf `1m`, idx (the order of arrival), seq, time (its text), ts (null where it can't be
-    read) and numbers: a field counts as its leading number, 0 without one."""
+    read) and numbers: a field counts as its leading number, 0 without one; and the columns of keep."""
     ts = F.regexp_extract("time", r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?)", 1).try_cast("timestamp_ntz")
-    return rows.select(F.lit(series).alias("series"), F.lit("1m").alias("tf"), F.col("seq").alias("idx"), "seq", "time", ts.alias("ts"), *(number(F.col(c)).alias(c) for c in FIELDS[1:]))
+    return rows.select(F.lit(series).alias("series"), F.lit("1m").alias("tf"), F.col("seq").alias("idx"), "seq", "time", ts.alias("ts"), *(number(F.col(c)).alias(c) for c in FIELDS[1:]), *(keep or []))
 
 
 def passing_folder(spark: SparkSession) -> str:
@@ -60,10 +62,65 @@ def write_bars(bars: DataFrame, path: str, format: str = "parquet") -> None:
 
 def complete(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a map `fields` -> those that have all six keys (null values are accepted), and the rest."""
-    whole = F.coalesce(F.size(F.array_except(F.array(*map(F.lit, FIELDS)), F.map_keys("fields"))) == 0, F.lit(False))
+    whole = has_all_keys()
     return rows.where(whole).select("seq", *(F.col("fields")[k].alias(k) for k in FIELDS)), rows.where(~whole)
 
 
+def has_all_keys() -> Column:
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, FIELDS)), F.map_keys("fields"))) == 0, F.lit(False))
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """Bars as a table of their own, what was set aside, and what was counted in the pass that wrote both."""
+
+    bars: DataFrame
+    aside: DataFrame
+    loaded: int
+    set_aside: int
+    without_time: int
+
+    def report(self) -> DataFrame:
+        return self.bars.sparkSession.createDataFrame([(self.loaded, self.set_aside, self.without_time)], "loaded long, set_aside long, without_time long")
+
+
+def ingest(rows: DataFrame, series: str = "all") -> Ingested:
+    """Rows (seq, map `fields` of texts) -> typed bars, and the rows that lack a key. One pass over the rows counts them, with
+    DataFrame.observe, and writes both sides. What was set aside or has no readable time is told of in the log."""
+    whole = has_all_keys()
+    texts = rows.select("seq", "fields", whole.alias("whole"), *(F.col("fields")[k].alias(k) for k in FIELDS))
+    made = typed_bars(texts, series, keep=["whole", "fields"])
+    seen = Observation()
+    n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    out = settled(made.observe(seen, n(F.col("whole")).alias("loaded"), n(~F.col("whole")).alias("set_aside"), n(F.col("whole") & F.col("ts").isNull()).alias("without_time")))
+    counts = seen.get
+    log = logging.getLogger(__name__)
+    log.info("loaded %d bars", counts["loaded"])
+    if counts["set_aside"] or counts["without_time"]:
+        log.warning("%d rows lack a key and were set aside; %d bars have no time that can be read", counts["set_aside"], counts["without_time"])
+    return Ingested(out.where("whole").drop("whole", "fields"), out.where("NOT whole").select("seq", "fields"), counts["loaded"], counts["set_aside"], counts["without_time"])
+
+
+def load(spark: SparkSession, path: str, series: str = "all") -> Ingested:
+    """The bars of CSV files, in the order of files and lines, blank lines and fields that are no numbers included: see read_csv and
+    typed_bars. They are written once to the shared folder; timeframes and indicators start from there."""
+    rows = read_csv(spark, path)
+    return ingest(rows.select("seq", F.create_map(*(x for c in FIELDS for x in (F.lit(c), F.col(c)))).alias("fields")), series)
+
+
+def no_bars(spark: SparkSession) -> DataFrame:
+    """A series without bars."""
+    return spark.createDataFrame([], BAR)
+
+
+def read_bars(spark: SparkSession, path: str, tf: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """What write_bars wrote; a timeframe and days (start and end included) leave files unread."""
+    out = spark.read.parquet(path)
+    for kept in (F.col("tf") == tf if tf else None, F.col("day") >= F.lit(start).cast("date") if start else None, F.col("day") <= F.lit(end).cast("date") if end else None):
+        out = out if kept is None else out.where(kept)
+    return out.drop("day")
+
+
 def usable_price(low: Column) -> Column:
     """The guard of the price range: only the text of low is tested, for digits and points alone."""
     return F.coalesce(low.rlike(r"^[0-9.]+$"), F.lit(False))
