@@ -20,6 +20,7 @@ from ohlspark.operators.ranges import atr_range, price_range
 from ohlspark.operators.resample import active, build_timeframes, followed_timeframes, merge_deltas, resample, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
 from ohlspark.schema import ANCHOR_TYPES
+from ohlspark.streaming.live import latest_bars, live_timeframes, live_upserts
 from ohlspark.sources.bars import complete, event_bars, ingest, lineitem_bars, load, order_bars, passing_folder, read_bars, read_csv, typed_bars, write_bars
 
 QUERIES = {}
@@ -458,6 +459,47 @@ def merge_delta_without_low(spark, d):
     return merge_deltas(rows, order, cell).join(right, ["series", "run"]).select("run", "time", "low", "low_corrected")
 
 
+def streamed(rows: DataFrame, stream, by: str, parts: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """What a stream writes that reads the rows in `parts` files or sets of files, in order of the column `by`, and then those of `last`. It is started anew from its
+    checkpoint for each."""
+    spark = rows.sparkSession
+    given, out, checkpoint = (passing_folder(spark) for _ in range(3))
+    cuts = rows.agg(F.percentile_approx(by, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda c: c < F.col(by)))
+    slices = [rows.crossJoin(F.broadcast(cuts)).where(place == k).drop("cuts") for k in range(parts)]  # cuts is one row
+    for one in [*slices, *([] if last is None else [last])]:
+        one.write.mode("append").parquet(given)
+        source = spark.readStream.schema(rows.schema).parquet(given)
+        sink = stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"""WITH e AS (SELECT ts, event_id, value, CASE WHEN event_id % 97 <> 0 THEN value END AS low, CASE WHEN event_id % 50 = 0 THEN date_trunc('minute', ts) - INTERVAL 2 MINUTES ELSE date_trunc('minute', ts) END AS time FROM events),
+m AS (SELECT *, lag(time) OVER (ORDER BY ts, event_id) AS before FROM e), g AS (SELECT *, sum(CASE WHEN before = time THEN 0 ELSE 1 END) OVER (ORDER BY ts, event_id) - 1 AS run FROM m)
+SELECT run::BIGINT AS run, time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, CASE WHEN count(low) = count(*) THEN min(low) END AS low, arg_max(value, (ts, event_id)) AS close,
+arg_max(value, (ts, event_id)) AS volume, count(*) AS merged, coalesce(arg_min(coalesce(time < before, false), (ts, event_id)), false) AS late FROM g GROUP BY run, time""", "live_upserts")
+def _live_upserts(spark, d):
+    """Events as live rows of their minutes, some of them late and some without a low, through a stream that is started again three times."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    time = F.when(F.col("event_id") % 50 == 0, minute - F.expr("INTERVAL 2 MINUTES")).otherwise(minute)
+    low = F.when(F.col("event_id") % 97 != 0, F.col("value"))
+    rows = e.select(F.lit("all").alias("series"), time.alias("time"), *((low if c == "low" else F.col("value")).alias(c) for c in OHLCV[1:]), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id")
+    bars = latest_bars(streamed(rows, lambda s: live_upserts(s, ["at_us", "event_id"]), "at_us"))
+    return bars.select("run", F.col("time").cast("timestamp_ntz").alias("time"), *OHLCV[1:], "merged", "late")
+
+
+@query("WITH " + ", ".join(f"b{m} AS ({_bars(m)})" for m in (1, 5, 15)) + " " + " UNION ALL ".join(f"SELECT '{m}m' AS tf, time, open, high, low, close, volume FROM b{m}" for m in (1, 5, 15)), "live_timeframes")
+def _live_timeframes(spark, d):
+    """Closed bars of every timeframe from one stream; a tick of another series, a day after the last, closes the windows."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ticks = e.select(F.lit("all").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"))
+    closing = ticks.agg(F.max("ts").alias("ts")).select(F.lit("closing").alias("series"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(0).cast("long").alias("tick_id"), F.lit(0.0).alias("price"))
+    bars = streamed(ticks, live_timeframes, "ts", 2, closing).where("series = 'all'")
+    return bars.select("tf", F.col("time").cast("timestamp_ntz").alias("time"), *OHLCV[1:])
+
+
 def event_csv(spark: SparkSession, d: str) -> str:
     """The events as CSV files in order of (ts, event_id)."""
     rows = spark.read.parquet(f"{d}/events.parquet").orderBy("ts", "event_id")
