@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ohlspark.functions.scalars import eq_tolerance
 from ohlspark.schema import ANCHOR_TYPES
 from ohlspark.sources.bars import settled
 
@@ -72,15 +73,25 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
 
 def structure_breaks(bars: DataFrame, k: int = 3) -> DataFrame:
     """Closes that cross the last confirmed swing high or low. In the direction of the last break it is a
-    BOS, against it a CHOCH; the first is a BOS."""
-    bars = settled(bars.select("series", "idx", "high", "low", "close", "prev_close"))  # read several times, so made once
-    level = swing_points(bars, k).groupBy("series", F.col("confirmed").alias("idx")).agg(F.max(F.when(F.col("type") == "HIGH", F.col("price"))).alias("h"), F.max(F.when(F.col("type") == "LOW", F.col("price"))).alias("l"))
-    rows = _filled(settled(bars.join(level, ["series", "idx"], "left")), ["h", "l"])
-    close, pc, high, low = (F.col(c) for c in ("close", "prev_close", "last_h", "last_l"))
-    hits = rows.select("series", "idx", "last_h", "last_l", F.when((close > high) & (pc <= high), 1).when((close < low) & (pc >= low), -1).alias("side")).where("side IS NOT NULL")
+    BOS, against it a CHOCH; the first is a BOS. A block of bars, with copies of the 2 k before it, sees which swings are confirmed in it; the
+    last levels of the blocks before, and then the last side, are carried to it. 2 k is at most BLOCK."""
+    before, after = _inside().rowsBetween(-k, -1), _inside().rowsBetween(1, k)
+    whole = (F.count("*").over(before) == k) & (F.count("*").over(after) == k)
+    high = F.when(whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after)), F.col("high"))
+    low = F.when(whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after)), F.col("low"))
+    rows = _with_neighbours(bars.select("series", "idx", "high", "low", "close", "prev_close"), 2 * k).select("series", "block", "idx", "own", "close", "prev_close", high.alias("h"), low.alias("l"))
+    rows = rows.select("series", "block", "idx", "own", "close", "prev_close", F.lag("h", k).over(_inside()).alias("h"), F.lag("l", k).over(_inside()).alias("l")).where("own")
+    left = rows.groupBy("series", "block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c) for c in ("h", "l")))
+    earlier = Window.partitionBy("series").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("series", "block", *(F.last(c, True).over(earlier).alias(f"carried_{c}") for c in ("h", "l")))
+    upto = _inside().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("seen_h", F.last("h", True).over(upto)).withColumn("seen_l", F.last("l", True).over(upto)).join(carried, ["series", "block"])
+    close, pc, high, low = F.col("close"), F.col("prev_close"), F.coalesce("seen_h", "carried_h"), F.coalesce("seen_l", "carried_l")
+    side = F.when((close > high) & (pc <= high), 1).when((close < low) & (pc >= low), -1)
+    hits = rows.select("series", "idx", side.alias("side"), F.when(side == 1, high).otherwise(low).alias("price")).where("side IS NOT NULL")
     hits = _filled(settled(hits), ["side"], upto=-1)
     kind = F.when(F.col("last_side").isNull() | (F.col("last_side") == F.col("side")), "BOS").otherwise("CHOCH")
-    return hits.select("series", "idx", kind.alias("type"), "side", F.when(F.col("side") == 1, high).otherwise(low).alias("price"))
+    return hits.select("series", "idx", kind.alias("type"), "side", "price")
 
 
 def typical_price() -> Column:
@@ -127,56 +138,157 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     return inside.groupBy("series", "day").agg(F.max(F.when(F.col("nth") == 1, F.col("bin"))).alias("poc"), F.min("bin").alias("val"), F.max("bin").alias("vah"), F.max("total").alias("volume"))
 
 
-#: Children of a node in the tree of maxima, and its height: series of up to FAN ** HEIGHT bars.
-FAN, HEIGHT = 256, 4
+#: Children of a node in the tree of extremes.
+FAN = 256
 
 
-def first_above(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """levels(series, level_idx, price, after), bars(series, idx, value) -> levels with `at`: the first idx beyond `after` whose
-    value is above price, null without one. A level climbs a tree of block maxima until a later block
-    holds such a value, and descends into it: a join by block for each step, whatever the distance."""
-    nodes, tree = bars.select("series", F.col("idx").alias("at"), "value"), []
-    for _ in range(HEIGHT):
-        grouped = nodes.groupBy("series", F.floor(F.col("at") / FAN).alias("group")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("nodes"), F.max("value").alias("value"))
+def first_hit(levels: DataFrame, bars: DataFrame, hit, exact: bool = True, fan: int = FAN) -> DataFrame:
+    """levels(series, after, ...), bars(series, idx, low, high) -> levels with `at`: the first idx beyond `after` for which hit(low, high) holds, a
+    condition over columns of the levels; null without one.
+
+    A level climbs a tree of block extremes, up to one root, until a later block may hold such a bar, and descends into it: a join by
+    block for each step, whatever the distance. hit must hold for a block's extremes if it does for a bar of it. Where a block's extremes may fulfil it and none of
+    its bars does (a range that is jumped over), exact is False: then such a level starts again after the block, until none is left.
+    """
+    nodes, tree = bars.select("series", F.col("idx").alias("at"), "low", "high"), []
+    last = bars.agg(F.max("idx")).first()[0] or 0
+    while not tree or last:
+        grouped = nodes.groupBy("series", F.floor(F.col("at") / fan).alias("group")).agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("nodes"), F.min("low").alias("low"), F.max("high").alias("high"))
         tree.append(grouped.select("series", "group", "nodes"))
-        nodes = grouped.select("series", F.col("group").alias("at"), "value")
-    rows = levels.withColumn("place", F.col("after")).withColumn("at", F.lit(None).cast("long")).withColumn("depth", F.lit(HEIGHT))
-    above = lambda x: x["value"] > F.col("price")
+        nodes = grouped.select("series", F.col("group").alias("at"), "low", "high")
+        last //= fan
+    holds = lambda x: hit(x["low"], x["high"])
     first = lambda found: F.get(found, 0)["at"]
-    for k, level in enumerate(tree):
-        rows = rows.withColumn("group", F.floor(F.col("place") / FAN)).join(level, ["series", "group"], "left")
-        hit = F.when(F.col("at").isNull(), first(F.filter("nodes", lambda x: (x["at"] > F.col("place")) & above(x))))
-        rows = rows.withColumn("hit", hit).withColumn("depth", F.when(F.col("hit").isNotNull(), k).otherwise(F.col("depth")))
-        rows = rows.withColumn("at", F.coalesce("at", "hit")).withColumn("place", F.col("group")).drop("group", "nodes", "hit")
-    for k in range(HEIGHT - 1, 0, -1):
-        rows = rows.withColumn("group", F.when(F.col("depth") == k, F.col("at"))).join(tree[k - 1], ["series", "group"], "left")
-        rows = rows.withColumn("at", F.when(F.col("depth") == k, first(F.filter("nodes", above))).otherwise(F.col("at")))
-        rows = rows.withColumn("depth", F.when(F.col("depth") == k, k - 1).otherwise(F.col("depth"))).drop("group", "nodes")
-    return rows.drop("place", "depth", "after")
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("place", F.col("after")).withColumn("at", F.lit(None).cast("long")).withColumn("depth", F.lit(len(tree)))
+        for k, level in enumerate(tree):
+            rows = rows.withColumn("group", F.floor(F.col("place") / fan)).join(level, ["series", "group"], "left")
+            here = F.when(F.col("at").isNull(), first(F.filter("nodes", lambda x: (x["at"] > F.col("place")) & holds(x))))
+            rows = rows.withColumn("hit", here).withColumn("depth", F.when(F.col("hit").isNotNull(), k).otherwise(F.col("depth")))
+            rows = rows.withColumn("at", F.coalesce("at", "hit")).withColumn("place", F.col("group")).drop("group", "nodes", "hit")
+        rows = rows.withColumn("missed", F.lit(None).cast("long"))
+        for k in range(len(tree) - 1, 0, -1):
+            down = (F.col("depth") == k) & F.col("at").isNotNull()
+            rows = rows.withColumn("group", F.when(down, F.col("at"))).join(tree[k - 1], ["series", "group"], "left")
+            into = first(F.filter("nodes", holds))
+            rows = rows.withColumn("missed", F.when(down & into.isNull(), (F.col("group") + 1) * fan**k - 1).otherwise(F.col("missed")))
+            rows = rows.withColumn("at", F.when(down, into).otherwise(F.col("at")))
+            rows = rows.withColumn("depth", F.when(down, k - 1).otherwise(F.col("depth"))).drop("group", "nodes")
+        return rows.drop("place", "depth")
+
+    if exact:
+        return found(levels).drop("after", "missed")
+    done, open_ = None, levels
+    while True:
+        rows = settled(found(open_))
+        kept = rows.where("missed IS NULL").drop("after", "missed")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = rows.where("missed IS NOT NULL").withColumn("after", F.col("missed")).drop("at", "missed")
+        if open_.isEmpty():
+            return done
+
+
+def first_above(levels: DataFrame, bars: DataFrame, fan: int = FAN) -> DataFrame:
+    """levels(series, level_idx, price, after), bars(series, idx, value) -> levels with `at`: the first idx beyond `after` whose
+    value is above price, null without one."""
+    return first_hit(levels, bars.select("series", "idx", F.col("value").alias("low"), F.col("value").alias("high")), lambda low, high: high > F.col("price"), fan=fan)
 
 
-def liquidity_states(bars: DataFrame, k: int = 3, hold: int = 3) -> DataFrame:
-    """Each swing high as a buy-side and each swing low as a sell-side level: side, state, kind, resolved.
+def liquidity_states(bars: DataFrame, k: int = 3, hold: int = 3, fan: int = FAN) -> DataFrame:
+    """Each swing high as a buy-side and each swing low as a sell-side level: side, state, kind, resolved, resolved_idx.
 
     DETECTED until a high (low) after its confirmation passes it, however late. Then the closes of that bar and of
     the hold - 1 after it decide: ACCEPTANCE if all of them are beyond the level, RECLAIMED if one is back, SWEPT while there
     are too few to tell. kind: GRAB if the sweeping bar itself closes back, SWEEP if a later one does,
-    RUN if none does; resolved once it is known. Offsets of bars make the join on closes an equi-join.
+    RUN if none does; resolved once it is known, at the bar resolved_idx. Offsets of bars make the join on closes an equi-join.
     """
+    bars = settled(bars.select("series", "idx", "high", "low", "close"))  # read several times, so made once
     both = F.array(F.struct(F.lit("BUY").alias("side"), F.col("high").alias("value"), F.col("close").alias("end")), F.struct(F.lit("SELL").alias("side"), (-F.col("low")).alias("value"), (-F.col("close")).alias("end")))
     sided = bars.select("series", "idx", F.explode(both).alias("x")).select(F.concat_ws(" ", "x.side", "series").alias("series"), "idx", "x.value", "x.end")
     buy = F.col("type") == "HIGH"
     levels = swing_points(bars, k).select(F.concat_ws(" ", F.when(buy, "BUY").otherwise("SELL"), "series").alias("series"), F.col("idx").alias("level_idx"), F.when(buy, F.col("price")).otherwise(-F.col("price")).alias("price"), F.col("confirmed").alias("after"))
-    rows = first_above(levels, sided.select("series", "idx", "value")).withColumnRenamed("at", "swept_idx")
+    rows = settled(first_above(levels, sided.select("series", "idx", "value"), fan).withColumnRenamed("at", "swept_idx"))
     after = rows.where("swept_idx IS NOT NULL").select("series", "level_idx", "price", F.explode(F.sequence(F.col("swept_idx"), F.col("swept_idx") + hold - 1)).alias("idx"))
     held = F.col("end") > F.col("price")
-    closes = after.join(sided.select("series", "idx", "end"), ["series", "idx"]).groupBy("series", "level_idx").agg(F.min(held).alias("held"), F.min_by(held, "idx").alias("first"), F.count("*").alias("n"))
+    closes = after.join(sided.select("series", "idx", "end"), ["series", "idx"]).groupBy("series", "level_idx").agg(
+        F.min(held).alias("held"), F.min_by(held, "idx").alias("first"), F.count("*").alias("n"), F.min(F.when(~held, F.col("idx"))).alias("back"), F.max("idx").alias("last")
+    )
     rows = rows.join(closes, ["series", "level_idx"], "left")
     run = F.col("held") & (F.col("n") == hold)
     kind = F.when(~F.col("first"), "GRAB").when(~F.col("held"), "SWEEP").when(run, "RUN")
     state = F.when(F.col("swept_idx").isNull(), "DETECTED").when(run, "ACCEPTANCE").when(~F.col("held"), "RECLAIMED").otherwise("SWEPT")
     side = F.substring_index("series", " ", 1)
-    return rows.select(F.expr("substr(series, instr(series, ' ') + 1)").alias("series"), side.alias("side"), "level_idx", F.abs("price").alias("price"), "swept_idx", state.alias("state"), kind.alias("kind"), kind.isNotNull().alias("resolved"))
+    return rows.select(
+        F.expr("substr(series, instr(series, ' ') + 1)").alias("series"), side.alias("side"), "level_idx", F.abs("price").alias("price"), "swept_idx", state.alias("state"), kind.alias("kind"),
+        kind.isNotNull().alias("resolved"), F.when(run, F.col("last")).otherwise(F.col("back")).alias("resolved_idx"),
+    )
+
+
+#: Bars for which a resolved sweep counts as recent.
+RECENT = 20
+
+
+def with_last_sweep(events: DataFrame, levels: DataFrame) -> DataFrame:
+    """events(series, idx, ...), at most one a bar and type, levels of liquidity_states -> with the liquidity event that was resolved last, at or before
+    their bar (an as-of join by resolved_idx): sweep_side, sweep_kind, sweep_idx (the sweeping bar), sweep_resolved; nulls before the first.
+    Of events resolved at one bar the one of the latest level counts, BUY after SELL. Blocks of bars carry one event to the next."""
+    seen = levels.where("resolved").groupBy("series", F.col("resolved_idx").alias("idx")).agg(F.max(F.struct("level_idx", F.when(F.col("side") == "BUY", 1).otherwise(0).alias("n"), "side", "kind", "swept_idx", "resolved_idx")).alias("sweep"))
+    at = settled(events.select("series", "idx").distinct().join(seen, ["series", "idx"], "full"))
+    last = _filled(at, ["sweep"]).select("series", "idx", *(F.col(f"last_sweep.{c}").alias(n) for c, n in (("side", "sweep_side"), ("kind", "sweep_kind"), ("swept_idx", "sweep_idx"), ("resolved_idx", "sweep_resolved"))))
+    return events.join(last, ["series", "idx"], "left")
+
+
+def _recent_rejection(recent: int) -> Column:
+    return F.coalesce(F.col("sweep_kind").isin("SWEEP", "GRAB") & (F.col("idx") - F.col("sweep_resolved") <= recent), F.lit(False))
+
+
+def weighted_breaks(bars: DataFrame, k: int = 3, hold: int = 3, recent: int = RECENT) -> DataFrame:
+    """structure_breaks with sweep_idx, sweep_kind and weight: 1, and 1 more if the liquidity event resolved last is a SWEEP or GRAB
+    of the last `recent` bars, and 1 more still if it took the side that the break leaves (sell-side before a break upwards)."""
+    bars = settled(bars.select("series", "idx", "high", "low", "close", "prev_close"))
+    rows = with_last_sweep(structure_breaks(bars, k), liquidity_states(bars, k, hold))
+    near = _recent_rejection(recent)
+    leaves = F.col("sweep_side") == F.when(F.col("side") == 1, "SELL").otherwise("BUY")
+    weight = F.when(near & leaves, 3).when(near, 2).otherwise(1)
+    return rows.select("series", "idx", "type", "side", "price", "sweep_idx", "sweep_kind", weight.cast("double").alias("weight"))
+
+
+def equal_swings(bars: DataFrame, k: int = 3, within: int = 500) -> DataFrame:
+    """bars(..., atr) -> pairs of swings of a type, `within` bars of each other, whose prices differ by at most the tolerance at the later one: series, type
+    (EQH, EQL), idx, earlier_idx, price, earlier_price.
+
+    A band join: swings meet by stretches of `within` bars, an earlier one in its own and the next, and by bins of price as wide as the
+    greatest tolerance of the stretch, an earlier one in its own and both beside it.
+    """
+    bars = settled(bars.select("series", "idx", "high", "low", "atr"))
+    cell = F.floor(F.col("idx") / within)
+    swings = settled(swing_points(bars, k).join(bars.select("series", "idx", eq_tolerance(F.col("atr")).alias("tolerance")), ["series", "idx"]).where("tolerance IS NOT NULL").withColumn("cell", cell))
+    least = 1e-9  # a stretch without any tolerance still has bins
+    width = swings.groupBy("series", "type", "cell").agg(F.greatest(F.max("tolerance"), F.lit(least)).alias("width"))
+    binned = lambda c: F.floor(F.col(c) / F.col("width"))
+    later = swings.join(width, ["series", "type", "cell"]).select("series", "type", "cell", "idx", "price", "tolerance", binned("price").alias("bin"))
+    copies = swings.select("series", "type", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("idx").alias("earlier_idx"), F.col("price").alias("earlier_price"))
+    earlier = copies.join(width, ["series", "type", "cell"]).withColumn("bin", binned("earlier_price")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    met = later.join(earlier, ["series", "type", "cell", "bin"]).where((F.col("earlier_idx") < F.col("idx")) & (F.col("idx") - F.col("earlier_idx") <= within))
+    close = F.abs(F.col("price") - F.col("earlier_price")) <= F.col("tolerance")
+    return met.where(close).select("series", F.when(F.col("type") == "HIGH", "EQH").otherwise("EQL").alias("type"), "idx", "earlier_idx", "price", "earlier_price")
+
+
+def equal_levels(pairs: DataFrame) -> DataFrame:
+    """Pairs of equal_swings -> levels: each swing follows the latest earlier one that it equals, and the swings that follow one first swing, through others, are
+    a level: series, type, level_idx (the first), n, low, high, last_idx. Followed by doubling, so in few rounds however long a level."""
+    latest = pairs.groupBy("series", "type", "idx").agg(F.max(F.struct("earlier_idx", "earlier_price")).alias("e"), F.max("price").alias("price"))
+    up = settled(latest.select("series", "type", "idx", "price", F.col("e.earlier_idx").alias("to"), F.col("e.earlier_price").alias("to_price")))
+    roots = up.select("series", "type", F.col("to").alias("idx"), F.col("to_price").alias("price")).distinct().join(up, ["series", "type", "idx"], "left_anti")
+    follow = settled(up.select("series", "type", "idx", "price", "to").unionByName(roots.withColumn("to", F.col("idx"))))
+    while True:
+        step = follow.select("series", "type", F.col("idx").alias("to"), F.col("to").alias("further"))
+        moved = settled(follow.join(step, ["series", "type", "to"]).select("series", "type", "idx", "price", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+        follow = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    return follow.groupBy("series", "type", F.col("to").alias("level_idx")).agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), F.max("idx").alias("last_idx"))
 
 
 def _folding(fold, columns: str):
@@ -286,6 +398,31 @@ def zones(bars: DataFrame, decay: float = 0.05) -> DataFrame:
     return fair_value_gaps(bars).join(n, "series").select("series", "idx", kind.alias("zone"), "bottom", "top", F.greatest(F.lit(0.0), 1 - decay * (F.col("last") - F.col("idx"))).alias("alpha"))
 
 
+def mitigated_zones(bars: DataFrame, k: int = 3, hold: int = 3, recent: int = RECENT, fan: int = FAN) -> DataFrame:
+    """zones with what later bars do to them: mitigated_idx, the first later bar whose range meets the zone; filled_idx, the first one that goes through to its far
+    edge; bottom_left and top_left, what the bars up to the last leave of it (null once it is filled); and reaction, whether a SWEEP or GRAB
+    was the liquidity event resolved last, at most `recent` bars before the zone's bar."""
+    bars = settled(bars.select("series", "idx", "high", "low", "close"))
+    demand = F.col("zone") == "DEMAND"
+    found = settled(zones(bars).withColumn("after", F.col("idx")))
+    met = first_hit(found, bars, lambda low, high: (low <= F.col("top")) & (high >= F.col("bottom")), False, fan).withColumnRenamed("at", "mitigated_idx")
+    passed = lambda low, high: F.when(F.col("zone") == "DEMAND", low <= F.col("bottom")).otherwise(high >= F.col("top"))
+    rows = settled(first_hit(met.withColumn("after", F.col("idx")), bars, passed, fan=fan).withColumnRenamed("at", "filled_idx"))
+    # the extremes of all bars after the zone's: those of its block's rest and of the blocks behind
+    kept = bars.withColumn("block", _block(F.col("idx")))
+    rest = _inside().rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy("series").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = kept.groupBy("series", "block").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).select("series", "block", F.min("lo").over(behind).alias("lo"), F.max("hi").over(behind).alias("hi"))
+    here = kept.select("series", "idx", "block", F.min("low").over(rest).alias("lo_here"), F.max("high").over(rest).alias("hi_here")).join(blocks, ["series", "block"])
+    reach = here.select("series", "idx", F.least("lo", "lo_here").alias("lo"), F.greatest("hi", "hi_here").alias("hi"))
+    rows = rows.join(reach, ["series", "idx"])
+    open_ = F.col("filled_idx").isNull()
+    bottom = F.when(open_, F.when(demand, F.col("bottom")).otherwise(F.greatest("bottom", "hi")))
+    top = F.when(open_, F.when(demand, F.least("top", "lo")).otherwise(F.col("top")))
+    swept = with_last_sweep(rows, liquidity_states(bars, k, hold, fan))
+    return swept.select("series", "idx", "zone", "bottom", "top", "alpha", "mitigated_idx", "filled_idx", bottom.alias("bottom_left"), top.alias("top_left"), _recent_rejection(recent).alias("reaction"))
+
+
 def signals(bars: DataFrame, k: int = 3) -> DataFrame:
     """Breaks of structure on a bar that also leaves a gap in the same direction: BUY or SELL."""
     gaps = fair_value_gaps(bars).select("series", "idx", F.when(F.col("type") == "BULLISH", 1).otherwise(-1).alias("gap"))

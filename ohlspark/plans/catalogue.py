@@ -672,17 +672,49 @@ def poc_value_area(spark, d):
     return X.value_area(X.volume_profile(with_day(bars_1m(spark, d)))).drop("series").withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"""WITH {BASE}, {_SWING}, xs AS (SELECT 'BUY' AS side, idx, high AS v, close AS e FROM x UNION ALL SELECT 'SELL', idx, -low, -close FROM x),
+_LIQUIDITY = """xs AS (SELECT 'BUY' AS side, idx, high AS v, close AS e FROM x UNION ALL SELECT 'SELL', idx, -low, -close FROM x),
 hl AS (SELECT CASE type WHEN 'HIGH' THEN 'BUY' ELSE 'SELL' END AS side, idx AS level_idx, CASE type WHEN 'HIGH' THEN price ELSE -price END AS p, confirmed FROM sw),
 s1 AS (SELECT hl.side, level_idx, min(xs.idx) AS swept_idx FROM hl JOIN xs ON xs.side = hl.side AND xs.idx > confirmed AND xs.v > p GROUP BY 1, 2),
-s2 AS (SELECT hl.side, hl.level_idx, min((e > p)::INT) AS held, arg_min((e > p)::INT, xs.idx) AS one, count(*) AS k FROM s1 JOIN hl ON hl.side = s1.side AND hl.level_idx = s1.level_idx JOIN xs ON xs.side = hl.side AND xs.idx BETWEEN swept_idx AND swept_idx + 2 GROUP BY 1, 2),
-s3 AS (SELECT hl.*, swept_idx, held = 1 AS held, one, k FROM hl LEFT JOIN s1 ON s1.side = hl.side AND s1.level_idx = hl.level_idx LEFT JOIN s2 ON s2.side = hl.side AND s2.level_idx = hl.level_idx),
-s4 AS (SELECT *, CASE WHEN one = 0 THEN 'GRAB' WHEN NOT held THEN 'SWEEP' WHEN k = 3 THEN 'RUN' END AS kind FROM s3)
-SELECT side, level_idx, abs(p) AS price, swept_idx, CASE WHEN swept_idx IS NULL THEN 'DETECTED' WHEN kind = 'RUN' THEN 'ACCEPTANCE' WHEN NOT held THEN 'RECLAIMED' ELSE 'SWEPT' END AS state, kind, kind IS NOT NULL AS resolved FROM s4""")
+s2 AS (SELECT hl.side, hl.level_idx, min((e > p)::INT) AS held, arg_min((e > p)::INT, xs.idx) AS one, count(*) AS k, min(CASE WHEN NOT e > p THEN xs.idx END) AS back, max(xs.idx) AS last FROM s1 JOIN hl ON hl.side = s1.side AND hl.level_idx = s1.level_idx JOIN xs ON xs.side = hl.side AND xs.idx BETWEEN swept_idx AND swept_idx + 2 GROUP BY 1, 2),
+s3 AS (SELECT hl.*, swept_idx, held = 1 AS held, one, k, back, last FROM hl LEFT JOIN s1 ON s1.side = hl.side AND s1.level_idx = hl.level_idx LEFT JOIN s2 ON s2.side = hl.side AND s2.level_idx = hl.level_idx),
+s4 AS (SELECT *, CASE WHEN one = 0 THEN 'GRAB' WHEN NOT held THEN 'SWEEP' WHEN k = 3 THEN 'RUN' END AS kind FROM s3),
+lq AS (SELECT side, level_idx, abs(p) AS price, swept_idx, CASE WHEN swept_idx IS NULL THEN 'DETECTED' WHEN kind = 'RUN' THEN 'ACCEPTANCE' WHEN NOT held THEN 'RECLAIMED' ELSE 'SWEPT' END AS state, kind, kind IS NOT NULL AS resolved, CASE WHEN kind = 'RUN' THEN last ELSE back END AS resolved_idx FROM s4),
+ev AS (SELECT resolved_idx, arg_max({'side': side, 'kind': kind, 'swept': swept_idx}, (level_idx, side = 'BUY')) AS e FROM lq WHERE resolved GROUP BY 1)"""
+
+
+@query(f"WITH {BASE}, {_SWING}, {_LIQUIDITY} SELECT * FROM lq")
 def liquidity_states(spark, d):
     return X.liquidity_states(bars_1m(spark, d)).drop("series")
 
 
+_NEAR = "coalesce(e.kind IN ('SWEEP', 'GRAB') AND {}.idx - resolved_idx <= 20, false)"
+
+
+@query(f"""WITH {BASE}, {_SWING}, {_BREAK}, {_LIQUIDITY} SELECT br.idx, type, side, price, e.swept AS sweep_idx, e.kind AS sweep_kind,
+CASE WHEN {_NEAR.format('br')} AND e.side = CASE side WHEN 1 THEN 'SELL' ELSE 'BUY' END THEN 3 WHEN {_NEAR.format('br')} THEN 2 ELSE 1 END::DOUBLE AS weight FROM br ASOF LEFT JOIN ev ON br.idx >= resolved_idx""")
+def weighted_breaks(spark, d):
+    """Breaks of structure, weighed by the liquidity event that was resolved last."""
+    return X.weighted_breaks(bars_1m(spark, d)).drop("series")
+
+
+_EQUAL = "pr AS (SELECT CASE s.type WHEN 'HIGH' THEN 'EQH' ELSE 'EQL' END AS type, s.idx, e.idx AS earlier_idx, s.price, e.price AS earlier_price FROM sw s JOIN sw e ON s.type = e.type AND e.idx < s.idx AND s.idx - e.idx <= 500 JOIN a ON a.idx = s.idx WHERE abs(s.price - e.price) <= 0.10::DOUBLE * atr)"
+
+
+@query(f"{WITH_ATR}, {_SWING}, {_EQUAL} SELECT * FROM pr")
+def equal_swings(spark, d):
+    """Pairs of swing highs or lows within a tenth of the ATR of each other."""
+    return X.equal_swings(wilder_atr(bars_1m(spark, d))).drop("series")
+
+
+@query(f"""{WITH_ATR}, {_SWING}, {_EQUAL}, up AS (SELECT type, idx, max(earlier_idx) AS before, arg_max(earlier_price, earlier_idx) AS before_price, max(price) AS price FROM pr GROUP BY 1, 2),
+rt AS (SELECT DISTINCT u.type, u.before AS idx, u.before_price AS price FROM up u ANTI JOIN up ON up.type = u.type AND up.idx = u.before),
+fl AS (SELECT type, idx, price, idx AS level_idx FROM rt UNION ALL SELECT up.type, up.idx, up.price, fl.level_idx FROM fl JOIN up ON up.type = fl.type AND up.before = fl.idx)
+SELECT type, level_idx, count(*) AS n, min(price) AS low, max(price) AS high, max(idx) AS last_idx FROM fl GROUP BY 1, 2""")
+def equal_levels(spark, d):
+    """Equal highs and lows as levels, each with the swings that follow its first one."""
+    return X.equal_levels(X.equal_swings(wilder_atr(bars_1m(spark, d)))).drop("series")
+
+
 @query(f"WITH {BASE}, {_SWING}, {_BREAK} SELECT arg_min(idx, idx) AS idx, 'SESSION' AS type, arg_min(open, idx) AS price FROM x GROUP BY time::DATE UNION ALL SELECT idx, type, price FROM br")
 def anchor_events(spark, d):
     return X.anchor_events(bars_1m(spark, d)).drop("series")
@@ -693,6 +725,15 @@ def zones(spark, d):
     return rounded(X.zones(bars_1m(spark, d)).drop("series"))
 
 
+@query(f"""WITH {BASE}, {COUNT}, {_SWING}, {_GAP}, {_LIQUIDITY}, z AS (SELECT idx, CASE type WHEN 'BULLISH' THEN 'DEMAND' ELSE 'SUPPLY' END AS zone, bottom, top, greatest(0.0, 1 - 0.05::DOUBLE * (n - 1 - idx)) AS alpha FROM fv, n),
+mt AS (SELECT z.idx, min(x.idx) FILTER (x.low <= top AND x.high >= bottom) AS mitigated_idx, min(x.idx) FILTER (CASE zone WHEN 'DEMAND' THEN x.low <= bottom ELSE x.high >= top END) AS filled_idx, min(x.low) AS lo, max(x.high) AS hi FROM z LEFT JOIN x ON x.idx > z.idx GROUP BY z.idx)
+SELECT z.idx, zone, bottom, top, round(alpha, 6) AS alpha, mitigated_idx, filled_idx, CASE WHEN filled_idx IS NULL THEN CASE zone WHEN 'DEMAND' THEN bottom ELSE greatest(bottom, coalesce(hi, bottom)) END END AS bottom_left,
+CASE WHEN filled_idx IS NULL THEN CASE zone WHEN 'DEMAND' THEN least(top, coalesce(lo, top)) ELSE top END END AS top_left, {_NEAR.format('z')} AS reaction FROM z JOIN mt ON mt.idx = z.idx ASOF LEFT JOIN ev ON z.idx >= resolved_idx""")
+def mitigated_zones(spark, d):
+    """Zones with the bars that meet and fill them, what is left of them, and whether liquidity was rejected just before."""
+    return rounded(X.mitigated_zones(bars_1m(spark, d)).drop("series"))
+
+
 @query(f"WITH {BASE}, {_SWING}, {_GAP}, {_BREAK} SELECT br.idx, CASE side WHEN 1 THEN 'BUY' ELSE 'SELL' END AS signal, br.type AS reason FROM br JOIN fv ON fv.idx = br.idx AND (fv.type = 'BULLISH') = (side = 1)")
 def signals(spark, d):
     return X.signals(bars_1m(spark, d)).drop("series")
