@@ -3,18 +3,17 @@
 These follow public definitions; their parameters are ours and stand in the signatures. Bars are as `indexed` makes
 them: idx without gaps, and prev_close. Windows over neighbours, last values and running sums are taken in blocks of bars, and
 a block is given what it needs of others, so no task orders a whole series. Recursive
-ones (SuperTrend, HalfTrend, range filter) go on through the whole series: blocks of bars are folded apart, each from what the
-block before it left, and again where that has changed, until nothing changes.
+ones (SuperTrend, HalfTrend, range filter) are folds over the whole series, in blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ohlspark.functions.scalars import eq_tolerance
+from ohlspark.operators.folds import WARM, HalfTrend, RangeFilter, SuperTrend, in_blocks
 from ohlspark.schema import ANCHOR_TYPES
 from ohlspark.sources.bars import settled
 
@@ -138,6 +137,59 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     return inside.groupBy("series", "day").agg(F.max(F.when(F.col("nth") == 1, F.col("bin"))).alias("poc"), F.min("bin").alias("val"), F.max("bin").alias("vah"), F.max("total").alias("volume"))
 
 
+PROFILES = ("SESSION", "STRUCTURE", "HISTORICAL")
+
+
+def segments(bars: DataFrame, mode: str, events: DataFrame | None = None) -> DataFrame:
+    """bars with a number `segment`: the day since 1970 (SESSION), how many bars with an event, a break of structure where no events are given, there are up to the
+    bar (STRUCTURE), or 0 (HISTORICAL). Events are counted by blocks of bars."""
+    if mode not in PROFILES:
+        raise ValueError(f"mode: one of {', '.join(PROFILES)}")
+    if mode == "SESSION":
+        return bars.withColumn("segment", F.datediff(F.to_date("time"), F.lit("1970-01-01").cast("date")).cast("long"))
+    if mode == "HISTORICAL":
+        return bars.withColumn("segment", F.lit(0).cast("long"))
+    marks = (structure_breaks(bars) if events is None else events).select("series", "idx").distinct().withColumn("mark", F.lit(1))
+    rows = settled(bars.join(marks, ["series", "idx"], "left").withColumn("block", _block(F.col("idx"))))
+    counts = rows.groupBy("series", "block").agg(F.count("mark").alias("n"))
+    earlier = Window.partitionBy("series").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    passed = counts.select("series", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("passed"))
+    here = F.count("mark").over(_inside().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("here", here).join(passed, ["series", "block"]).select(*bars.columns, (F.col("passed") + F.col("here")).alias("segment"))
+
+
+def spread_profile(segmented: DataFrame, width: float = 10.0) -> DataFrame:
+    """bars(series, segment, high, low, volume) -> series, segment, bin, volume: each bar's volume spread over the bins of price that its range covers, in
+    proportion to how much of the range lies in each; all of it in one bin where the range is a point. Rounded to nine digits, as sums differ in their last bits by order."""
+    low, high, span = F.col("low"), F.col("high"), F.col("high") - F.col("low")
+    rows = segmented.select("series", "segment", "low", "high", "volume", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("bin"))
+    covered = F.least(high, (F.col("bin") + 1) * width) - F.greatest(low, F.col("bin") * width)
+    part = F.when(span > 0, covered / span).otherwise(1.0) * F.col("volume")
+    return rows.withColumn("part", part).where("part > 0").groupBy("series", "segment", "bin").agg(F.round(F.sum("part"), 9).alias("volume"))
+
+
+def grown_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
+    """By series and segment: poc, the bin of most volume (the lowest of equals), and val and vah, the ends of the area around it that takes in the greater of
+    the two bins beside it (the upper of equals) until it holds `share` of the volume; inside, what it holds; volume, the sum. A task holds the bins of a
+    segment, which price and width bound, not the number of bars."""
+
+    def grow(bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values("bin")
+        at, v = bins["bin"].to_numpy(), bins["volume"].to_numpy()
+        lo = hi = int(v.argmax())
+        total, inside = float(v.sum()), float(v[lo])
+        while round(inside, 6) < round(share * total, 6) and (lo > 0 or hi < len(v) - 1):
+            above, below = v[hi + 1] if hi < len(v) - 1 else -1.0, v[lo - 1] if lo > 0 else -1.0
+            if above >= below:
+                hi += 1
+            else:
+                lo -= 1
+            inside += float(max(above, below))
+        return pd.DataFrame({"series": bins["series"].iloc[:1], "segment": bins["segment"].iloc[:1], "poc": at[v.argmax()], "val": at[lo], "vah": at[hi], "inside": inside, "volume": total})
+
+    return profile.groupBy("series", "segment").applyInPandas(grow, "series string, segment long, poc long, val long, vah long, inside double, volume double")
+
+
 #: Children of a node in the tree of extremes.
 FAN = 256
 
@@ -291,90 +343,16 @@ def equal_levels(pairs: DataFrame) -> DataFrame:
     return follow.groupBy("series", "type", F.col("to").alias("level_idx")).agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), F.max("idx").alias("last_idx"))
 
 
-def _folding(fold, columns: str):
-    """A fold over a series' bars in order of idx: fold(high, low, close, atr, state) -> (columns, state after the last bar), where a
-    state is a list of numbers, or None at the start."""
-
-    def apply(bars: DataFrame, block: int = BLOCK, **params) -> DataFrame:
-        spark = bars.sparkSession
-        # read in every round, so made once
-        rows = settled(bars.select("series", F.floor(F.col("idx") / block).alias("block"), "idx", "high", "low", "close", "atr"))
-        kinds = "series string, block long, state array<double>"
-
-        def folded(group: pd.DataFrame) -> tuple[pd.DataFrame, dict, list]:
-            group = group.sort_values("idx")
-            state = group["state"].iat[0]
-            made, left = fold(*(group[c].to_numpy(float) for c in ("high", "low", "close", "atr")), None if state is None else list(state), **params)
-            return group, made, [float(v) for v in left]
-
-        def ends(group: pd.DataFrame) -> pd.DataFrame:
-            group, _, left = folded(group)
-            return pd.DataFrame({"series": [group["series"].iat[0]], "block": [group["block"].iat[0] + 1], "state": [left]})
-
-        def values(group: pd.DataFrame) -> pd.DataFrame:
-            group, made, _ = folded(group)
-            return pd.DataFrame({"series": group["series"], "idx": group["idx"], **made})
-
-        carried = spark.createDataFrame([], kinds)
-        while True:  # after k rounds the first k blocks are right, and a block forgets most starts
-            given = rows.join(carried, ["series", "block"], "left")
-            left = settled(given.groupBy("series", "block").applyInPandas(ends, kinds))
-            changed = left.join(carried.withColumnRenamed("state", "old"), ["series", "block"], "left").where(~F.col("state").eqNullSafe(F.col("old")))
-            if changed.isEmpty():
-                return given.groupBy("series", "block").applyInPandas(values, f"series string, idx long, {columns}")
-            carried = left
-
-    return apply
-
-
-def _supertrend(high, low, close, atr, state, factor: float = 3.0) -> tuple[dict, list]:
-    trend, line = np.zeros(len(close), np.int64), np.zeros(len(close))
-    mid = (high + low) / 2
-    up, down, side, last = state or (np.inf, -np.inf, 1, np.nan)
-    for i in range(len(close)):
-        u, d = mid[i] + factor * atr[i], mid[i] - factor * atr[i]
-        up = u if u < up or last > up else up
-        down = d if d > down or last < down else down
-        side = 1 if side < 0 and close[i] > up else -1 if side > 0 and close[i] < down else side
-        trend[i], line[i], last = side, down if side > 0 else up, close[i]
-    return {"trend": trend, "line": line}, [up, down, side, last]
-
-
-def _range_filter(high, low, close, atr, state, factor: float = 1.5) -> tuple[dict, list]:
-    line, value = np.zeros(len(close)), state[0] if state else close[0]
-    for i in range(len(close)):
-        r = factor * atr[i]
-        value = max(value, close[i] - r) if close[i] > value else min(value, close[i] + r)
-        line[i] = value
-    return {"line": line}, [value]
-
-
-def _halftrend(high, low, close, atr, state, deviation: float = 2.0) -> tuple[dict, list]:
-    """Over two bars: the trend turns down when the mean of the highs falls below the greatest low of the trend and the bar closes
-    below the low before it; up likewise. The line rises with the lows of an up-trend, falls with the highs of a
-    down-trend, and goes on from where it is at a turn; the channel is deviation / 2 ATR on either side."""
-    trend, line = np.zeros(len(close), np.int64), np.zeros(len(close))
-    side, top, bottom, value, h0, l0 = state or (1, low[0], high[0], low[0], high[0], low[0])
-    for i in range(len(close)):
-        hi, lo, before = max(high[i], h0), min(low[i], l0), side
-        if side > 0:
-            top = max(top, lo)
-            if (high[i] + h0) / 2 < top and close[i] < l0:
-                side, bottom = -1, hi
-        else:
-            bottom = min(bottom, hi)
-            if (low[i] + l0) / 2 > bottom and close[i] > h0:
-                side, top = 1, lo
-        if side == before:
-            value = max(value, top) if side > 0 else min(value, bottom)
-        trend[i], line[i], h0, l0 = side, value, high[i], low[i]
-    half = deviation / 2 * atr
-    return {"trend": trend, "line": line, "upper": line + half, "lower": line - half}, [side, top, bottom, value, h0, l0]
-
-
-supertrend = _folding(_supertrend, "trend long, line double")
-range_filter = _folding(_range_filter, "line double")
-halftrend = _folding(_halftrend, "trend long, line double, upper double, lower double")
+def supertrend(bars: DataFrame, factor: float = 3.0, block: int = BLOCK, warm: int = WARM) -> DataFrame:
+    return in_blocks(SuperTrend(factor), bars, block, warm)
+
+
+def range_filter(bars: DataFrame, factor: float = 1.5, block: int = BLOCK, warm: int = WARM) -> DataFrame:
+    return in_blocks(RangeFilter(factor), bars, block, warm)
+
+
+def halftrend(bars: DataFrame, deviation: float = 2.0, block: int = BLOCK, warm: int = WARM) -> DataFrame:
+    return in_blocks(HalfTrend(deviation), bars, block, warm)
 
 
 def anchor_events(bars: DataFrame, k: int = 3) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Marks of a chart as tables; windows of a view are small, and so are these."""
+"""Marks of a chart as tables; windows of a view are small, and so are these. A view's bounds and ranges are rows that are joined in, not numbers that the
+driver asks for."""
 
 from __future__ import annotations
 
@@ -6,7 +7,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohlspark.functions.scalars import clock_label, crosshair_label, date_prefix, direction, format_fixed, grid_label, nice_step, tick_quantise
-from ohlspark.functions.scale import Scale
+from ohlspark.functions.scale import Scale, atr_scale, price_scale
+from ohlspark.operators.ranges import atr_range, price_range
+from ohlspark.sources.bars import settled
+
+
+def view_bounds(bars: DataFrame, visible: float, offset: float) -> DataFrame:
+    """One row: first_idx and end_idx, the first and last position of a view on all of the bars; the last may lie past their end."""
+    n = F.col("n").cast("double")
+    end = n - 1 - offset
+    start = F.greatest(F.lit(0.0), end - visible + 1)
+    end = F.greatest(F.lit(0.0), end)
+    some = n > 0
+    return bars.agg(F.count("*").alias("n")).select(F.when(some, F.least(start, end)).otherwise(0.0).alias("first_idx"), F.when(some, end).otherwise(0.0).alias("end_idx"))
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a table of one row beside every row."""
+    return df.crossJoin(F.broadcast(row))
+
+
+def viewed(bars: DataFrame, visible: float, offset: float = 0) -> DataFrame:
+    """The bars of a view, with its bounds; fractions of the bounds are cut off."""
+    return _within(with_row(bars, view_bounds(bars, visible, offset)))
+
+
+def _within(bounded: DataFrame) -> DataFrame:
+    return bounded.where(F.col("idx").between(F.col("first_idx").cast("long"), F.col("end_idx").cast("long")))
 
 
 def candle_marks(window: DataFrame, scale: Scale) -> DataFrame:
@@ -33,9 +60,9 @@ def last_price_mark(window: DataFrame, scale: Scale) -> DataFrame:
     return last.select("idx", scale.y(F.col("close")).alias("y"), format_fixed(F.col("close"), 2).alias("label"), direction(F.col("open"), F.col("close")).alias("direction"))
 
 
-def last_atr_mark(values: DataFrame, scale: Scale, end: float) -> DataFrame:
+def last_atr_mark(values: DataFrame, scale: Scale, end: float | Column) -> DataFrame:
     """At the view's end, which may lie past the last bar: then there is none."""
-    at = values.where((F.col("idx") == int(end)) & F.col("atr").isNotNull())
+    at = values.where((F.col("idx") == (end.cast("long") if isinstance(end, Column) else int(end))) & F.col("atr").isNotNull())
     return at.select("idx", scale.y(F.col("atr")).alias("y"), format_fixed(F.col("atr"), 4).alias("label"))
 
 
@@ -63,7 +90,7 @@ def label_step(visible: float) -> int:
     return 50 if visible > 500 else 10 if visible > 100 else 5 if visible > 30 else 1
 
 
-def axis_labels(window: DataFrame, start: float, visible: float, time: str = "time_text") -> DataFrame:
+def axis_labels(window: DataFrame, start: float | Column, visible: float, time: str = "time_text") -> DataFrame:
     """Days where they change, and every step-th bar that has no change of day close by: rel_index, timestamp, is_day_change, label."""
     step = label_step(visible)
     near = max(1, step // 4)
@@ -74,12 +101,17 @@ def axis_labels(window: DataFrame, start: float, visible: float, time: str = "ti
 
 
 def crosshair(bars: DataFrame, cursors: DataFrame, scale: Scale, time: str = "time_text") -> DataFrame:
-    """cursors(cursor_id, x, y), a few -> the position that each picks, its time label, null where no bar
+    """cursors(cursor_id, x, y, and the columns of the scale) -> the position that each picks, its time label, null where no bar
     stands there, and the price under the cursor."""
     picks = cursors.select("cursor_id", scale.index(F.col("x")).cast("long").alias("idx"), tick_quantise(scale.value(F.col("y"))).alias("price"))
-    found = bars.select("idx", F.col(time).alias("text")).join(F.broadcast(picks.select("idx").distinct()), "idx", "left_semi")
+    found = bars.select("idx", F.col(time).alias("text"))
     label = F.when(F.col("text").isNotNull(), crosshair_label(F.col("text")))
-    return picks.join(F.broadcast(found), "idx", "left").select("cursor_id", "idx", label.alias("time_label"), format_fixed(F.col("price"), 2).alias("price_label"))
+    return picks.join(found, "idx", "left").select("cursor_id", "idx", label.alias("time_label"), format_fixed(F.col("price"), 2).alias("price_label"))
+
+
+def active_panel(y: Column, price_height: float = 400, atr_height: float = 160) -> Column:
+    """The panel under a cursor, where the ATR panel lies below the price panel; null outside."""
+    return F.when((y >= 0) & (y < price_height), "price").when((y >= price_height) & (y < price_height + atr_height), "atr")
 
 
 def atr_crosshair(cursors: DataFrame, scale: Scale) -> DataFrame:
@@ -89,13 +121,15 @@ def atr_crosshair(cursors: DataFrame, scale: Scale) -> DataFrame:
 
 def hover_hits(bars: DataFrame, cursors: DataFrame, scale: Scale, slack: float = 5) -> DataFrame:
     """Cursors that lie on the bar they pick, from high to low and `slack` pixels more."""
-    picks = cursors.select("cursor_id", "y", scale.index(F.col("x")).cast("long").alias("idx"))
+    picks = cursors.withColumn("idx", scale.index(F.col("x")).cast("long"))
     a, b = scale.y(F.col("high")), scale.y(F.col("low"))
-    return bars.join(F.broadcast(picks), "idx").where(F.col("y").between(F.least(a, b) - slack, F.greatest(a, b) + slack)).select("cursor_id", "idx")
+    return bars.select("idx", "high", "low").join(picks, "idx").where(F.col("y").between(F.least(a, b) - slack, F.greatest(a, b) + slack)).select("cursor_id", "idx")
 
 
 # Fixed colours of marks.
 UP, DOWN, ATR_LINE, GRID, GRID_TEXT, TIME_TEXT, DAY_TEXT = "#26a69a", "#ef5350", "#75bbfd", "#1f2933", "#787b86", "#4b4b4c", "#000000"
+#: Our colours of marks that have no fixed one.
+CROSS, DEMAND, SUPPLY, BUY_SIDE, SELL_SIDE, VWAP_LINE, PROFILE = "#9598a1", "#1b5e20", "#7f0000", "#2962ff", "#ff6d00", "#aa00ff", "#455a64"
 #: Where the texts of the value axis and of the time axis are centred.
 AXIS_X, AXIS_Y = 37.0, 12.0
 MARK = ["panel", "kind", "x1", "y1", "x2", "y2", "color", "text"]
@@ -110,29 +144,65 @@ def marks_of(rows: DataFrame, panel: str, kind: str, x1: Column, y1: Column, x2:
 
 def panel_grid(ends: DataFrame, scale: Scale, panel: str) -> DataFrame:
     """Grid lines across the plot and their labels on the value axis."""
-    lines = grid(ends, scale.height)
+    lines = with_row(grid(ends, scale.height), ends)
     y = scale.y(F.col("value"))
     line = marks_of(lines, panel, "grid", F.lit(0), y, F.lit(scale.width), y, F.lit(GRID))
     return line.unionByName(marks_of(lines, panel, "grid_label", F.lit(AXIS_X), y, None, None, F.lit(GRID_TEXT), F.col("label")))
 
 
-def time_axis(labels: DataFrame, start: float, scale: Scale) -> DataFrame:
-    """axis_labels -> their texts, centred on their bars."""
+def time_axis(labels: DataFrame, start: float | Column, scale: Scale) -> DataFrame:
+    """axis_labels (with the columns of start and scale) -> their texts, centred on their bars."""
     x = scale.x_centre(F.col("rel_index") + start)
     return marks_of(labels, "time", "time_label", x, F.lit(AXIS_Y), None, None, F.when(F.col("is_day_change"), DAY_TEXT).otherwise(TIME_TEXT), F.col("label"))
 
 
-def frame(window: DataFrame, prices: Scale, price_ends: DataFrame, values: DataFrame, atrs: Scale, atr_ends: DataFrame, labels: DataFrame, start: float) -> DataFrame:
-    """All marks of a view as one table (MARK): grids, wicks and bodies, the ATR line and the time axis. An empty window gives no rows."""
-    candles = candle_marks(window, prices)
-    color = F.when(F.col("direction") == "up", UP).otherwise(DOWN)
-    parts = [
-        panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atrs, "atr"),
-        marks_of(candles, "price", "wick", F.col("x"), F.col("y_high"), F.col("x"), F.col("y_low"), color), marks_of(candles, "price", "body", F.col("x1"), F.col("y_top"), F.col("x2"), F.col("y_bottom"), color),
-        marks_of(polyline(values, atrs, "atr"), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, start, prices),
-    ]
+def unioned(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    return out
+
+
+def frame(bars: DataFrame, visible: float = 100, offset: float = 0, cursors: DataFrame | None = None) -> DataFrame:
+    """bars(series, idx, time_text, ..., atr) -> all marks of a view as one table (MARK): grids, wicks and bodies, the ATR line, the last price and the last ATR, the
+    time axis, and for cursors(cursor_id, x, y) the crosshair of each in its panel. An empty window gives no rows. The bars are worked out once: those of the
+    view and one beside it on either side, which all marks are made of, are a small table of their own."""
+    near = F.col("idx").between(F.col("first_idx").cast("long") - 1, F.col("end_idx").cast("long") + 2)
+    around = settled(with_row(bars, view_bounds(bars, visible, offset)).where(near))
+    window = _within(around)
+    bounds = window.select("first_idx", "end_idx").limit(1)
+    price_ends, atr_ends = price_range(window), atr_range(window)
+    prices, atrs = price_scale(F.col("end_idx"), visible, F.col("y_min"), F.col("y_max")), atr_scale(F.col("end_idx"), visible, F.col("y_min"), F.col("y_max"))
+    priced, valued = with_row(window, price_ends), with_row(window, atr_ends)
+    candles = candle_marks(priced, prices)
+    color = lambda: F.when(F.col("direction") == "up", UP).otherwise(DOWN)
+    labels = with_row(axis_labels(window, F.col("first_idx"), visible), bounds)
+    last, last_atr = last_price_mark(priced, prices), last_atr_mark(valued, atrs, F.col("end_idx"))
+    parts = [
+        panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atrs, "atr"),
+        marks_of(candles, "price", "wick", F.col("x"), F.col("y_high"), F.col("x"), F.col("y_low"), color()), marks_of(candles, "price", "body", F.col("x1"), F.col("y_top"), F.col("x2"), F.col("y_bottom"), color()),
+        marks_of(polyline(valued, atrs, "atr"), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, F.col("first_idx"), prices),
+        marks_of(last, "price", "last", F.lit(0), F.col("y"), F.lit(prices.width), F.col("y"), color(), F.col("label")),
+        marks_of(last_atr, "atr", "last", F.lit(0), F.col("y"), F.lit(atrs.width), F.col("y"), F.lit(ATR_LINE), F.col("label")),
+    ]
+    if cursors is not None:
+        parts.append(crosshair_marks(around, cursors, bounds, price_ends, atr_ends, prices, atrs))
     some = window.select(F.lit(1).alias("some")).limit(1)
-    return out.join(F.broadcast(some), how="left_semi")
+    return unioned(parts).join(F.broadcast(some), how="left_semi")
+
+
+def crosshair_marks(bars: DataFrame, cursors: DataFrame, bounds: DataFrame, price_ends: DataFrame, atr_ends: DataFrame, prices: Scale, atrs: Scale) -> DataFrame:
+    """cursors(cursor_id, x, y), y counted from the top of the price panel, below which the ATR panel lies -> lines through the cursor over both panels, the value under it in the
+    panel where it is, and the time of the bar that it picks, where one stands there."""
+    at = cursors.withColumn("under", active_panel(F.col("y"), prices.height, atrs.height)).where("under IS NOT NULL")
+    priced, valued = with_row(with_row(at.where("under = 'price'"), bounds), price_ends), with_row(with_row(at.where("under = 'atr'"), bounds), atr_ends)
+    price = format_fixed(tick_quantise(prices.value(F.col("y"))), 2)
+    deep = F.col("y") - prices.height
+    picks = with_row(at, bounds).withColumn("idx", prices.index(F.col("x")).cast("long"))
+    timed = picks.join(bars.select("idx", "time_text"), "idx")
+    across = lambda rows, panel, y, text, width: marks_of(rows, panel, "cross_h", F.lit(0), y, F.lit(width), y, F.lit(CROSS), text)
+    down = lambda panel, height: marks_of(at, panel, "cross_v", F.col("x"), F.lit(0), F.col("x"), F.lit(height), F.lit(CROSS))
+    return unioned([
+        across(priced, "price", F.col("y"), price, prices.width), across(valued, "atr", deep, format_fixed(atrs.value(deep), 4), atrs.width),
+        down("price", prices.height), down("atr", atrs.height), marks_of(timed, "time", "cross_time", F.col("x"), F.lit(AXIS_Y), None, None, F.lit(CROSS), crosshair_label(F.col("time_text"))),
+    ])

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ohlspark.operators.folds import Fold
 from ohlspark.schema import TIMEFRAMES, VISIBLE_AFTER_RESET, VISIBLE_AT_START
 
 
@@ -139,3 +140,22 @@ def traces(actions: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
 
     return actions.groupBy("session").applyInPandas(fold, STATES)
+
+
+#: What a recorded action's code stands for; an action of arg is (zoom by its sign, pan or drag by as many pixels).
+CODES = {
+    0: lambda v, n, arg: press(v, n, "Left"), 1: lambda v, n, arg: press(v, n, "Right"), 2: lambda v, n, arg: zoom(v, n, arg), 3: lambda v, n, arg: pan(v, n, arg),
+    4: lambda v, n, arg: drag_time_axis(v, arg), 5: lambda v, n, arg: reset(v),
+}
+
+
+class Recorded(Fold):
+    """Recorded sessions as a fold: rows(series: the session, idx: its steps from 0, n: bars of the chart, code, arg) -> the view after each action. In blocks
+    (in_blocks) no task works through a whole session, however long."""
+
+    columns, inputs = "visible double, offset double", ("n", "code", "arg")
+
+    def update(self, state: list[float], n: float, code: float, arg: float) -> tuple[tuple, list[float]]:
+        visible, offset = state or (VISIBLE_AT_START, 0)
+        v = CODES[int(code)](View(visible=visible, offset=offset), int(n), arg)
+        return (float(v.visible), float(v.offset)), [v.visible, v.offset]

@@ -14,14 +14,16 @@ from ohlspark.functions.scalars import direction, eq_tolerance, number, round_ha
 from ohlspark.functions.scale import Scale, atr_scale, price_scale
 from ohlspark.operators import extensions as X
 from ohlspark.operators import marks as M
+from ohlspark.operators import overlays as O
 from ohlspark.operators import view as V
+from ohlspark.operators.folds import in_blocks
 from ohlspark.operators.indicators import REGISTRY, true_range, wilder_atr, with_repeated_last
 from ohlspark.operators.ranges import atr_range, price_range
 from ohlspark.operators.resample import active, build_timeframes, followed_timeframes, merge_deltas, resample, resample_runs
-from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps, window_bounds
+from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps
 from ohlspark.schema import ANCHOR_TYPES
 from ohlspark.streaming.live import latest_bars, live_timeframes, live_upserts
-from ohlspark.sources.bars import complete, event_bars, ingest, lineitem_bars, load, order_bars, passing_folder, read_bars, read_csv, typed_bars, write_bars
+from ohlspark.sources.bars import complete, event_bars, ingest, lineitem_bars, load, order_bars, passing_folder, read_bars, read_csv, settled, typed_bars, write_bars
 
 QUERIES = {}
 SQL = {}
@@ -56,20 +58,6 @@ def with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("time_text", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
 
 
-def count(bars: DataFrame) -> int:
-    return bars.count()
-
-
-def view(bars: DataFrame, visible: float, offset: float) -> tuple[DataFrame, float, float]:
-    """The window of a view, and its bounds."""
-    start, end = window_bounds(count(bars), visible, offset)
-    return bar_slice(bars, start, end), start, end
-
-
-def _ends(df: DataFrame) -> tuple[float, float]:
-    return tuple(df.first())  # one row
-
-
 # --- SQL parts
 
 _agg = "arg_min({p}, {o}) AS open, max({p}) AS high, min({p}) AS low, arg_max({p}, {o}) AS close, {v} AS volume"
@@ -149,7 +137,7 @@ def bar_slice_inclusive(spark, d):
 
 @query(f"WITH {BASE}, {COUNT} SELECT idx, time FROM x, n WHERE idx BETWEEN n - 100 AND n - 1")
 def bar_timestamps(spark, d):
-    return timestamps(view(bars_1m(spark, d), 100, 0)[0])
+    return timestamps(M.viewed(bars_1m(spark, d), 100))
 
 
 _anchors = "SELECT idx AS index, strftime(time, '%H:%M') AS label, minute(time)::INT AS minute FROM x"
@@ -168,7 +156,7 @@ def time_anchors_space(spark, d):
 
 def _window(name: str, visible: float, offset: float, lo: str, hi: str) -> None:
     def run(spark, d):
-        return view(bars_1m(spark, d), visible, offset)[0].select("idx", "time", "close")
+        return M.viewed(bars_1m(spark, d), visible, offset).select("idx", "time", "close")
 
     query(f"WITH {BASE}, {COUNT} SELECT idx, time, close FROM x, n WHERE idx BETWEEN {lo} AND {hi}", name)(run)
 
@@ -244,12 +232,12 @@ _ATR = f"{WITH_ATR}, {COUNT}, {_VW}, {_VP}"
 
 @query(f"{_PRICE} SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM p")
 def price_range_auto(spark, d):
-    return rounded(price_range(view(bars_1m(spark, d), 100, 0)[0]))
+    return rounded(price_range(M.viewed(bars_1m(spark, d), 100)))
 
 
 @query(f"{_ATR} SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM p")
 def atr_range_auto(spark, d):
-    return rounded(atr_range(view(wilder_atr(bars_1m(spark, d)), 100, 0)[0]))
+    return rounded(atr_range(M.viewed(wilder_atr(bars_1m(spark, d)), 100)))
 
 
 @query(f"WITH {BASE} SELECT idx, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM x")
@@ -257,14 +245,19 @@ def bar_direction(spark, d):
     return bars_1m(spark, d).select("idx", direction(F.col("open"), F.col("close")).alias("direction"))
 
 
+ENDS = ("end_idx", "y_min", "y_max")
+
+
 def price_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale]:
-    window, _, end = view(bars_1m(spark, d), 100, 0)
-    return window, price_scale(end, 100, *_ends(price_range(window)))
+    window = M.viewed(bars_1m(spark, d), 100)
+    end, low, high = map(F.col, ENDS)
+    return M.with_row(window, price_range(window)), price_scale(end, 100, low, high)
 
 
-def atr_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale, float]:
-    window, _, end = view(wilder_atr(bars_1m(spark, d)), 100, 0)
-    return window, atr_scale(end, 100, *_ends(atr_range(window))), end
+def atr_view(spark: SparkSession, d: str) -> tuple[DataFrame, Scale]:
+    window = M.viewed(wilder_atr(bars_1m(spark, d)), 100)
+    end, low, high = map(F.col, ENDS)
+    return M.with_row(window, atr_range(window)), atr_scale(end, 100, low, high)
 
 
 _Y = "(385 - ({} - y_min) / (y_max - y_min) * 370)"
@@ -283,8 +276,7 @@ _AY = "(160 - (atr - y_min) / (y_max - y_min) * 160)"
 @query(f"""{_ATR}, q AS (SELECT idx, {_X} AS x2, {_AY} AS y2 FROM w, p, n), l AS (SELECT idx, lag(x2) OVER (ORDER BY idx) AS x1, lag(y2) OVER (ORDER BY idx) AS y1, x2, y2 FROM q)
 SELECT idx, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM l WHERE x1 IS NOT NULL""")
 def atr_polyline(spark, d):
-    window, scale, _ = atr_view(spark, d)
-    return rounded(M.polyline(window, scale, "atr"), 4)
+    return rounded(M.polyline(*atr_view(spark, d), "atr"), 4)
 
 
 @query(f"{_PRICE} SELECT idx, round({_Y.format('close')}, 6) AS y, printf('%.2f', close) AS label, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM w, p, n WHERE idx = n - 1")
@@ -294,7 +286,7 @@ def last_price_mark(spark, d):
 
 @query(f"{_ATR} SELECT idx, round({_AY}, 6) AS y, printf('%.4f', atr) AS label FROM w, p, n WHERE idx = n - 1")
 def last_atr_mark(spark, d):
-    return rounded(M.last_atr_mark(*atr_view(spark, d)))
+    return rounded(M.last_atr_mark(*atr_view(spark, d), F.col("end_idx")))
 
 
 def _grid_sql(height: int) -> str:
@@ -307,12 +299,12 @@ SELECT n, round(first + n * step, 9) AS value, CASE WHEN step >= 0.01 THEN print
 
 @query(f"{_PRICE}, {_grid_sql(400)}")
 def price_grid(spark, d):
-    return M.grid(price_range(view(bars_1m(spark, d), 100, 0)[0]), 400)
+    return M.grid(price_range(M.viewed(bars_1m(spark, d), 100)), 400)
 
 
 @query(f"{_ATR}, {_grid_sql(160)}")
 def atr_grid(spark, d):
-    return M.grid(atr_range(view(wilder_atr(bars_1m(spark, d)), 100, 0)[0]), 160)
+    return M.grid(atr_range(M.viewed(wilder_atr(bars_1m(spark, d)), 100)), 160)
 
 
 def _labels(visible: int) -> None:
@@ -320,8 +312,7 @@ def _labels(visible: int) -> None:
     near = max(1, step // 4)
 
     def run(spark, d):
-        window, start, _ = view(with_text(bars_1m(spark, d)), visible, 0)
-        return M.axis_labels(window, start, visible)
+        return M.axis_labels(M.viewed(with_text(bars_1m(spark, d)), visible), F.col("first_idx"), visible)
 
     query(f"""WITH {BASE}, {COUNT}, w AS (SELECT idx, n, strftime(time, '%Y-%m-%d %H:%M:%S') AS tx FROM x, n WHERE idx BETWEEN n - {visible} AND n - 1),
 c AS (SELECT *, coalesce(left(tx, 10) <> lag(left(tx, 10)) OVER (ORDER BY idx), false) AS ch FROM w),
@@ -344,26 +335,29 @@ _CURSOR = "c AS (SELECT i AS cursor_id, i * 20.5 AS x, i * 9.75 + 10 AS y FROM r
 @query(f"""{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx, CASE WHEN time IS NOT NULL THEN strftime(time, '%d %b %Y %H:%M') END AS time_label, printf('%.2f', trunc((y_min + (385 - y) / 370 * (y_max - y_min)) / 0.25 + 0.5) * 0.25) AS price_label FROM k LEFT JOIN x ON x.idx = k.idx CROSS JOIN p""")
 def crosshair_pick(spark, d):
     bars = with_text(bars_1m(spark, d))
-    window, _, end = view(bars, 100, 0)
-    return M.crosshair(bars, cursors(spark), price_scale(end, 100, *_ends(price_range(window))))
+    row = M.with_row(M.view_bounds(bars, 100, 0), price_range(M.viewed(bars, 100)))
+    return M.crosshair(bars, M.with_row(cursors(spark), row), price_scale(*(F.col(c) if c != "visible" else 100 for c in ("end_idx", "visible", "y_min", "y_max"))))
 
 
 @query(f"{_ATR}, c AS (SELECT i AS cursor_id, i * 20.5::DOUBLE AS x, i * 4.0::DOUBLE AS y FROM range(40) t(i)) SELECT cursor_id, x, y, printf('%.4f', y_min + (160 - y) / 160 * (y_max - y_min)) AS atr_label FROM c, p")
 def atr_crosshair(spark, d):
-    _, scale, _ = atr_view(spark, d)
-    return M.atr_crosshair(cursors(spark).select("cursor_id", "x", (F.col("cursor_id") * 4.0).alias("y")), scale)
+    window, scale = atr_view(spark, d)
+    row = M.with_row(M.view_bounds(bars_1m(spark, d), 100, 0), atr_range(window))
+    return M.atr_crosshair(M.with_row(cursors(spark).select("cursor_id", "x", (F.col("cursor_id") * 4.0).alias("y")), row), scale)
 
 
-@query("SELECT i AS cursor_id, CASE WHEN i * 20.5 < 400 THEN 'price' WHEN i * 20.5 < 560 THEN 'atr' END AS panel FROM range(40) t(i)")
+@query("SELECT event_id, value * 1.5::DOUBLE AS y, CASE WHEN value * 1.5::DOUBLE < 400 THEN 'price' WHEN value * 1.5::DOUBLE < 560 THEN 'atr' END AS panel FROM events")
 def active_panel(spark, d):
-    rows = [(k, V.active_panel(k * 20.5)) for k in range(40)]
-    return spark.createDataFrame(rows, "cursor_id long, panel string")
+    """The panel under each of many cursors, taken from the events."""
+    y = F.col("value") * 1.5
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", y.alias("y"), M.active_panel(y).alias("panel"))
 
 
 @query(f"{_PRICE}, {_CURSOR} SELECT cursor_id, k.idx FROM k JOIN w ON w.idx = k.idx, p WHERE y BETWEEN least({_Y.format('high')}, {_Y.format('low')}) - 5 AND greatest({_Y.format('high')}, {_Y.format('low')}) + 5")
 def hover_hits(spark, d):
     window, scale = price_view(spark, d)
-    return M.hover_hits(window, cursors(spark), scale)
+    row = M.with_row(M.view_bounds(bars_1m(spark, d), 100, 0), price_range(window))
+    return M.hover_hits(window, M.with_row(cursors(spark), row), scale)
 
 
 _LABEL100 = f"""lw AS (SELECT idx, n, strftime(time, '%Y-%m-%d %H:%M:%S') AS tx FROM x, n WHERE idx BETWEEN n - 100 AND n - 1),
@@ -381,15 +375,18 @@ UNION ALL SELECT 'price', 'body', cx - 3.2::DOUBLE, yt, cx + 3.2::DOUBLE, yb, co
 UNION ALL SELECT 'atr', 'line', x1, y1, x2, y2, '#75bbfd', NULL FROM sl WHERE x1 IS NOT NULL
 UNION ALL SELECT 'price', 'grid', 0, {_Y.format('value')}, 800, {_Y.format('value')}, '#1f2933', NULL FROM gp UNION ALL SELECT 'price', 'grid_label', 37, {_Y.format('value')}, NULL, NULL, '#787b86', label FROM gp
 UNION ALL SELECT 'atr', 'grid', 0, 160 - (value - y_min) / (y_max - y_min) * 160, 800, 160 - (value - y_min) / (y_max - y_min) * 160, '#1f2933', NULL FROM ga UNION ALL SELECT 'atr', 'grid_label', 37, 160 - (value - y_min) / (y_max - y_min) * 160, NULL, NULL, '#787b86', label FROM ga
-UNION ALL SELECT 'time', 'time_label', {_X}, 12, NULL, NULL, CASE WHEN ch THEN '#000000' ELSE '#4b4b4c' END, CASE WHEN ch THEN (substr(tx, 9, 2)::INT)::VARCHAR ELSE substr(tx, 12, 5) END FROM lk WHERE ch OR (idx % 5 = 0 AND crowded = 0))
+UNION ALL SELECT 'time', 'time_label', {_X}, 12, NULL, NULL, CASE WHEN ch THEN '#000000' ELSE '#4b4b4c' END, CASE WHEN ch THEN (substr(tx, 9, 2)::INT)::VARCHAR ELSE substr(tx, 12, 5) END FROM lk WHERE ch OR (idx % 5 = 0 AND crowded = 0)
+UNION ALL SELECT 'price', 'last', 0, {_Y.format('close')}, 800, {_Y.format('close')}, CASE WHEN close >= open THEN '#26a69a' ELSE '#ef5350' END, printf('%.2f', close) FROM w, p, n WHERE idx = n - 1
+UNION ALL SELECT 'atr', 'last', 0, 160 - (atr - y_min) / (y_max - y_min) * 160, 800, 160 - (atr - y_min) / (y_max - y_min) * 160, '#75bbfd', printf('%.4f', atr) FROM wa, pa, n WHERE idx = n - 1
+UNION ALL SELECT 'price', 'cross_h', 0, 150, 800, 150, '#9598a1', printf('%.2f', trunc((y_min + (385 - 150) / 370::DOUBLE * (y_max - y_min)) / 0.25 + 0.5) * 0.25) FROM p
+UNION ALL SELECT 'atr', 'cross_h', 0, 50, 800, 50, '#9598a1', printf('%.4f', y_min + (160 - 50) / 160::DOUBLE * (y_max - y_min)) FROM pa
+UNION ALL SELECT panel, 'cross_v', x, 0, x, h, '#9598a1', NULL FROM (VALUES ('price', 300, 400), ('price', 400, 400), ('atr', 300, 160), ('atr', 400, 160)) v(panel, x, h)
+UNION ALL SELECT 'time', 'cross_time', cx, 12, NULL, NULL, '#9598a1', strftime(time, '%d %b %Y %H:%M') FROM (VALUES (300), (400)) v(cx), n, x WHERE x.idx = trunc(cx / 8.0 + 0.5) + n - 100)
 SELECT panel, kind, round(x1::DOUBLE, 4) AS x1, round(y1::DOUBLE, 4) AS y1, round(x2::DOUBLE, 4) AS x2, round(y2::DOUBLE, 4) AS y2, color, text FROM u""")
 def frame(spark, d):
-    """All marks of the default view in one table."""
-    bars = wilder_atr(with_text(bars_1m(spark, d)))
-    window, start, end = view(bars, 100, 0)
-    ends, atr_ends = price_range(window), atr_range(window)
-    prices, atrs = price_scale(end, 100, *_ends(ends)), atr_scale(end, 100, *_ends(atr_ends))
-    return rounded(M.frame(window, prices, ends, window, atrs, atr_ends, M.axis_labels(window, start, 100), start), 4)
+    """All marks of the default view in one table, with a cursor in either panel."""
+    rows = spark.range(2).select(F.col("id").alias("cursor_id"), (F.col("id") * 100 + 300).cast("double").alias("x"), (F.col("id") * 300 + 150).cast("double").alias("y"))
+    return rounded(M.frame(wilder_atr(with_text(bars_1m(spark, d))), cursors=rows), 4)
 
 
 @query(f"WITH {BASE} SELECT idx, trunc(close / 0.25 + 0.5) * 0.25 AS price FROM x", "tick_quantise")
@@ -402,9 +399,26 @@ def _eq_tolerance(spark, d):
     return rounded(wilder_atr(bars_1m(spark, d)).select("idx", eq_tolerance(F.col("atr")).alias("tolerance")))
 
 
-@query("SELECT t AS type, t IN ('SESSION', 'BOS', 'CHOCH', 'POC') AS known FROM (VALUES ('SESSION'), ('BOS'), ('CHOCH'), ('POC'), ('bos'), ('FVG')) v(t)")
-def anchor_whitelist(spark, d):
-    return spark.createDataFrame([(t,) for t in [*ANCHOR_TYPES, "bos", "FVG"]], "type string").select("type", F.col("type").isin(ANCHOR_TYPES).alias("known"))
+RECORDED = "CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE CASE WHEN event_id % 5 = 0 THEN 5 ELSE 0 END END"
+_BOUNDED = "least(greatest({o}, -({v} - 2)), n - 2)"
+
+
+@query(f"""WITH RECURSIVE {BASE}, {COUNT}, ac AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, {RECORDED} AS code, value - 50 AS arg, n::DOUBLE AS n FROM events, n),
+st AS (SELECT user_id, -1 AS step, 100::DOUBLE AS visible, 0::DOUBLE AS shift FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, step, visible, CASE code WHEN 2 THEN {_BOUNDED.format(o='shift', v='visible')} ELSE shift END FROM (
+SELECT ac.user_id, ac.step, code, n, CASE code WHEN 2 THEN greatest(2, CASE WHEN arg > 0 THEN st.visible - greatest(1, st.visible * 0.1::DOUBLE) ELSE st.visible + greatest(1, st.visible * 0.1::DOUBLE) END)
+WHEN 4 THEN CASE WHEN arg = 0 THEN st.visible ELSE floor(greatest(2, st.visible * (1 - 0.005::DOUBLE * arg)) + 0.5) END WHEN 5 THEN 150 ELSE st.visible END AS visible,
+CASE code WHEN 0 THEN CASE WHEN shift < n - 2 THEN shift + 1 ELSE shift END WHEN 1 THEN CASE WHEN shift > -(st.visible - 2) THEN shift - 1 ELSE shift END
+WHEN 3 THEN CASE WHEN trunc(arg / (800 / st.visible)) <> 0 THEN {_BOUNDED.format(o='shift + trunc(arg / (800 / st.visible))', v='st.visible')} ELSE shift END WHEN 5 THEN 0 ELSE shift END AS shift
+FROM st JOIN ac ON ac.user_id = st.user_id AND ac.step = st.step + 1))
+SELECT user_id, step::BIGINT AS step, round(visible, 6) AS visible, round(shift, 6) AS "offset" FROM st WHERE step >= 0""")
+def recorded_views(spark, d):
+    """Each user's events as the actions of a session on the chart of all events, and the view after each."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    actions = e.select(F.col("user_id").cast("string").alias("series"), F.col("event_id").alias("seq"), F.col("value").alias("close"), F.expr(RECORDED).cast("double").alias("code"), (F.col("value") - 50).alias("arg"))
+    n = event_bars(spark, d).agg(F.count("*").cast("double").alias("n"))
+    views = in_blocks(V.Recorded(), M.with_row(indexed(actions), n))
+    return rounded(views.select(F.col("series").cast("long").alias("user_id"), F.col("idx").alias("step"), "visible", "offset"))
 
 
 SESSIONS = [("zoom", [1, 400, True]), ("zoom", [-1]), ("pan", [120]), ("pan", [3]), ("press", ["Left"]), ("press", ["Right"]), ("drag_time_axis", [20]), ("drag_time_axis", [0]), ("set_timeframe", ["5m"]), ("set_timeframe", ["7m"])]
@@ -672,6 +686,36 @@ def poc_value_area(spark, d):
     return X.value_area(X.volume_profile(with_day(bars_1m(spark, d)))).drop("series").withColumn("day", F.col("day").cast("string"))
 
 
+_SEGMENTS = {
+    "SESSION": ("sg AS (SELECT *, time::DATE - DATE '1970-01-01' AS segment FROM x)", ""),
+    "STRUCTURE": ("sg AS (SELECT x.*, count(br.idx) OVER (ORDER BY x.idx) AS segment FROM x LEFT JOIN br ON br.idx = x.idx)", f"{_SWING}, {_BREAK}, "),
+    "HISTORICAL": ("sg AS (SELECT *, 0 AS segment FROM x)", ""),
+}
+_SPREAD = """sp AS (SELECT *, unnest(generate_series(floor(low / 10)::BIGINT, floor(high / 10)::BIGINT)) AS bin FROM sg),
+pf AS (SELECT segment, bin, round(sum(CASE WHEN high > low THEN (least(high, (bin + 1) * 10::DOUBLE) - greatest(low, bin * 10::DOUBLE)) / (high - low) ELSE 1 END * volume), 9) AS volume FROM sp
+WHERE high = low OR least(high, (bin + 1) * 10::DOUBLE) - greatest(low, bin * 10::DOUBLE) > 0 GROUP BY 1, 2)"""
+_AREA = """gl AS (SELECT segment, list(bin ORDER BY bin) AS b, list(volume ORDER BY bin) AS v, sum(volume) AS total, count(*) AS n FROM pf GROUP BY 1),
+gr AS (SELECT segment, list_position(v, list_max(v)) AS lo, list_position(v, list_max(v)) AS hi, list_max(v) AS acc FROM gl
+UNION ALL SELECT segment, CASE WHEN up >= dn THEN lo ELSE lo - 1 END, CASE WHEN up >= dn THEN hi + 1 ELSE hi END, acc + greatest(up, dn) FROM (
+SELECT gr.*, CASE WHEN hi < n THEN v[hi + 1] ELSE -1 END AS up, CASE WHEN lo > 1 THEN v[lo - 1] ELSE -1 END AS dn FROM gr JOIN gl ON gl.segment = gr.segment WHERE round(acc, 6) < round(0.7::DOUBLE * total, 6) AND (lo > 1 OR hi < n)))
+SELECT gl.segment::BIGINT AS segment, b[list_position(v, list_max(v))] AS poc, b[lo] AS val, b[hi] AS vah, round(acc, 6) AS inside, round(total, 6) AS volume FROM gl JOIN (SELECT segment, min(lo) AS lo, max(hi) AS hi, max(acc) AS acc FROM gr GROUP BY 1) r ON r.segment = gl.segment"""
+
+
+def _profiles(mode: str) -> None:
+    cte, before = _SEGMENTS[mode]
+
+    def profile(spark, d):
+        return X.spread_profile(X.segments(bars_1m(spark, d), mode))
+
+    name = mode.lower()
+    query(f"WITH {BASE}, {before}{cte}, {_SPREAD} SELECT segment::BIGINT AS segment, bin, round(volume, 6) AS volume FROM pf", f"profile_{name}")(lambda spark, d: rounded(profile(spark, d).drop("series")))
+    query(f"WITH RECURSIVE {BASE}, {before}{cte}, {_SPREAD}, {_AREA}", f"value_area_{name}")(lambda spark, d: rounded(X.grown_area(profile(spark, d)).drop("series")))
+
+
+for _mode in X.PROFILES:
+    _profiles(_mode)
+
+
 _LIQUIDITY = """xs AS (SELECT 'BUY' AS side, idx, high AS v, close AS e FROM x UNION ALL SELECT 'SELL', idx, -low, -close FROM x),
 hl AS (SELECT CASE type WHEN 'HIGH' THEN 'BUY' ELSE 'SELL' END AS side, idx AS level_idx, CASE type WHEN 'HIGH' THEN price ELSE -price END AS p, confirmed FROM sw),
 s1 AS (SELECT hl.side, level_idx, min(xs.idx) AS swept_idx FROM hl JOIN xs ON xs.side = hl.side AND xs.idx > confirmed AND xs.v > p GROUP BY 1, 2),
@@ -720,6 +764,14 @@ def anchor_events(spark, d):
     return X.anchor_events(bars_1m(spark, d)).drop("series")
 
 
+@query(f"WITH {BASE}, {_SWING}, {_BREAK}, ty AS (SELECT idx, type FROM br UNION ALL SELECT idx, type FROM sw UNION ALL SELECT min(idx), 'SESSION' FROM x GROUP BY time::DATE) SELECT idx, type, type IN ('SESSION', 'BOS', 'CHOCH', 'POC') AS known FROM ty")
+def anchor_whitelist(spark, d):
+    """Which of the events of a series a VWAP may be anchored to."""
+    bars = bars_1m(spark, d)
+    events = X.anchor_events(bars).select("idx", "type").unionByName(X.swing_points(bars).select("idx", "type"))
+    return events.select("idx", "type", F.col("type").isin(ANCHOR_TYPES).alias("known"))
+
+
 @query(f"WITH {BASE}, {COUNT}, {_GAP} SELECT idx, CASE type WHEN 'BULLISH' THEN 'DEMAND' ELSE 'SUPPLY' END AS zone, bottom, top, round(greatest(0.0, 1 - 0.05::DOUBLE * (n - 1 - idx)), 6) AS alpha FROM fv, n")
 def zones(spark, d):
     return rounded(X.zones(bars_1m(spark, d)).drop("series"))
@@ -739,6 +791,31 @@ def signals(spark, d):
     return X.signals(bars_1m(spark, d)).drop("series")
 
 
+_SIDE = "CASE side WHEN 'BUY' THEN '#2962ff' ELSE '#ff6d00' END"
+_AT = lambda c: _X.replace("(idx", f"({c}")
+
+
+@query(f"""WITH RECURSIVE {BASE}, {COUNT}, {_W}, {_P}, {_SWING}, {_GAP}, {_BREAK}, {_LIQUIDITY}, z AS (SELECT idx, CASE type WHEN 'BULLISH' THEN 'DEMAND' ELSE 'SUPPLY' END AS zone, bottom, top, greatest(0.0, 1 - 0.05::DOUBLE * (n - 1 - idx)) AS alpha FROM fv, n),
+mt AS (SELECT z.idx, any_value(zone) AS zone, any_value(bottom) AS bottom, any_value(top) AS top, any_value(alpha) AS alpha, min(x.idx) FILTER (x.low <= top AND x.high >= bottom) AS met FROM z LEFT JOIN x ON x.idx > z.idx GROUP BY z.idx),
+vw AS (SELECT idx, sum({_TP} * volume) OVER o / sum(volume) OVER o AS vwap FROM x WINDOW o AS (PARTITION BY time::DATE ORDER BY idx)),
+vl AS (SELECT lag({_X}) OVER (ORDER BY idx) AS x1, lag({_Y.format('vwap')}) OVER (ORDER BY idx) AS y1, {_X} AS x2, {_Y.format('vwap')} AS y2 FROM vw, p, n WHERE idx BETWEEN n - 100 AND n - 1),
+si AS (SELECT x.idx, side, high, low FROM br JOIN fv ON fv.idx = br.idx AND (fv.type = 'BULLISH') = (side = 1) JOIN x ON x.idx = br.idx),
+sg AS (SELECT *, 0 AS segment FROM w), {_SPREAD}, ar AS (WITH RECURSIVE {_AREA}),
+u AS (SELECT CASE side WHEN 'BUY' THEN 'bsl' ELSE 'ssl' END AS kind, {_AT('greatest(level_idx, n - 100)')} AS x1, {_Y.format('price')} AS y1, {_AT('least(coalesce(swept_idx, n - 1), n - 1)')} AS x2, {_Y.format('price')} AS y2, {_SIDE} AS color, NULL::VARCHAR AS text FROM lq, p, n WHERE coalesce(swept_idx, n - 1) >= n - 100
+UNION ALL SELECT 'sweep', {_AT('swept_idx')}, {_Y.format('price')}, NULL, NULL, {_SIDE}, kind FROM lq, p, n WHERE kind IS NOT NULL AND swept_idx >= n - 100
+UNION ALL SELECT 'zone', {_AT('greatest(idx, n - 100)')}, {_Y.format('top')}, {_AT('least(coalesce(met, n - 1), n - 1)')}, {_Y.format('bottom')}, CASE zone WHEN 'DEMAND' THEN '#1b5e20' ELSE '#7f0000' END, printf('%.2f', alpha) FROM mt, p, n WHERE coalesce(met, n - 1) >= n - 100
+UNION ALL SELECT 'vwap', x1, y1, x2, y2, '#aa00ff', NULL FROM vl WHERE x1 IS NOT NULL
+UNION ALL SELECT 'signal', {_X}, CASE side WHEN 1 THEN {_Y.format('low')} ELSE {_Y.format('high')} END, NULL, NULL, CASE side WHEN 1 THEN '#26a69a' ELSE '#ef5350' END, CASE side WHEN 1 THEN 'BUY' ELSE 'SELL' END FROM si, p, n WHERE idx >= n - 100
+UNION ALL SELECT 'profile', 800 - 200 * volume / (SELECT max(volume) FROM pf), {_Y.format('(bin + 1) * 10')}, 800, {_Y.format('bin * 10')}, '#455a64', NULL FROM pf, p
+UNION ALL SELECT k, 0, {_Y.format('v * 10')}, 800, {_Y.format('v * 10')}, '#455a64', NULL FROM (SELECT 'poc' AS k, poc + 0.5 AS v FROM ar UNION ALL SELECT 'val', val FROM ar UNION ALL SELECT 'vah', vah + 1 FROM ar), p)
+SELECT 'price' AS panel, kind, round(x1::DOUBLE, 4) AS x1, round(y1::DOUBLE, 4) AS y1, round(x2::DOUBLE, 4) AS x2, round(y2::DOUBLE, 4) AS y2, color, text FROM u""")
+def overlay_marks(spark, d):
+    """Levels, sweeps, zones, VWAP, profile and signals of the default view as marks."""
+    bars = settled(bars_1m(spark, d))  # read for each overlay
+    drawn = [O.Liquidity(X.liquidity_states(bars)), O.Zones(X.mitigated_zones(bars)), O.Vwap(X.session_vwap(with_day(bars))), O.Signals(X.signals(bars), bars), O.Profile(bars)]
+    return rounded(O.overlay_marks(bars, drawn), 4)
+
+
 _FOLD = f"{WITH_ATR}, d AS (SELECT x.idx, high, low, close, atr, lag(high) OVER w AS h0, lag(low) OVER w AS l0, x.pc FROM x JOIN a ON a.idx = x.idx WINDOW w AS (ORDER BY x.idx))"
 
 
