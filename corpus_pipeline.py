@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ohlspark.llm.common import shared_folder, table
+from ohlspark.llm.common import delete, passing, shared_folder, table
 from ohlspark.llm.op01_decontaminate import decontaminated
 from ohlspark.llm.op03_bagminhash import deduplicated
 from ohlspark.llm.op07_secrets import redacted
@@ -42,16 +42,19 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the models nor the tokenizer; tests hold planted cases and each stage's operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the stages keep of documents. Each stage's result is written to the
-    folder that the cluster shares (spark.checkpoint.dir) and read again; a local folder only where that is unset."""
+    folder that the cluster shares (spark.checkpoint.dir) and read again; a local folder only where that is unset. A stage is deleted once the next
+    one is written, and the last when the application ends."""
     docs = table(spark, sf_dir, "documents")
-    out = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    out = passing(spark, f"{shared_folder(spark)}/pipeline-{uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            delete(spark, f"{out}/{k - 1}")
     return docs
