@@ -35,6 +35,11 @@ def passing(spark: SparkSession, path: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a table written to the shared folder; smaller there than a checkpoint.
     The table is deleted when the application ends."""

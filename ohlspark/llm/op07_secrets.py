@@ -26,6 +26,8 @@ AROUND = 48
 #: A run of letters is a dictionary word if the documents hold it so many times.
 WORD_COUNT = 20
 TREES, DEPTH, SEED = 24, 6, 7
+#: A text of more than one in HOT of the rows with a candidate is dealt out to SALTS tasks.
+HOT, SALTS = 1000, 16
 #: At most so many labelled findings train the forest, those whose hashes are least.
 SAMPLE = 20_000
 MASK = "<SECRET>"
@@ -181,8 +183,14 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
     empty and clean texts give no rows; repeated rows and null ids give theirs each; columns other
     than doc_id and text are ignored.
     """
-    keyed = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", text_key(F.col("text")).alias("text_key"))
-    return keyed.join(scored_candidates(docs.select("text"), labelled), "text_key").select(
+    keyed = settled(docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", text_key(F.col("text")).alias("text_key")))
+    found = scored_candidates(docs.select("text"), labelled)
+    # the texts of very many rows, fewer than HOT of them, meet their candidates in SALTS tasks each
+    often = settled(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where(F.col("n") > keyed.count() // HOT).select("text_key", F.lit(True).alias("hot")))
+    hot = lambda df: df.join(F.broadcast(often), "text_key", "left")
+    dealt = hot(keyed).withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    copies = hot(found).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return dealt.join(copies, ["text_key", "salt"]).select(
         "doc_id", "start", (F.col("start") + F.length("candidate")).alias("end"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret"
     )
 

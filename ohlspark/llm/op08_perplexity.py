@@ -9,7 +9,8 @@ on the shard has all that a probability needs.
 
 Documents are gathered in blocks. A block sends each shard the distinct five-grams of its texts, packed, gets
 their probabilities back, and is scored with them; grams are asked for once a block, not once a document.
-Blocks meet a shard in groups of bounded size, each with one copy of the shard.
+Blocks meet a shard in groups of bounded size, each with one copy of the shard. A model with more shards asks less of each, so its groups hold more
+text: as the model grows with the text, the number of copies hardly does.
 Log-probabilities are whole micro-bits, so sums are the same in any order.
 """
 
@@ -31,8 +32,8 @@ ORDER = 5
 #: Rows of the model that a shard may hold.
 SHARD_ROWS = 1 << 20
 SHARDS = 8  # at least
-#: Text of a block, of the chunks that it is worked on in, and of the blocks that meet one copy of a shard; bytes.
-BLOCK_BYTES, CHUNK_BYTES, GROUP_BYTES = 32 << 20, 1 << 20, 4 << 30
+#: Text of a block, of the chunks that it is worked on in, and, for each shard of the model, of the blocks that meet one copy of it; bytes.
+BLOCK_BYTES, CHUNK_BYTES, GROUP_BYTES = 32 << 20, 1 << 20, 512 << 20
 #: Of the trusted documents, one in so many is held out to set the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.995
@@ -257,7 +258,7 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     rows = docs.select(document_key(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     blocks = settled(rows.mapInArrow(lambda batches: _blocks(batches, shards), BLOCKS))
     size = blocks.where("shard = -1").agg(F.sum("bytes")).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = max(1, -(-size // (GROUP_BYTES * shards)))
     asked = blocks.where("shard >= 0").select("shard", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("part"), "block", "payload")
     every = F.when(F.col("shard") < 0, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array("shard"))
     copies = model.withColumn("at", F.explode(every)).select("at", "kind", "gram", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("copy"))
