@@ -77,8 +77,9 @@ def _merged(fold: Fold, rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"series": states["series"], "block": states["block"], "state": out})
 
     def values(group: pd.DataFrame) -> pd.DataFrame:
-        made, _ = fold.through(list(group["state"].iat[0]), group.sort_values("idx"))
-        return pd.DataFrame({"series": group["series"], "idx": group["idx"].sort_values(), **made})
+        group = group.sort_values("idx")
+        made, _ = fold.through(list(group["state"].iat[0]), group)
+        return pd.DataFrame({"series": group["series"], "idx": group["idx"], **made})
 
     kind = "series string, block long, state array<double>"
     starts = rows.groupBy("series", "block").applyInPandas(own, kind).groupBy("series").applyInPandas(before, kind)  # a row a block
