@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from functools import partial
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +20,31 @@ BLOCK = 256
 FIRST = ("fresh", "reset", "corrected")
 
 
-class Registry(dict[str, Indicator]):
-    """name -> indicator; a name registered again is replaced, an unknown name gives None."""
+class Registry:
+    """name -> indicator; a name registered again is replaced, an unknown name is told of in the log and gives None.
 
-    def register(self, name: str, indicator: Indicator) -> None:
-        self[name] = indicator
+    Series are functions of their bars. What reset_all changes is what an indicator starts from: a new one may start otherwise than one that was
+    put back (`after_reset`); registered anew it is new again."""
+
+    def __init__(self, **indicators: Indicator):
+        self._reset, self._now = {}, {}
+        for name, indicator in indicators.items():
+            self.register(name, indicator)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._now
+
+    def register(self, name: str, indicator: Indicator, after_reset: Indicator | None = None) -> None:
+        self._now[name], self._reset[name] = indicator, after_reset or indicator
 
     def reset_all(self) -> None:
-        """Series are functions of their bars and keep no state, so there is nothing to put back; names stay registered."""
+        self._now = dict(self._reset)
 
     def values(self, name: str, bars: DataFrame) -> DataFrame | None:
-        return self[name](bars) if name in self else None
+        if name not in self:
+            logging.getLogger(__name__).warning("no indicator is registered as %r", name)
+            return None
+        return self._now[name](bars)
 
 
 def true_range(first: str = "fresh") -> Column:
@@ -75,4 +91,5 @@ def wilder_atr(bars: DataFrame, period: int = ATR_PERIOD, first: str = "fresh")
     return scaled.join(before, ["series", "block"]).select(*bars.columns, "tr", F.when(at < period, F.col("seed")).otherwise(value).alias("atr"))
 
 
-REGISTRY = Registry(ATR=wilder_atr)
+REGISTRY = Registry()
+REGISTRY.register("ATR", wilder_atr, partial(wilder_atr, first="reset"))

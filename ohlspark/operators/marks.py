@@ -47,10 +47,13 @@ def candle_marks(window: DataFrame, scale: Scale) -> DataFrame:
     )
 
 
-def polyline(window: DataFrame, scale: Scale, value: str) -> DataFrame:
-    """Segments from each defined value to the next; nulls are bridged."""
+def polyline(window: DataFrame, scale: Scale, value: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Segments from each defined value to the next; nulls are bridged. With the view's start and end points stand where the walk from a start that may be a
+    fraction meets them: that fraction right of their bars, and none beyond the end."""
     w = Window.partitionBy("series").orderBy("idx")
-    points = window.where(F.col(value).isNotNull()).select("series", "idx", scale.x_centre(F.col("idx")).alias("x2"), scale.y(F.col(value)).alias("y2"))
+    at = F.col("idx") if start is None else F.col("idx") + (start - start.cast("long"))
+    points = window.where(F.col(value).isNotNull()) if end is None else window.where(F.col(value).isNotNull() & (at <= end))
+    points = points.select("series", "idx", scale.x_centre(at).alias("x2"), scale.y(F.col(value)).alias("y2"))
     lines = points.select("idx", F.lag("x2").over(w).alias("x1"), F.lag("y2").over(w).alias("y1"), "x2", "y2")
     return lines.where("x1 IS NOT NULL")
 
@@ -181,7 +184,7 @@ def frame(bars: DataFrame, visible: float = 100, offset: float = 0, cursors: Dat
     parts = [
         panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atrs, "atr"),
         marks_of(candles, "price", "wick", F.col("x"), F.col("y_high"), F.col("x"), F.col("y_low"), color()), marks_of(candles, "price", "body", F.col("x1"), F.col("y_top"), F.col("x2"), F.col("y_bottom"), color()),
-        marks_of(polyline(valued, atrs, "atr"), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, F.col("first_idx"), prices),
+        marks_of(polyline(valued, atrs, "atr", F.col("first_idx"), F.col("end_idx")), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, F.col("first_idx"), prices),
         marks_of(last, "price", "last", F.lit(0), F.col("y"), F.lit(prices.width), F.col("y"), color(), F.col("label")),
         marks_of(last_atr, "atr", "last", F.lit(0), F.col("y"), F.lit(atrs.width), F.col("y"), F.lit(ATR_LINE), F.col("label")),
     ]

@@ -279,6 +279,18 @@ def atr_polyline(spark, d):
     return rounded(M.polyline(*atr_view(spark, d), "atr"), 4)
 
 
+_FW = "wf AS (SELECT a.*, n - 133.1::DOUBLE AS first FROM a, n WHERE idx BETWEEN trunc(n - 133.1::DOUBLE) AND n - 1), p0 AS (SELECT greatest(min(atr), 0) AS a0, max(atr) AS b0 FROM wf), p AS (SELECT greatest(a0 - (b0 - a0) * 0.05, 0) AS y_min, b0 + (b0 - a0) * 0.05 AS y_max FROM p0)"
+
+
+@query(f"""{WITH_ATR}, {COUNT}, {_FW}, q AS (SELECT idx, (idx + first - trunc(first) - first) * (800 / 133.1::DOUBLE) + 400 / 133.1::DOUBLE AS x2, {_AY} AS y2 FROM wf, p, n WHERE idx + first - trunc(first) <= n - 1),
+l AS (SELECT idx, lag(x2) OVER (ORDER BY idx) AS x1, lag(y2) OVER (ORDER BY idx) AS y1, x2, y2 FROM q) SELECT idx, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM l WHERE x1 IS NOT NULL""")
+def atr_polyline_fractional(spark, d):
+    """The ATR line of a view of 133.1 bars, whose points stand a fraction of a bar right of them and end before the last."""
+    window = M.viewed(wilder_atr(bars_1m(spark, d)), 133.1)
+    end, low, high = map(F.col, ENDS)
+    return rounded(M.polyline(M.with_row(window, atr_range(window)), atr_scale(end, 133.1, low, high), "atr", F.col("first_idx"), end), 4)
+
+
 @query(f"{_PRICE} SELECT idx, round({_Y.format('close')}, 6) AS y, printf('%.2f', close) AS label, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM w, p, n WHERE idx = n - 1")
 def last_price_mark(spark, d):
     return rounded(M.last_price_mark(*price_view(spark, d)))
@@ -480,7 +492,8 @@ def streamed(rows: DataFrame, stream, by: str, parts: int = 3, last: DataFrame |
     given, out, checkpoint = (passing_folder(spark) for _ in range(3))
     cuts = rows.agg(F.percentile_approx(by, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("cuts"))
     place = F.size(F.filter("cuts", lambda c: c < F.col(by)))
-    slices = [rows.crossJoin(F.broadcast(cuts)).where(place == k).drop("cuts") for k in range(parts)]  # cuts is one row
+    # cuts is one row
+    slices = [rows.crossJoin(F.broadcast(cuts)).where(place == k).drop("cuts") for k in range(parts)] if parts > 1 else [rows]
     for one in [*slices, *([] if last is None else [last])]:
         one.write.mode("append").parquet(given)
         source = spark.readStream.schema(rows.schema).parquet(given)

@@ -60,9 +60,9 @@ def collected(df, order="idx"):
 
 
 @pytest.mark.parametrize("fold", [Atr(), SuperTrend(), RangeFilter(), HalfTrend(), running()], ids=lambda f: type(f).__name__)
-@pytest.mark.parametrize(("block", "warm", "slow"), [(4096, 512, False), (16, 4, False), (16, 0, True)])
+@pytest.mark.parametrize(("block", "warm", "slow"), [(32, 4, False), (32, 0, True)])
 def test_blocks_give_what_one_pass_gives(spark, fold, block, warm, slow):
-    rows = series(200, slow)
+    rows = series(160, slow)
     close_to(collected(in_blocks(fold, spark.createDataFrame(rows, COLUMNS).repartition(3), block, warm)), plain(fold, rows))
 
 

@@ -10,6 +10,7 @@ from ohlspark.functions import scalars as S
 from ohlspark.functions.scale import Scale, atr_scale, price_scale
 from ohlspark.operators import extensions as X
 from ohlspark.operators import view as V
+from ohlspark.operators.folds import HalfTrend, RangeFilter, SuperTrend
 from ohlspark.operators.indicators import Registry, wilder_atr, with_repeated_last
 from ohlspark.operators.marks import axis_labels, day_changes, grid, label_step
 from ohlspark.operators.ranges import atr_range, price_range
@@ -189,30 +190,32 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("day = '2024-01-01'").count() == 1
 
 
-def test_registry():
+def test_registry(caplog):
     r = Registry()
     r.register("x", lambda bars: 1)
     r.register("x", lambda bars: 2)
-    assert r.values("x", None) == 2 and r.values("y", None) is None
+    assert r.values("x", None) == 2
+    assert r.values("y", None) is None and "'y'" in caplog.text
+    r.register("z", lambda bars: "new", lambda bars: "put back")
+    assert r.values("z", None) == "new"
+    r.reset_all()
+    assert r.values("z", None) == "put back" and r.values("x", None) == 2
 
 
 def test_folds_by_blocks_equal_a_fold_of_the_whole(spark):
-    df = wilder_atr(frame_of_walk(spark))
-    rows = [r for r in df.orderBy("idx").collect()]
-    columns = [np.array([r[c] for r in rows], float) for c in ("high", "low", "close", "atr")]
-    for operator, fold in ((X.supertrend, X._supertrend), (X.range_filter, X._range_filter), (X.halftrend, X._halftrend)):
-        want, _ = fold(*columns, None)
-        got = operator(df, block=37).orderBy("idx").collect()
+    df = wilder_atr(frame_of_walk(spark)).cache()
+    whole = df.orderBy("idx").toPandas()
+    for operator, fold in ((X.supertrend, SuperTrend()), (X.range_filter, RangeFilter()), (X.halftrend, HalfTrend())):
+        want, _ = fold.through(fold.initial(), whole)
+        got = operator(df, block=64, warm=20).orderBy("idx").collect()
         for name, values_ in want.items():
             assert np.allclose([r[name] for r in got], values_)
 
 
-def test_levels_are_swept_however_late(spark, monkeypatch):
-    monkeypatch.setattr(X, "FAN", 4)
-    monkeypatch.setattr(X, "HEIGHT", 5)
+def test_levels_are_swept_however_late(spark):
     df = frame_of_walk(spark, 900)
     bars = df.orderBy("idx").collect()
-    got = X.liquidity_states(df).collect()
+    got = X.liquidity_states(df, fan=4).collect()
     assert {r.side for r in got} == {"BUY", "SELL"} and {r.kind for r in got} >= {"GRAB", "SWEEP", "RUN"}
     for r in got:
         beyond = (lambda b, p=r.price: b.high > p) if r.side == "BUY" else (lambda b, p=r.price: b.low < p)
