@@ -85,10 +85,15 @@ def build_timeframes(bars: DataFrame, warn: bool = False) -> DataFrame:
     return out
 
 
-def active(bars: DataFrame, tf: str) -> DataFrame:
-    """The bars of a timeframe in a table of build_timeframes. A timeframe without bars, where the base has some, is told of in the log."""
+def active(bars: DataFrame, tf: str, base: DataFrame | None = None) -> DataFrame:
+    """The bars of a timeframe in a table of build_timeframes. Where it has none of one minute, the base series (indexed bars) stands for them; another
+    timeframe without bars, where the base has some, is told of in the log."""
     out = bars.where(F.col("tf") == tf)
-    if out.isEmpty() and not bars.where("tf = '1m'").isEmpty():
+    if tf == "1m":
+        if base is None or not out.isEmpty():
+            return out
+        return base.withColumn("tf", F.lit(tf)).select(bars.columns)
+    if out.isEmpty() and not (bars.where("tf = '1m'") if base is None else base).isEmpty():
         logging.getLogger(__name__).warning("timeframe %s has no bars; build_timeframes makes them", tf)
     return out
 

@@ -17,12 +17,12 @@ from ohlspark.operators import marks as M
 from ohlspark.operators import overlays as O
 from ohlspark.operators import view as V
 from ohlspark.operators.folds import in_blocks
-from ohlspark.operators.indicators import REGISTRY, true_range, wilder_atr, with_repeated_last
+from ohlspark.operators.indicators import REGISTRY, Registry, true_range, wilder_atr, with_repeated_last
 from ohlspark.operators.ranges import atr_range, price_range
 from ohlspark.operators.resample import active, build_timeframes, followed_timeframes, merge_deltas, resample, resample_runs
 from ohlspark.operators.series import bar_at, bar_slice, half_open_slice, indexed, size, time_anchors, timestamps
 from ohlspark.schema import ANCHOR_TYPES
-from ohlspark.streaming.live import latest_bars, live_timeframes, live_upserts
+from ohlspark.streaming.live import latest_bars, live_atr, live_timeframes, live_upserts
 from ohlspark.sources.bars import complete, event_bars, ingest, lineitem_bars, load, order_bars, passing_folder, read_bars, read_csv, settled, typed_bars, write_bars
 
 QUERIES = {}
@@ -189,6 +189,15 @@ def atr14_reset(spark, d):
     return rounded(wilder_atr(bars_1m(spark, d), first="reset").select("idx", "atr"))
 
 
+@query(SQL["atr14_reset"])
+def atr14_after_reset(spark, d):
+    """A registry that was put back: its ATR starts from no close at all."""
+    indicators = Registry()
+    indicators.register("ATR", wilder_atr, lambda bars: wilder_atr(bars, first="reset"))
+    indicators.reset_all()
+    return rounded(indicators.values("ATR", bars_1m(spark, d)).select("idx", "atr"))
+
+
 @query(f"""WITH RECURSIVE {BASE}, y AS (SELECT idx, high, low, pc FROM x UNION ALL SELECT idx + 1, high, low, close FROM x WHERE idx = (SELECT max(idx) FROM x)),
 t AS (SELECT *, {FRESH} AS tr FROM y), {ATR} SELECT idx, round(atr, 6) AS atr FROM a""")
 def atr14_dup_tail(spark, d):
@@ -358,6 +367,15 @@ def atr_crosshair(spark, d):
     return M.atr_crosshair(M.with_row(cursors(spark).select("cursor_id", "x", (F.col("cursor_id") * 4.0).alias("y")), row), scale)
 
 
+@query(f"WITH {BASE}, {COUNT} SELECT event_id, round(value * 8 / 8.0::DOUBLE + n - 100, 6) AS index_float, trunc(value * 8 / 8.0::DOUBLE + 0.5)::BIGINT + n - 100 AS index FROM events, n")
+def cursor_positions(spark, d):
+    """Where many cursors point on the axis of bars, exactly and rounded."""
+    row = M.view_bounds(bars_1m(spark, d), 100, 0)
+    scale, x = price_scale(F.col("end_idx"), 100, 0, 1), F.col("value") * 8
+    rows = M.with_row(spark.read.parquet(f"{d}/events.parquet"), row)
+    return rounded(rows.select("event_id", scale.index_float(x).alias("index_float"), scale.index(x).cast("long").alias("index")))
+
+
 @query("SELECT event_id, value * 1.5::DOUBLE AS y, CASE WHEN value * 1.5::DOUBLE < 400 THEN 'price' WHEN value * 1.5::DOUBLE < 560 THEN 'atr' END AS panel FROM events")
 def active_panel(spark, d):
     """The panel under each of many cursors, taken from the events."""
@@ -517,6 +535,13 @@ def _live_upserts(spark, d):
     return bars.select("run", F.col("time").cast("timestamp_ntz").alias("time"), *OHLCV[1:], "merged", "late")
 
 
+@query(f"{WITH_ATR} SELECT x.time, CASE WHEN x.idx >= 13 THEN round(atr, 6) END AS atr FROM x LEFT JOIN a ON a.idx = x.idx")
+def live_atr14(spark, d):
+    """ATR of bars that arrive in a stream; what the first bars can't know yet stays null."""
+    bars = event_bars(spark, d).select("series", F.col("time").cast("timestamp").alias("time"), "high", "low", "close")
+    return rounded(streamed(bars, live_atr, "time", 2).select(F.col("time").cast("timestamp_ntz").alias("time"), "atr"))
+
+
 @query("WITH " + ", ".join(f"b{m} AS ({_bars(m)})" for m in (1, 5, 15)) + " " + " UNION ALL ".join(f"SELECT '{m}m' AS tf, time, open, high, low, close, volume FROM b{m}" for m in (1, 5, 15)), "live_timeframes")
 def _live_timeframes(spark, d):
     """Closed bars of every timeframe from one stream; a tick of another series, a day after the last, closes the windows."""

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ohlspark.operators.folds import Atr, in_stream
 from ohlspark.schema import ATR_PERIOD, TIMEFRAMES
 
 
@@ -110,38 +110,7 @@ def latest_bars(touched: DataFrame) -> DataFrame:
     return touched.groupBy("series", "run").agg(F.max_by(F.struct(*rest), "merged").alias("x")).select("series", "run", "x.*")
 
 
-class AtrState:
-    """What a series carries from bar to bar: previous close, sum and number of its first ranges, last value."""
-
-    def __init__(self, values: tuple = (0.0, 0.0, 0, None), period: int = ATR_PERIOD):
-        self.prev_close, self.total, self.n, self.last, self.period = *values, period
-
-    def update(self, high: float, low: float, close: float) -> float | None:
-        tr = max(high - low, abs(high - self.prev_close), abs(low - self.prev_close))
-        self.prev_close = close
-        self.n += 1
-        if self.n <= self.period:
-            self.total += tr
-            self.last = self.total / self.period if self.n == self.period else None
-        else:
-            self.last = (self.last * (self.period - 1) + tr) / self.period
-        return self.last
-
-    def values(self) -> tuple:
-        return self.prev_close, self.total, self.n, self.last
-
-
 def live_atr(bars: DataFrame, period: int = ATR_PERIOD) -> DataFrame:
     """Streaming bars(series, time, high, low, close), in order of time within and across batches ->
     series, time, atr; null before the first `period` bars (a stream can't fill them in later)."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        atr = AtrState(state.get if state.exists else (0.0, 0.0, 0, None), period)
-        rows = pd.concat(list(frames)).sort_values("time")
-        out = [atr.update(*r) for r in zip(rows["high"], rows["low"], rows["close"], strict=True)]
-        state.update(atr.values())
-        yield pd.DataFrame({"series": key[0], "time": rows["time"], "atr": pd.Series(out, index=rows.index, dtype=float)})
-
-    return bars.groupBy("series").applyInPandasWithState(
-        run, "series string, time timestamp, atr double", "prev_close double, total double, n long, last double", "append", GroupStateTimeout.NoTimeout
-    )
+    return in_stream(Atr(period), bars, "time")

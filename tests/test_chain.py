@@ -90,6 +90,14 @@ def test_series_without_bars(spark, caplog):
     assert frame(wilder_atr(bars).withColumn("time_text", F.col("time").cast("string"))).count() == 0
 
 
+def test_the_base_stands_for_an_empty_first_timeframe(spark, caplog):
+    base = indexed(spark.sql("SELECT 'a' AS series, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS time, 1.0D AS open, 2.0D AS high, 0.5D AS low, 1.5D AS close, 3.0D AS volume"))
+    none = no_bars(spark)
+    assert [(r.tf, r.idx, r.close) for r in active(none, "1m", base).collect()] == [("1m", 0, 1.5)]
+    assert active(none, "5m", base).count() == 0 and "5m has no bars" in caplog.text
+    assert active(build_timeframes(base), "15m", base).count() == 1
+
+
 def test_stored_bars_prune_files(spark, tmp_path):
     bars = spark.sql("SELECT 'a' AS series, '1m' AS tf, 0L AS idx, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS time, 1.0D AS close UNION ALL SELECT 'a', '5m', 0L, TIMESTAMP_NTZ'2024-01-03 10:00:00', 2.0D")
     write_bars(bars, str(tmp_path / "bars"))
