@@ -287,7 +287,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     perplexity (per byte), score, threshold, kept: one row for each row of docs.
 
     The model counts all trusted documents but the held-out ones. score is bits_per_byte drawn
-    towards the median of its language, as if by PRIOR_BYTES bytes. A document is kept if its score is at most the threshold: its
+    towards the median of its language (of all documents, those that the model counted too), as if by PRIOR_BYTES bytes. A document is kept if its score is at most the threshold: its
     language's median plus the quantile of how far the scores of the held-out trusted documents of its language lie
     above it; that quantile is a mean of the language's, weighted by its held-out documents, and that of
     all languages, weighted by PRIOR_DOCUMENTS. A null text is empty, a null language is ''; a row without an

@@ -45,7 +45,7 @@ def plain_model(texts):
 def test_scores_and_thresholds_equal_a_plain_model(spark, monkeypatch):
     monkeypatch.setattr(op08_perplexity, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(op08_perplexity, "BLOCK_BYTES", 100_000)  # many blocks
-    monkeypatch.setattr(op08_perplexity, "GROUP_BYTES", 500_000)
+    monkeypatch.setattr(op08_perplexity, "GROUP_BYTES", 60_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0

@@ -80,3 +80,13 @@ def test_stages_on_empty_tables_and_clashing_names(spark, planted, name):
     if name != "packing":
         assert out.columns == some.columns == empty.columns
         assert out.select(*extra).distinct().count() == 1
+
+
+def test_stages_leave_only_the_last_behind(spark, monkeypatch, tmp_path):
+    seen = []
+    keep = lambda s, docs, d: (seen.append(docs.count()), docs.select("doc_id", "text"))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", keep), ("two", keep), ("three", keep)])
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda s: str(tmp_path))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() == 200 and seen == [200, 200, 200]
+    assert [p.name for folder in tmp_path.iterdir() for p in folder.iterdir()] == ["2"]
