@@ -121,3 +121,8 @@ def overlay_marks(bars: DataFrame, overlays: list[Overlay], visible: float = 100
     """The marks of overlays in a view on the bars."""
     view = M.with_row(M.view_bounds(bars, visible, offset), price_range(M.viewed(bars, visible, offset)))
     return M.unioned([o.render(view) for o in overlays])
+
+
+def full_frame(bars: DataFrame, overlays: list[Overlay], visible: float = 100, offset: float = 0, cursors: DataFrame | None = None) -> DataFrame:
+    """frame with the marks of overlays."""
+    return M.frame(bars, visible, offset, cursors).unionByName(overlay_marks(bars, overlays, visible, offset))

@@ -110,5 +110,7 @@ def test_an_overlay_of_a_user_and_lives_cut_to_the_view(spark):
     bars, _ = made(spark)
     got = O.overlay_marks(bars, [Noon()], 100)
     assert rows_of(got, "kind", "x1", "x2") == [("noon", 200.0, 250.0), ("noon", 295.0, 299.0)]
+    drawn = O.full_frame(bars.withColumn("atr", F.lit(2.0)).withColumn("time_text", F.col("time").cast("string")), [Noon()], 100)
+    assert {"noon", "body", "last"} <= {r.kind for r in drawn.select("kind").distinct().collect()}
     with pytest.raises(NotImplementedError):
         O.overlay_marks(bars, [O.Overlay()])
