@@ -7,7 +7,8 @@ Distinct fingerprints are ordered by their rank in the reflected Gray code, in w
 the order is cut. FAN neighbours form a node, FAN nodes a node above, up to one root; so every node at a level holds equally many, however
 the fingerprints are spread. A node keeps which bits all of its fingerprints share, and their values. The index is joined with itself from
 the root down: a pair of nodes goes on to its children only if it differs in at most `distance` of the bits that
-both share; what is pruned can't hold a link. Levels above blocks are joined as tables, a level a step; in a task, a pair of blocks is
+both share; what is pruned can't hold a link. The bits that a child shares hold those of its parent, so what is counted at a pair is what has
+accumulated on the way down. Levels above blocks are joined as tables, a level a step; in a task, a pair of blocks is
 searched the same way over its own levels. Of each pair of blocks only a forest of its links comes out.
 """
 
