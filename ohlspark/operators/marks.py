@@ -173,35 +173,36 @@ def frame(bars: DataFrame, visible: float = 100, offset: float = 0, cursors: Dat
     near = F.col("idx").between(F.col("first_idx").cast("long") - 1, F.col("end_idx").cast("long") + 2)
     around = settled(with_row(bars, view_bounds(bars, visible, offset)).where(near))
     window = _within(around)
-    bounds = window.select("first_idx", "end_idx").limit(1)
-    price_ends, atr_ends = price_range(window), atr_range(window)
-    prices, atrs = price_scale(F.col("end_idx"), visible, F.col("y_min"), F.col("y_max")), atr_scale(F.col("end_idx"), visible, F.col("y_min"), F.col("y_max"))
-    priced, valued = with_row(window, price_ends), with_row(window, atr_ends)
-    candles = candle_marks(priced, prices)
+    atr_ends = atr_range(window).toDF("a_min", "a_max")
+    row = settled(window.select("first_idx", "end_idx").limit(1).crossJoin(price_range(window)).crossJoin(atr_ends))  # of one row each
+    end, low, high = F.col("end_idx"), F.col("y_min"), F.col("y_max")
+    prices, atrs = price_scale(end, visible, low, high), atr_scale(end, visible, F.col("a_min"), F.col("a_max"))
+    window = with_row(window.drop("first_idx", "end_idx"), row)
+    candles = candle_marks(window, prices)
     color = lambda: F.when(F.col("direction") == "up", UP).otherwise(DOWN)
-    labels = with_row(axis_labels(window, F.col("first_idx"), visible), bounds)
-    last, last_atr = last_price_mark(priced, prices), last_atr_mark(valued, atrs, F.col("end_idx"))
+    labels = with_row(axis_labels(window, F.col("first_idx"), visible), row)
+    last, last_atr = last_price_mark(window, prices), last_atr_mark(window, atrs, end)
+    price_ends, atr_ends = row.select("y_min", "y_max"), row.select(F.col("a_min").alias("y_min"), F.col("a_max").alias("y_max"))
     parts = [
-        panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atrs, "atr"),
+        panel_grid(price_ends, prices, "price"), panel_grid(atr_ends, atr_scale(end, visible, low, high), "atr"),
         marks_of(candles, "price", "wick", F.col("x"), F.col("y_high"), F.col("x"), F.col("y_low"), color()), marks_of(candles, "price", "body", F.col("x1"), F.col("y_top"), F.col("x2"), F.col("y_bottom"), color()),
-        marks_of(polyline(valued, atrs, "atr", F.col("first_idx"), F.col("end_idx")), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, F.col("first_idx"), prices),
+        marks_of(polyline(window, atrs, "atr", F.col("first_idx"), end), "atr", "line", F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(ATR_LINE)), time_axis(labels, F.col("first_idx"), prices),
         marks_of(last, "price", "last", F.lit(0), F.col("y"), F.lit(prices.width), F.col("y"), color(), F.col("label")),
         marks_of(last_atr, "atr", "last", F.lit(0), F.col("y"), F.lit(atrs.width), F.col("y"), F.lit(ATR_LINE), F.col("label")),
     ]
     if cursors is not None:
-        parts.append(crosshair_marks(around, cursors, bounds, price_ends, atr_ends, prices, atrs))
-    some = window.select(F.lit(1).alias("some")).limit(1)
-    return unioned(parts).join(F.broadcast(some), how="left_semi")
+        parts.append(crosshair_marks(around, cursors, row, prices, atrs))
+    return unioned(parts)
 
 
-def crosshair_marks(bars: DataFrame, cursors: DataFrame, bounds: DataFrame, price_ends: DataFrame, atr_ends: DataFrame, prices: Scale, atrs: Scale) -> DataFrame:
-    """cursors(cursor_id, x, y), y counted from the top of the price panel, below which the ATR panel lies -> lines through the cursor over both panels, the value under it in the
-    panel where it is, and the time of the bar that it picks, where one stands there."""
-    at = cursors.withColumn("under", active_panel(F.col("y"), prices.height, atrs.height)).where("under IS NOT NULL")
-    priced, valued = with_row(with_row(at.where("under = 'price'"), bounds), price_ends), with_row(with_row(at.where("under = 'atr'"), bounds), atr_ends)
+def crosshair_marks(bars: DataFrame, cursors: DataFrame, row: DataFrame, prices: Scale, atrs: Scale) -> DataFrame:
+    """cursors(cursor_id, x, y), y counted from the top of the price panel, below which the ATR panel lies, and the one row of the scales' columns -> lines through the
+    cursor over both panels, the value under it in the panel where it is, and the time of the bar that it picks, where one stands there."""
+    at = with_row(cursors.withColumn("under", active_panel(F.col("y"), prices.height, atrs.height)).where("under IS NOT NULL"), row)
+    priced, valued = at.where("under = 'price'"), at.where("under = 'atr'")
     price = format_fixed(tick_quantise(prices.value(F.col("y"))), 2)
     deep = F.col("y") - prices.height
-    picks = with_row(at, bounds).withColumn("idx", prices.index(F.col("x")).cast("long"))
+    picks = at.withColumn("idx", prices.index(F.col("x")).cast("long"))
     timed = picks.join(bars.select("idx", "time_text"), "idx")
     across = lambda rows, panel, y, text, width: marks_of(rows, panel, "cross_h", F.lit(0), y, F.lit(width), y, F.lit(CROSS), text)
     down = lambda panel, height: marks_of(at, panel, "cross_v", F.col("x"), F.lit(0), F.col("x"), F.lit(height), F.lit(CROSS))
