@@ -508,10 +508,9 @@ def streamed(rows: DataFrame, stream, by: str, parts: int = 3, last: DataFrame |
     checkpoint for each."""
     spark = rows.sparkSession
     given, out, checkpoint = (passing_folder(spark) for _ in range(3))
-    cuts = rows.agg(F.percentile_approx(by, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("cuts"))
-    place = F.size(F.filter("cuts", lambda c: c < F.col(by)))
-    # cuts is one row
-    slices = [rows.crossJoin(F.broadcast(cuts)).where(place == k).drop("cuts") for k in range(parts)] if parts > 1 else [rows]
+    cuts = rows.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else []  # parts - 1 values
+    place = sum(((F.col(by) > F.lit(c)).cast("int") for c in cuts or []), F.lit(0))
+    slices = [rows.where(place == k) for k in range(parts)]
     for one in [*slices, *([] if last is None else [last])]:
         one.write.mode("append").parquet(given)
         source = spark.readStream.schema(rows.schema).parquet(given)
