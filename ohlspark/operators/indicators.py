@@ -69,22 +69,24 @@ def wilder_atr(bars: DataFrame, period: int = ATR_PERIOD, first: str = "fresh")
 
     The recursion is a sum with weights that fall by q = (period - 1) / period a bar. Blocks of
     BLOCK bars are summed apart, and a bar adds to its own block what the last blocks before it leave: as many
-    as it takes for q to fall below a double's precision. So no task folds a whole series.
+    as it takes for q to fall below a double's precision. The mean goes to the blocks of the first bars alone, and what a
+    block leaves to the blocks after it, so no task folds, joins or orders a whole series.
     """
     bars = bars if "prev_close" in bars.columns else indexed(bars)
     q, at = (period - 1) / period, F.col("idx")
-    ranged = bars.withColumn("tr", true_range(first))
+    ranged = bars.withColumn("tr", true_range(first)).withColumn("block", F.floor(at / BLOCK))
     seeds = ranged.where(at < period).groupBy("series").agg(F.when(F.count("*") >= period, F.sum("tr") / period).alias("seed"))
-    rows = ranged.join(seeds, "series").withColumn("block", F.floor(at / BLOCK)).withColumn("k", at % BLOCK)
+    seeds = seeds.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((period - 1) // BLOCK).cast("long"))))
+    rows = ranged.join(seeds, ["series", "block"], "left").withColumn("k", at % BLOCK)
     share = F.when(at >= period, F.col("tr") / period).when(at == period - 1, F.col("seed")).otherwise(0.0)
     rows = rows.withColumn("share", share)
     if period == 1:
         return rows.select(*bars.columns, "tr", F.when(at == 0, F.col("seed")).otherwise(F.col("tr")).alias("atr"))
     back = max(1, ceil(40 / (-log(q) * BLOCK)))
-    w = Window.partitionBy("series").orderBy("block")
     sums = rows.groupBy("series", "block").agg(F.sum(F.col("share") * F.pow(F.lit(q), BLOCK - 1 - F.col("k"))).alias("left"))
-    carried = sum((F.coalesce(F.lag("left", m + 1).over(w), F.lit(0.0)) * q ** (BLOCK * m) for m in range(back)), F.lit(0.0))
-    before = sums.select("series", "block", carried.alias("carried"))
+    left = lambda m: F.when(m > 0, F.col("left") * F.pow(F.lit(q), BLOCK * (m - 1))).otherwise(0.0)
+    later = F.transform(F.sequence(F.lit(0), F.lit(back)), lambda m: F.struct((F.col("block") + m).alias("block"), left(m).alias("carried")))
+    before = sums.select("series", F.inline(later)).groupBy("series", "block").agg(F.sum("carried").alias("carried"))
     inside = Window.partitionBy("series", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     scaled = rows.withColumn("inside", F.sum(F.col("share") * F.pow(F.lit(1 / q), "k")).over(inside))
     value = F.pow(F.lit(q), "k") * (F.col("inside") + q * F.col("carried"))

@@ -24,7 +24,7 @@ def indexed(bars: DataFrame) -> DataFrame:
     bars = bars.drop("idx", "prev_close")
     order, cell = arrival(bars)
     placed = bars.withColumn("cell", cell)
-    at = F.struct(*order)
+    at = F.struct(*order) if len(order) > 1 else F.col(*order)  # of a plain number the aggregate sorts nothing
     cells = placed.groupBy("series", "cell").agg(F.count("*").alias("n"), F.max_by("close", at).alias("last_close"))
     w = Window.partitionBy("series").orderBy("cell")
     before = cells.select("series", "cell", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"), F.lag("last_close").over(w).alias("carried"))

@@ -57,6 +57,40 @@ def test_atr_in_blocks_equals_a_fold(spark, period):
         assert abs(r.atr - a) < 1e-9
 
 
+@pytest.mark.parametrize("period", [14, 300])
+def test_no_task_of_atr_reads_a_whole_series(spark, period):
+    n, sc = 20_000, spark.sparkContext
+    df = spark.range(0, n, 1, 4).select(F.when(F.col("id") >= 0, "s").alias("series"), "id", (F.pmod(F.xxhash64("id"), F.lit(97)) + 100.0).alias("close"))
+    bars = indexed(df.select("series", F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("time"), (F.col("close") + 3).alias("high"), (F.col("close") - 2).alias("low"), "close"))
+    # the series is no literal, which would leave joins without a key; no join is turned into a broadcast, no partitions are put together
+    dealt = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(f"atr{period}", "")
+        rows = wilder_atr(bars, period).orderBy("idx").collect()
+    finally:
+        for k in dealt:
+            spark.conf.unset(k)
+        sc.setJobGroup("", "")
+    a = sum(r.tr for r in rows[:period]) / period
+    for r in rows:
+        a = a if r.idx < period else (a * (period - 1) + r.tr) / period
+        assert abs(r.atr - a) < 1e-9
+    jsc, tracker = sc._jsc.sc(), sc.statusTracker()
+    jsc.listenerBus().waitUntilEmpty(30_000)
+    stages = {k for job in tracker.getJobIdsForGroup(f"atr{period}") for k in tracker.getJobInfo(job).stageIds}
+    tasks = [found.apply(i) for k in stages for found in [jsc.statusStore().taskList(k, 0, 1000)] for i in range(found.size())]
+    read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks]
+    assert len(rows) == n and sum(read) > n and max(read) < n * 3 // 4
+
+
+def test_order_of_a_plain_number_needs_no_sort_for_cells(spark):
+    bars = spark.range(10).select(F.lit("s").alias("series"), F.col("id").alias("seq"), F.col("id").cast("double").alias("close"))
+    assert "SortAggregate" not in indexed(bars)._jdf.queryExecution().executedPlan().toString()
+    assert [r.prev_close for r in indexed(bars).orderBy("idx").collect()] == [None, *map(float, range(9))]
+
+
 def test_runs(spark):
     times = ["2024-01-01 08:37:00", "2024-01-01 08:38:00", "2024-01-01 08:41:00", "2024-01-01 08:39:00", "bad", "2024-01-01T08:39:30"]
     rows = [("all", 50_000 * (i + 1), t, *[float(v)] * 4, 1.0) for i, (t, v) in enumerate(zip(times, [1, 2, 3, 4, 9, 5], strict=True))]
